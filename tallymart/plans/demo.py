@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.operators import stock
+from tallymart.operators import prices, stock
 
 AS_OF_ORDERS = "2001-08-02 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
@@ -87,11 +87,71 @@ VIEWS["d_stock_fold"] = """
     select seq, product_id, delta, event_time,
            cast(s + greatest(0, -min(s) over (partition by product_id order by seq)) as bigint) as level
     from d_stock_sums"""
+# Price intake one rule at a time; percentages in integer arithmetic, ties to even.
+VIEWS["d_price_found"] = """
+    select e.*, p.product_id is not null as listed
+    from d_price_events e
+    left join d_products p on p.product_id = e.product_id and p.tenant_id = e.tenant_id"""
+VIEWS["d_price_first"] = """
+    select * from d_price_found where listed
+    qualify row_number() over (partition by tenant_id, idempotency_key order by received_at, event_id) = 1"""
+VIEWS["d_price_by_product"] = """
+    select * from d_price_first
+    qualify row_number() over (partition by product_id, date_trunc('minute', received_at)
+                               order by received_at, event_id) <= 10"""
+VIEWS["d_price_admitted"] = """
+    select * from d_price_by_product
+    qualify row_number() over (partition by tenant_id, date_trunc('minute', received_at)
+                               order by received_at, event_id) <= 100"""
+VIEWS["d_price_pct"] = """
+    select event_id, sign(new_cents - old_cents) as dir, abs(new_cents - old_cents) as gap, old_cents,
+           gap * 1000000 // old_cents as q4, gap * 1000000 % old_cents as r4,
+           gap * 1000 // old_cents as q1, gap * 1000 % old_cents as r1
+    from d_price_events where old_cents > 0"""
+VIEWS["d_price_sizes"] = """
+    select *, q4 + case when 2 * r4 > old_cents or (2 * r4 = old_cents and q4 % 2 = 1) then 1 else 0 end as e4,
+           q1 + case when 2 * r1 > old_cents or (2 * r1 = old_cents and q1 % 2 = 1) then 1 else 0 end as tenths
+    from d_price_pct"""
+VIEWS["d_price_classes"] = """
+    select event_id, e4, dir * e4 / 10000 as pct,
+           concat(case when dir < 0 then '-' else '' end, cast(tenths // 10 as varchar), '.',
+                  cast(tenths % 10 as varchar), '%') as shown,
+           case when gap * 2 >= old_cents then 'Extreme price change: '
+                when gap * 4 >= old_cents then 'Significant price change: '
+                when gap * 10 >= old_cents and old_cents > 10000
+                then 'Notable price change for high-value item: ' end as class
+    from d_price_sizes"""
+VIEWS["d_price_outcomes"] = """
+    select f.*, case when not f.listed then 'rejected' when k.event_id is null then 'already_processed'
+                     when a.event_id is null or f.old_cents <= 0 or f.new_cents <= 0 or c.e4 >= 100000000
+                     then 'rejected' else 'processed' end as status,
+           case when not f.listed then 'Product not found' when k.event_id is null then null
+                when a.event_id is null then 'Rate limit exceeded'
+                when f.old_cents <= 0 or f.new_cents <= 0 then 'Prices must be positive'
+                when c.e4 >= 100000000 then 'pct_change out of range' end as error,
+           c.pct, concat(c.class, c.shown) as reason, c.class
+    from d_price_found f left join d_price_first k on k.event_id = f.event_id
+    left join d_price_admitted a on a.event_id = f.event_id
+    left join d_price_classes c on c.event_id = f.event_id"""
+VIEWS["d_price_stored"] = """
+    select event_id, tenant_id, product_id, old_cents / 100 as old_price, new_cents / 100 as new_price,
+           pct as pct_change, class is not null as anomaly_flag, case when class is not null then reason end
+           as anomaly_reason, source, received_at
+    from d_price_outcomes where status = 'processed'"""
 VIEWS["d_stock_levels"] = """
     select product_id, arg_max(level, seq) as available, max(event_time) as last_updated
     from d_stock_fold group by product_id"""
 
 _NEEDS = {
+    "d_price_found": ["d_price_events", "d_products"],
+    "d_price_first": ["d_price_found"],
+    "d_price_by_product": ["d_price_first"],
+    "d_price_admitted": ["d_price_by_product"],
+    "d_price_pct": ["d_price_events"],
+    "d_price_sizes": ["d_price_pct"],
+    "d_price_classes": ["d_price_sizes"],
+    "d_price_outcomes": ["d_price_admitted", "d_price_classes"],
+    "d_price_stored": ["d_price_outcomes"],
     "d_stock_applied": ["d_stock_events"],
     "d_stock_sums": ["d_stock_applied"],
     "d_stock_fold": ["d_stock_sums"],
@@ -199,10 +259,15 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stock_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock movements in file order ``seq``; some name unknown products, some carry a bad delta."""
+    return stock_movements(table(spark, sf_dir, "events"))
+
+
+def stock_movements(events: DataFrame) -> DataFrame:
+    """Stock movements from a batch or stream of events."""
     kind, value, user = F.col("event_type"), F.col("value"), F.col("user_id")
     sign = F.when(kind.isin("signup", "error"), 1).when(kind == "view", 0).otherwise(-1)
     bad = (user % 50 == 7) & (kind == "error")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.when((kind == "error") & (value > 150), -user - 1).otherwise(user).alias("product_id"),
         F.when(~bad, (sign * F.floor(value)).cast("bigint")).alias("delta"),
@@ -223,6 +288,11 @@ def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price change requests as they arrive, before any check."""
+    return price_requests(table(spark, sf_dir, "events"))
+
+
+def price_requests(events: DataFrame) -> DataFrame:
+    """Price change requests from a batch or stream of events."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     kind = F.col("event_type")
     cents = F.round(F.col("value") * 100).cast("bigint")
@@ -233,7 +303,7 @@ def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - PRICE_EPOCH
     arrival = F.timestamp_micros(F.floor(micros / 10000) + PRICE_EPOCH)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         (F.col("user_id") % 10).alias("tenant_id"),
         F.when(k >= 95, -F.col("user_id") - 1).otherwise(F.col("user_id")).alias("product_id"),
@@ -245,3 +315,8 @@ def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (scaled / 100).cast("decimal(10,2)").alias("new_price"),
         kind.alias("source"),
     )
+
+
+def stored_price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price event table after all requests went through intake."""
+    return prices.stored_events(prices.intake(price_events(spark, sf_dir), products(spark, sf_dir)))
