@@ -45,6 +45,9 @@ NATURAL_KEY = {
     "products": ["tenant_id", "sku"],
     "orders": ["tenant_id", "external_order_id"],
     "order_items": ["order_item_id"],
+    "stock_levels": ["product_id"],
+    "stock_events": ["stock_event_id"],
+    "price_events": ["event_id"],
     "metrics_preagg": ["tenant_id", "group_key", "period_start", "period_end"],
 }
 
