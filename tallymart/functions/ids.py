@@ -11,19 +11,16 @@ def hex_to_uuid(digits: Column) -> Column:
     return F.regexp_replace(digits, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def uuid_digits(text: Column) -> Column:
-    """The text without URN prefix, outer braces and hyphens, in lower case."""
-    bare = F.regexp_replace(text, r"urn:|uuid:", "")
-    return F.lower(F.regexp_replace(bare, r"^[{}]+|[{}]+$|-", ""))
-
-
 def canonical_uuid(text: Column) -> Column:
-    """Any accepted spelling (braces, URN prefix, no hyphens, upper case) in canonical form, else NULL."""
-    return from_digits(uuid_digits(text))
+    """Any accepted spelling (braces, URN prefix, no hyphens, upper case) in canonical form, else NULL.
 
-
-def from_digits(digits: Column) -> Column:
-    return F.when(digits.rlike("^[0-9a-f]{32}$"), hex_to_uuid(digits))
+    Nearly all ids are canonical already; only the others are taken apart.
+    """
+    bare = F.regexp_replace(text, r"urn:|uuid:", "")
+    digits = F.lower(F.regexp_replace(bare, r"^[{}]+|[{}]+$|-", ""))
+    return F.when(text.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), text).otherwise(
+        F.when(digits.rlike("^[0-9a-f]{32}$"), hex_to_uuid(digits))
+    )
 
 
 def api_key_digest(key: Column) -> Column:

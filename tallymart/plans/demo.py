@@ -211,9 +211,13 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customer's tenant."""
+    return placed_orders(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def placed_orders(placed: DataFrame, buyers: DataFrame) -> DataFrame:
+    """Orders from a batch or stream, with their customer's tenant."""
     key = F.col("o_orderkey")
-    buyer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    placed = table(spark, sf_dir, "orders")
+    buyer = buyers.select("c_custkey", "c_name", "c_nationkey")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     seconds = (key % 86400).cast("decimal(18,6)")
     return placed.join(buyer, placed.o_custkey == buyer.c_custkey).select(

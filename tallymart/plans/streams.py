@@ -1 +1,119 @@
-"""Queries."""
+"""Streams run over all available input; the results equal those of the batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymart.plans import demo, ingestion
+from tallymart.plans.catalog import query
+from tallymart.session import fresh_dir
+from tallymart.sources.export import write_chunks
+from tallymart.sources.store import TableStore
+from tallymart.streaming import ingest, metrics, prices, run, stock
+
+
+def _arriving(spark, sf, name):
+    """A test table as a stream of its files, be it one file or a folder."""
+    path = f"{sf}/{name}.parquet"
+    return run.arriving(spark, f"{path}*", spark.read.parquet(path).schema)
+
+
+@query(
+    "price_dedup_stream",
+    "d_price_events",
+    "select tenant_id, idempotency_key, count(distinct idempotency_key) as n from d_price_events group by 1, 2",
+)
+def _(spark, sf):
+    first = run.collected(spark, prices.first_requests(demo.price_requests(_arriving(spark, sf, "events"))))
+    return first.groupBy("tenant_id", "idempotency_key").agg(F.count("*").alias("n"))
+
+
+@query(
+    "anomaly_stream",
+    "d_price_classes d_price_events",
+    """select e.event_id, e.product_id, c.pct as pct_change, concat(c.class, c.shown) as anomaly_reason
+       from d_price_events e join d_price_classes c on c.event_id = e.event_id
+       where c.class is not null and c.e4 < 100000000 and e.old_cents > 0 and e.new_cents > 0""",
+)
+def _(spark, sf):
+    feed = prices.anomaly_feed(demo.price_requests(_arriving(spark, sf, "events")))
+    return run.collected(
+        spark,
+        feed.select("event_id", "product_id", F.col("pct_change").cast("double").alias("pct_change"), "anomaly_reason"),
+    )
+
+
+@query("admit_ttl")
+def _(spark, sf):
+    """Sequential per tenant, so SQL cannot state it; tests compare it with a plain loop."""
+    requests = demo.price_requests(_arriving(spark, sf, "events"))
+    return run.collected(spark, prices.intake(requests, demo.products(spark, sf)))
+
+
+def _folded(spark, sf) -> TableStore:
+    store = TableStore(spark, fresh_dir(spark, "stock"))
+    movements = demo.stock_movements(_arriving(spark, sf, "events"))
+    products = demo.products(spark, sf).select("product_id", "tenant_id")
+    run.each_batch(movements, stock.apply_to(store, products, demo.stock_blocks), fresh_dir(spark, "checkpoint"))
+    return store
+
+
+@query(
+    "stock_stream",
+    "d_stock_fold d_products",
+    """select cast(f.seq as varchar) as stock_event_id, cast(f.product_id as varchar) as product_id,
+              cast(p.tenant_id as varchar) as tenant_id, f.delta, f.level as resulting_level, f.event_time
+       from d_stock_fold f join d_products p on f.product_id = p.product_id where f.delta <> 0""",
+)
+def _(spark, sf):
+    return _folded(spark, sf).read("stock_events").drop("source", "meta")
+
+
+@query(
+    "stock_stream_levels",
+    "d_stock_levels",
+    "select cast(product_id as varchar) as product_id, available, last_updated from d_stock_levels",
+)
+def _(spark, sf):
+    return _folded(spark, sf).read("stock_levels").drop("tenant_id")
+
+
+@query(
+    "hourly_stream",
+    "d_orders",
+    """select cast(tenant_id as varchar) as tenant_id, concat('hour:', strftime(h, '%Y-%m-%dT%H:00:00')) as group_key,
+              cast(h as date) as period_start, cast(total as double) as sum_sales, num_orders,
+              cast(total as double) / num_orders as avg_order_value, delivered_orders, cancelled_orders
+       from (select tenant_id, date_trunc('hour', order_date) as h, sum(total_amount) as total,
+                    count(*) as num_orders, count(*) filter (where order_status = 'delivered') as delivered_orders,
+                    count(*) filter (where order_status = 'cancelled') as cancelled_orders
+             from d_orders group by 1, 2) t""",
+)
+def _(spark, sf):
+    """Update mode into the pre-aggregate table. The distinct-customer sketch is left out of the comparison."""
+    store = TableStore(spark, fresh_dir(spark, "metrics"))
+    orders = demo.placed_orders(_arriving(spark, sf, "orders"), demo.table(spark, sf, "customer"))
+    run.each_batch(metrics.hourly(orders), metrics.apply_to(store), fresh_dir(spark, "checkpoint"), "update")
+    stored = store.read("metrics_preagg")
+    return stored.drop("unique_customers_est", "period_end", "last_updated")
+
+
+@query(
+    "ingest_stream",
+    "d_orders d_customers",
+    f"""select 'customers' as table_name, count(*) as row_count from ({ingestion._CUSTOMERS}) t where reason is null
+        union all select 'orders', count(distinct external_order_id) from ({ingestion._CHECKED_ORDERS}) t
+        where reason is null""",
+)
+def _(spark, sf):
+    folder = fresh_dir(spark, "arrivals")
+    lines = ingestion.order_lines(demo.orders(spark, sf)).select("value")
+    write_chunks(lines, f"{folder}/orders_{ingestion.TENANT}.ndjson")
+    lines = ingestion.customer_lines(demo.customers(spark, sf)).select("value")
+    write_chunks(lines, f"{folder}/customers_{ingestion.TENANT}.ndjson")
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    handler = ingest.apply_to(store, ingestion.TENANT, ingestion.AS_OF)
+    run.each_batch(ingest.arriving_lines(spark, folder), handler, fresh_dir(spark, "checkpoint"))
+    kinds = ("customers", "orders")
+    counts = [store.read(k).agg(F.lit(k).alias("table_name"), F.count("*").alias("row_count")) for k in kinds]
+    return counts[0].unionByName(counts[1])
