@@ -1 +1,211 @@
-"""Queries."""
+"""Generator queries: as many rows as the test tables have, values checked against the same draws in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymart.plans.catalog import query
+from tallymart.plans.demo import table
+from tallymart.sources import generate
+from tallymart.sources.generate import Source
+
+SOURCE = Source()
+N_PRODUCTS, N_CUSTOMERS, HISTORY, WALK = 500, 100, 10, 20
+
+
+def _digest(name: str, *parts: str) -> str:
+    return f"md5(concat_ws('/', '42/{name}', {', '.join(f'cast({p} as varchar)' for p in parts)}))"
+
+
+def _draw(digest: str, k: int) -> str:
+    return f"cast(cast(('0x' || substr({digest}, {8 * k + 1}, 8)) as ubigint) as bigint)"
+
+
+def _uuid(name: str, *parts: str) -> str:
+    digest = _digest(f"{name}-id", *parts)
+    return rf"regexp_replace({digest}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')"
+
+
+def _pick(pool: list[str], number: str) -> str:
+    return f"list_extract([{', '.join(repr(p) for p in pool)}], cast({number} % {len(pool)} + 1 as int))"
+
+
+def _ago(number: str, seconds: int) -> str:
+    return f"timestamp '{SOURCE.as_of}' - to_seconds({number} % {seconds})"
+
+
+def _cents(i: str) -> str:
+    return f"(599 + {_draw(_digest('products', 't', i), 1)} % 99401)"
+
+
+def _weighted(values: list, weights: list[int], number: str) -> str:
+    arms, bound = [], 0
+    for value, weight in zip(values, weights):
+        bound += weight
+        arms.append(f"when {number} % 100 < {bound} then {value!r}")
+    return f"case {' '.join(arms)} end"
+
+
+def _products(spark, sf):
+    return table(spark, sf, "part").select((F.col("p_partkey") % 10).alias("tenant_id"), F.col("p_partkey").alias("i"))
+
+
+def _customers(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("i"))
+
+
+def _orders(spark, sf):
+    return table(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("tenant_id"), F.col("o_orderkey").alias("i"))
+
+
+_PART = "(select p_partkey % 10 as t, p_partkey as i from part) s"
+_CUSTOMER = "(select c_nationkey as t, c_custkey as i from customer) s"
+_ORDER = "(select o_custkey % 25 as t, o_orderkey as i from orders) s"
+
+
+@query(
+    "gen_tenants",
+    sql=f"""select {_uuid("tenants", "i")} as tenant_id,
+                   concat_ws(' ', {_pick(generate.ADJECTIVES, _draw(_digest("tenants", "i"), 0))},
+                             {_pick(generate.NOUNS, _draw(_digest("tenants", "i"), 1))}, 'Inc') as name,
+                   sha256(concat('api_key_', {_uuid("tenants", "i")})) as api_key_hash,
+                   {_ago(_draw(_digest("tenants", "i"), 2), 2 * generate.YEAR)} as created_at
+            from (select s_suppkey as i from supplier) s""",
+)
+def _(spark, sf):
+    return generate.tenants(SOURCE, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i")))
+
+
+_D, _E = _digest("products", "t", "i"), _digest("products-more", "t", "i")
+
+
+@query(
+    "gen_products",
+    sql=f"""select {_uuid("products", "t", "i")} as product_id, t as tenant_id,
+                   concat(upper(substr(category, 1, 3)), lpad(cast(i as varchar), 6, '0')) as sku,
+                   concat_ws(' ', {_pick(generate.ADJECTIVES, _draw(_E, 0))}, {_pick(generate.NOUNS, _draw(_E, 1))},
+                             category) as name,
+                   {_cents("i")} / 100 as price,
+                   case when {_draw(_D, 2)} % 100 < 70 then {_uuid("categories", "t", "i")} end as category_id,
+                   {_draw(_D, 3)} % 100 < 95 as active, {_ago(_draw(_E, 2), generate.YEAR)} as created_at
+            from (select *, {_pick(generate.CATEGORIES, _draw(_D, 0))} as category from {_PART}) c""",
+)
+def _(spark, sf):
+    made = generate.products(SOURCE, _products(spark, sf))
+    return made.withColumn("price", F.col("price").cast("double"))
+
+
+def _name(i: str) -> str:
+    d = _digest("customers", "t", i)
+    return f"concat_ws(' ', {_pick(generate.FIRST_NAMES, _draw(d, 0))}, {_pick(generate.LAST_NAMES, _draw(d, 1))})"
+
+
+def _email(i: str) -> str:
+    return f"concat(lower(replace({_name(i)}, ' ', '.')), '.', cast({i} as varchar), '@example.com')"
+
+
+_D, _E = _digest("customers", "t", "i"), _digest("customers-more", "t", "i")
+
+
+@query(
+    "gen_customers",
+    sql=f"""select {_uuid("customers", "t", "i")} as customer_id, t as tenant_id, {_name("i")} as name,
+                   {_email("i")} as email,
+                   concat('{{"phone":"+1-555-', lpad(cast({_draw(_E, 0)} % 10000 as varchar), 4, '0'),
+                          '","address":"', cast({_draw(_E, 1)} % 9999 + 1 as varchar), ' ',
+                          {_pick(generate.NOUNS, _draw(_E, 2))}, ' St","loyalty_tier":"',
+                          {_pick(generate.LOYALTY_TIERS, _draw(_D, 2))}, '","signup_source":"',
+                          {_pick(generate.SIGNUP_SOURCES, _draw(_D, 3))}, '"}}') as metadata,
+                   {_ago(_draw(_E, 3), generate.YEAR)} as created_at
+            from {_CUSTOMER}""",
+)
+def _(spark, sf):
+    return generate.customers(SOURCE, _customers(spark, sf))
+
+
+_I = _digest("items", "t", "i")
+_ITEMS = f"""
+    select *, {_cents("p")} as cents, {_draw(_digest("quantities", "t", "i", "j"), 0)} % 5 + 1 as quantity
+    from (select *, ({_draw(_I, 1)} + j * ({_draw(_I, 2)} % {N_PRODUCTS // 5} + 1)) % {N_PRODUCTS} as p
+          from (select t, i, unnest(range(n)) as j
+                from (select *, {_weighted([1, 2, 3, 4, 5], generate.ITEM_COUNT_WEIGHTS, _draw(_I, 0))} as n
+                      from {_ORDER}) a) b) c"""
+_D, _E = _digest("orders", "t", "i"), _digest("orders-more", "t", "i")
+
+
+@query(
+    "gen_orders",
+    sql=f"""with items as ({_ITEMS}), totals as (select t, i, sum(cents * quantity) as total from items group by 1, 2)
+            select {_uuid("orders", "t", "i")} as order_id, t as tenant_id,
+                   concat('EXT', substr(cast(t as varchar), 1, 8), lpad(cast(i as varchar), 8, '0'))
+                       as external_order_id,
+                   {_uuid("customers", "t", "b")} as customer_id, {_name("b")} as customer_name_snapshot,
+                   {_email("b")} as customer_email_snapshot, cast(total as double) / 100 as total_amount,
+                   {_pick(["USD", "EUR", "GBP", "CAD"], _draw(_D, 1))} as currency,
+                   {_weighted(generate.ORDER_STATUSES, generate.STATUS_WEIGHTS, _draw(_D, 2))} as order_status,
+                   {_ago(_draw(_D, 3), generate.HALF_YEAR)} as order_date,
+                   {_pick(generate.ORDER_SOURCES, _draw(_E, 0))} as source
+            from (select *, {_draw(_D, 0)} % {N_CUSTOMERS} as b from totals) o""",
+)
+def _(spark, sf):
+    made = generate.orders(SOURCE, _orders(spark, sf), N_PRODUCTS, N_CUSTOMERS)
+    return made.withColumns(
+        {
+            "total_amount": F.col("total_amount").cast("double"),
+            "source": F.get_json_object("raw_payload", "$.source"),
+        }
+    ).drop("raw_payload", "created_at")
+
+
+@query(
+    "gen_order_items",
+    sql=f"""select {_uuid("order_items", "t", "i", "j")} as order_item_id, {_uuid("orders", "t", "i")} as order_id,
+                   t as tenant_id, {_uuid("products", "t", "p")} as product_id, cast(quantity as int) as quantity,
+                   cents / 100 as unit_price, cents * quantity / 100 as line_total
+            from ({_ITEMS}) i""",
+)
+def _(spark, sf):
+    made = generate.order_items(SOURCE, _orders(spark, sf), N_PRODUCTS)
+    return made.withColumns({c: F.col(c).cast("double") for c in ("unit_price", "line_total")})
+
+
+_D = _digest("price_history", "t", "i", "k")
+
+
+@query(
+    "gen_price_history",
+    sql=f"""with h as (select t, i, k, {_cents("i")} as base,
+                              case when {_draw(_D, 0)} % 100 < 10
+                                   then {_cents("i")} * ({_draw(_D, 1)} % 30001 + 85000) // 100000 end as moved
+                       from (select *, unnest(range({HISTORY})) as k from {_PART}) a)
+            select {_uuid("price_history", "t", "i", "k")} as id, t as tenant_id,
+                   {_uuid("products", "t", "i")} as product_id,
+                   coalesce(last_value(moved ignore nulls) over (partition by t, i order by k
+                            rows between unbounded preceding and current row), base) / 100 as price,
+                   {_ago(_draw(_D, 2), generate.YEAR)} as effective_from
+            from h""",
+)
+def _(spark, sf):
+    made = generate.price_history(SOURCE, _products(spark, sf), HISTORY)
+    return made.withColumn("price", F.col("price").cast("double")).drop("effective_to")
+
+
+_D = _digest("stock_events", "t", "i", "k")
+
+
+@query(
+    "gen_stock_events",
+    sql=f"""with e as (select t, i, k, {_draw(_digest("stock_start", "t", "i"), 0)} % 1001 as start,
+                              {_draw(_D, 0)} % 151 - 50 as delta
+                       from (select *, unnest(range({WALK})) as k from {_PART}) a),
+                 s as (select *, sum(delta) over (partition by t, i order by k) as moved from e)
+            select {_uuid("stock_events", "t", "i", "k")} as stock_event_id, t as tenant_id,
+                   {_uuid("products", "t", "i")} as product_id, delta,
+                   cast(moved + greatest(start, -min(moved) over (partition by t, i order by k)) as bigint)
+                       as resulting_level,
+                   {_ago(_draw(_D, 1), generate.HALF_YEAR)} as event_time,
+                   {_pick(generate.STOCK_SOURCES, _draw(_D, 2))} as source
+            from s""",
+)
+def _(spark, sf):
+    return generate.stock_events(SOURCE, _products(spark, sf), WALK).drop("meta")

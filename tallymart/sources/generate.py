@@ -1,0 +1,273 @@
+"""Seeded synthetic data. Every value is a function of (seed, table, tenant, row number).
+
+Rows can thus be made in any partitioning, again after a lost executor, and referred to from another
+table without a join. One digest per row gives four draws.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tallymart.functions.dates import at
+from tallymart.functions.ids import api_key_digest, hex_to_uuid
+from tallymart.schemas import CURRENCIES, ORDER_STATUSES, STOCK_SOURCES
+
+# Pools and weights (percent) of the generated fields.
+CATEGORIES = [
+    "Electronics", "Clothing", "Books", "Home & Garden", "Sports",
+    "Beauty", "Toys", "Automotive", "Health", "Food & Beverage",
+]
+STATUS_WEIGHTS = [10, 15, 20, 25, 20, 5, 5]
+ITEM_COUNT_WEIGHTS = [5, 25, 35, 25, 10]
+LOYALTY_TIERS = ["bronze", "silver", "gold", "platinum"]
+SIGNUP_SOURCES = ["web", "mobile", "referral", "organic"]
+ORDER_SOURCES = ["web", "mobile", "api"]
+PRESETS = {
+    "small": {"tenants": 2, "products": 1000, "orders": 5000, "customers": 100},
+    "medium": {"tenants": 5, "products": 50000, "orders": 100000, "customers": 1000},
+    "large": {"tenants": 10, "products": 500000, "orders": 2000000, "customers": 10000},
+}
+# Own vocabulary for names.
+ADJECTIVES = ["Amber", "Brisk", "Clear", "Dapper", "Early", "Fresh", "Grand", "Honest"]
+NOUNS = ["Anchor", "Basket", "Candle", "Drum", "Engine", "Feather", "Garden", "Harbor"]
+FIRST_NAMES = ["Ada", "Ben", "Cleo", "Dan", "Eve", "Finn", "Gia", "Hugo"]
+LAST_NAMES = ["Archer", "Baker", "Carter", "Dyer", "Fisher", "Mason", "Potter", "Weaver"]
+
+YEAR = 365 * 86400
+HALF_YEAR = 182 * 86400
+SLOTS_PER_BLOCK = 100_000
+
+
+@dataclass(frozen=True)
+class Source:
+    """Where the randomness comes from: a seed and the moment the data set ends."""
+
+    seed: int = 42
+    as_of: str = "2025-01-01 00:00:00"
+
+    def digest(self, table: str, *parts: Column) -> Column:
+        return F.md5(F.concat_ws("/", F.lit(f"{self.seed}/{table}"), *(p.cast("string") for p in parts)))
+
+    def uuid(self, table: str, *parts: Column) -> Column:
+        return hex_to_uuid(self.digest(f"{table}-id", *parts))
+
+    def ago(self, draw: Column, seconds: int) -> Column:
+        back = (draw % seconds).cast("decimal(18,6)")
+        return at(self.as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), back)
+
+
+def draw(digest: Column, k: int) -> Column:
+    """One of four numbers below 2^32 in a digest."""
+    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint")
+
+
+def pick(pool: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, pool)), (number % len(pool) + 1).cast("int"))
+
+
+def weighted(values: list, weights: list[int], number: Column) -> Column:
+    """A value by weight; the weights add up to 100."""
+    point, bound, chain = number % 100, 0, None
+    for value, weight in zip(values, weights):
+        bound += weight
+        chain = F.when(point < bound, value) if chain is None else chain.when(point < bound, value)
+    return chain
+
+
+def slots(tenants: DataFrame, count: int) -> DataFrame:
+    """``count`` numbered rows per tenant, spread in blocks so that a big count is not one task's work."""
+    blocks = F.sequence(F.lit(0), F.lit(max(count - 1, 0) // SLOTS_PER_BLOCK))
+    spread = tenants.select("tenant_id", F.explode(blocks).alias("block")).repartition("tenant_id", "block")
+    first = F.col("block") * SLOTS_PER_BLOCK
+    last = F.least(first + SLOTS_PER_BLOCK, F.lit(count)) - 1
+    return spread.select("tenant_id", F.explode(F.sequence(first, last)).cast("bigint").alias("i"))
+
+
+def tenants(source: Source, numbers: DataFrame) -> DataFrame:
+    """Tenants for the rows of ``numbers(i)``."""
+    tenant_id = source.uuid("tenants", F.col("i"))
+    d = source.digest("tenants", F.col("i"))
+    return numbers.select(
+        tenant_id.alias("tenant_id"),
+        F.concat_ws(" ", pick(ADJECTIVES, draw(d, 0)), pick(NOUNS, draw(d, 1)), F.lit("Inc")).alias("name"),
+        api_key_digest(F.concat(F.lit("api_key_"), tenant_id)).alias("api_key_hash"),
+        source.ago(draw(d, 2), 2 * YEAR).alias("created_at"),
+    )
+
+
+def price_cents(source: Source, tenant: Column, i: Column) -> Column:
+    """A product's base price: 5.99 to 999.99."""
+    return F.lit(599) + draw(source.digest("products", tenant, i), 1) % 99401
+
+
+def money(cents: Column, kind: str = "decimal(10,2)") -> Column:
+    return (cents / 100).cast(kind)
+
+
+def products(source: Source, rows: DataFrame) -> DataFrame:
+    tenant, i = F.col("tenant_id"), F.col("i")
+    d, e = source.digest("products", tenant, i), source.digest("products-more", tenant, i)
+    category = pick(CATEGORIES, draw(d, 0))
+    return rows.select(
+        source.uuid("products", tenant, i).alias("product_id"),
+        tenant,
+        F.concat(F.upper(F.substring(category, 1, 3)), F.lpad(i.cast("string"), 6, "0")).alias("sku"),
+        F.concat_ws(" ", pick(ADJECTIVES, draw(e, 0)), pick(NOUNS, draw(e, 1)), category).alias("name"),
+        money(price_cents(source, tenant, i)).alias("price"),
+        F.when(draw(d, 2) % 100 < 70, source.uuid("categories", tenant, i)).alias("category_id"),
+        (draw(d, 3) % 100 < 95).alias("active"),
+        source.ago(draw(e, 2), YEAR).alias("created_at"),
+    )
+
+
+def _customer_name(source: Source, tenant: Column, i: Column) -> Column:
+    d = source.digest("customers", tenant, i)
+    return F.concat_ws(" ", pick(FIRST_NAMES, draw(d, 0)), pick(LAST_NAMES, draw(d, 1)))
+
+
+def _customer_email(source: Source, tenant: Column, i: Column) -> Column:
+    name = F.lower(F.replace(_customer_name(source, tenant, i), F.lit(" "), F.lit(".")))
+    return F.concat(name, F.lit("."), i.cast("string"), F.lit("@example.com"))
+
+
+def customers(source: Source, rows: DataFrame) -> DataFrame:
+    tenant, i = F.col("tenant_id"), F.col("i")
+    d, e = source.digest("customers", tenant, i), source.digest("customers-more", tenant, i)
+    profile = F.struct(
+        F.concat(F.lit("+1-555-"), F.lpad((draw(e, 0) % 10000).cast("string"), 4, "0")).alias("phone"),
+        F.concat((draw(e, 1) % 9999 + 1).cast("string"), F.lit(" "), pick(NOUNS, draw(e, 2)), F.lit(" St")).alias("address"),
+        pick(LOYALTY_TIERS, draw(d, 2)).alias("loyalty_tier"),
+        pick(SIGNUP_SOURCES, draw(d, 3)).alias("signup_source"),
+    )
+    return rows.select(
+        source.uuid("customers", tenant, i).alias("customer_id"),
+        tenant,
+        _customer_name(source, tenant, i).alias("name"),
+        _customer_email(source, tenant, i).alias("email"),
+        F.to_json(profile).alias("metadata"),
+        source.ago(draw(e, 3), YEAR).alias("created_at"),
+    )
+
+
+def _item_count(source: Source, tenant: Column, i: Column, n_products: int) -> Column:
+    wanted = weighted([1, 2, 3, 4, 5], ITEM_COUNT_WEIGHTS, draw(source.digest("items", tenant, i), 0))
+    return F.least(wanted, F.lit(n_products))
+
+
+def _item_product(source: Source, tenant: Column, i: Column, j: Column, n_products: int) -> Column:
+    """Product number of an order's j-th item; a stride below a fifth of the range keeps them distinct."""
+    d = source.digest("items", tenant, i)
+    stride = draw(d, 2) % max(n_products // 5, 1) + 1
+    return (draw(d, 1) + j * stride) % n_products
+
+
+def _item_quantity(source: Source, tenant: Column, i: Column, j: Column) -> Column:
+    return draw(source.digest("quantities", tenant, i, j), 0) % 5 + 1
+
+
+def orders(source: Source, rows: DataFrame, n_products: int, n_customers: int) -> DataFrame:
+    """Orders whose total is the sum of the items that ``order_items`` makes for them."""
+    tenant, i = F.col("tenant_id"), F.col("i")
+    d, e = source.digest("orders", tenant, i), source.digest("orders-more", tenant, i)
+    buyer = draw(d, 0) % n_customers
+    placed = source.ago(draw(d, 3), HALF_YEAR)
+    lines = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), _item_count(source, tenant, i, n_products).cast("bigint") - 1),
+        lambda j: price_cents(source, tenant, _item_product(source, tenant, i, j, n_products))
+        * _item_quantity(source, tenant, i, j),
+    )
+    payload = F.struct(
+        pick(ORDER_SOURCES, draw(e, 0)).alias("source"),
+        F.when(draw(e, 1) % 100 < 30, F.lower(pick(NOUNS, draw(e, 3)))).alias("campaign"),
+        F.when(draw(e, 2) % 100 < 10, F.upper(pick(ADJECTIVES, draw(e, 3)))).alias("discount_code"),
+    )
+    return rows.select(
+        source.uuid("orders", tenant, i).alias("order_id"),
+        tenant,
+        F.concat(F.lit("EXT"), F.substring(tenant.cast("string"), 1, 8), F.lpad(i.cast("string"), 8, "0")).alias(
+            "external_order_id"
+        ),
+        source.uuid("customers", tenant, buyer).alias("customer_id"),
+        _customer_name(source, tenant, buyer).alias("customer_name_snapshot"),
+        _customer_email(source, tenant, buyer).alias("customer_email_snapshot"),
+        money(F.aggregate(lines, F.lit(0).cast("bigint"), lambda total, x: total + x), "decimal(12,2)").alias(
+            "total_amount"
+        ),
+        pick(CURRENCIES, draw(d, 1)).alias("currency"),
+        weighted(ORDER_STATUSES, STATUS_WEIGHTS, draw(d, 2)).alias("order_status"),
+        placed.alias("order_date"),
+        F.to_json(payload, {"ignoreNullFields": "false"}).alias("raw_payload"),
+        placed.alias("created_at"),
+    )
+
+
+def order_items(source: Source, rows: DataFrame, n_products: int) -> DataFrame:
+    """The items of the orders numbered by ``rows``."""
+    tenant, i, j = F.col("tenant_id"), F.col("i"), F.col("j")
+    numbered = rows.select(
+        tenant, i, F.explode(F.sequence(F.lit(0), _item_count(source, tenant, i, n_products) - 1)).alias("j")
+    )
+    product = _item_product(source, tenant, i, j, n_products)
+    priced = numbered.withColumns(
+        {"p": product, "quantity": _item_quantity(source, tenant, i, j).cast("int")}
+    ).withColumn("cents", price_cents(source, tenant, F.col("p")))
+    return priced.select(
+        source.uuid("order_items", tenant, i, j).alias("order_item_id"),
+        source.uuid("orders", tenant, i).alias("order_id"),
+        tenant,
+        source.uuid("products", tenant, F.col("p")).alias("product_id"),
+        "quantity",
+        money(F.col("cents")).alias("unit_price"),
+        money(F.col("cents") * F.col("quantity"), "decimal(12,2)").alias("line_total"),
+    )
+
+
+def _steps(rows: DataFrame, count: int) -> DataFrame:
+    return rows.select("tenant_id", "i", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("k"))
+
+
+def price_history(source: Source, rows: DataFrame, count: int = 100) -> DataFrame:
+    """Price records per product: one in ten moves the price by up to 15 % of the base price."""
+    tenant, i, k = F.col("tenant_id"), F.col("i"), F.col("k")
+    d = source.digest("price_history", tenant, i, k)
+    base = price_cents(source, tenant, i)
+    moved = F.when(draw(d, 0) % 100 < 10, F.floor(base * (draw(d, 1) % 30001 + 85000) / F.lit(100000)))
+    # A product's history is ``count`` rows, so this window is small.
+    so_far = Window.partitionBy("tenant_id", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    steps = _steps(rows, count).withColumn("moved", moved)
+    return steps.withColumn("cents", F.coalesce(F.last("moved", ignorenulls=True).over(so_far), base)).select(
+        source.uuid("price_history", tenant, i, k).alias("id"),
+        tenant,
+        source.uuid("products", tenant, i).alias("product_id"),
+        money(F.col("cents")).alias("price"),
+        source.ago(draw(d, 2), YEAR).alias("effective_from"),
+        F.lit(None).cast("timestamp_ntz").alias("effective_to"),
+    )
+
+
+def stock_events(source: Source, rows: DataFrame, count: int = 1000) -> DataFrame:
+    """A stock walk per product that never falls below zero."""
+    tenant, i, k = F.col("tenant_id"), F.col("i"), F.col("k")
+    d = source.digest("stock_events", tenant, i, k)
+    start = draw(source.digest("stock_start", tenant, i), 0) % 1001
+    so_far = Window.partitionBy("tenant_id", "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    steps = _steps(rows, count).withColumn("delta", draw(d, 0) % 151 - 50)
+    steps = steps.withColumn("moved", F.sum("delta").over(so_far)).withColumn("low", F.min("moved").over(so_far))
+    e = source.digest("stock_notes", tenant, i, k)
+    notes = F.struct(
+        F.when(draw(e, 0) % 100 < 30, F.concat_ws(" ", pick(ADJECTIVES, draw(e, 1)), F.lit("count"))).alias("reason"),
+        F.when(draw(e, 2) % 100 < 50, pick(FIRST_NAMES, draw(e, 3))).alias("operator"),
+    )
+    return steps.select(
+        source.uuid("stock_events", tenant, i, k).alias("stock_event_id"),
+        tenant,
+        source.uuid("products", tenant, i).alias("product_id"),
+        "delta",
+        (F.col("moved") + F.greatest(start, -F.col("low"))).alias("resulting_level"),
+        source.ago(draw(d, 1), HALF_YEAR).alias("event_time"),
+        pick(STOCK_SOURCES, draw(d, 2)).alias("source"),
+        F.to_json(notes, {"ignoreNullFields": "false"}).alias("meta"),
+    )
