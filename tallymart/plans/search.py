@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     found = search.find(demo.orders(spark, sf), tenant_id=7)
     token = search.next_cursor(search.page(found, limit=PAGE, fields=["order_date", "order_id"]), PAGE)
-    return _shown(search.page(found, limit=PAGE, cursor=token))
+    return _shown(search.page(found, limit=PAGE if token else 0, cursor=token))
 
 
 _EXPORT = """select cast(order_id as varchar) as order_id, coalesce(cast(customer_id as varchar), 'None') as customer,

@@ -83,7 +83,7 @@ def slots(tenants: DataFrame, count: int) -> DataFrame:
     spread = tenants.select("tenant_id", F.explode(blocks).alias("block")).repartition("tenant_id", "block")
     first = F.col("block") * SLOTS_PER_BLOCK
     last = F.least(first + SLOTS_PER_BLOCK, F.lit(count)) - 1
-    return spread.select("tenant_id", F.explode(F.sequence(first, last)).cast("bigint").alias("i"))
+    return spread.select("tenant_id", F.explode(F.sequence(first, last).cast("array<bigint>")).alias("i"))
 
 
 def tenants(source: Source, numbers: DataFrame) -> DataFrame:

@@ -1,0 +1,255 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallymart.operators import loading, uploads, upsert, validate
+from tallymart.session import fresh_dir
+from tallymart.sources import files
+from tallymart.sources.store import TableStore
+from tallymart.streaming import ingest, run
+
+AS_OF = "2024-01-01 00:00:00"
+UUID = "0e37df36-f698-11e6-8dd4-cb9ced3df976"
+ORDER = {
+    "order_id": UUID, "external_order_id": "E1", "customer_id": UUID, "customer_name_snapshot": "Ann",
+    "customer_email_snapshot": "a@x.org", "total_amount": 10.5, "currency": "USD", "order_status": "pending",
+    "order_date": "2024-01-01T10:00:00", "raw_payload": {"source": "web"},
+}
+ITEM = {"order_item_id": UUID, "order_id": UUID, "product_id": UUID, "quantity": 2, "unit_price": 1.5, "line_total": 3.0}
+CUSTOMER = {"customer_id": UUID, "name": "Ann", "email": "a@x.org"}
+
+
+def check(spark, kind, *lines):
+    text = [line if isinstance(line, str) else json.dumps(line) for line in lines]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "n int, value string")
+    checked = validate.validate(validate.from_json(files.records(df), kind), kind, "t", AS_OF)
+    return {r.n: r for r in checked.collect()}
+
+
+def without(record, *keys, **changes):
+    return {k: v for k, v in {**record, **changes}.items() if k not in keys}
+
+
+@pytest.mark.parametrize(
+    "line, reason",
+    [
+        (ORDER, None),
+        (without(ORDER, "currency"), "Missing required field: currency"),
+        (without(ORDER, order_id="not-a-uuid"), "Invalid order_id format: not-a-uuid"),
+        (without(ORDER, order_id=None), "Invalid order_id format: None"),
+        (without(ORDER, customer_id="x"), "Invalid customer_id format: x"),
+        (without(ORDER, customer_id=None), None),
+        (without(ORDER, total_amount=-1), "total_amount must be non-negative"),
+        (without(ORDER, total_amount="abc"), "could not convert string to float: 'abc'"),
+        (without(ORDER, total_amount="12f"), "could not convert string to float: '12f'"),
+        (without(ORDER, total_amount=None), validate.NO_FLOAT),
+        (without(ORDER, total_amount=float("nan")), "total_amount must be a finite number"),
+        (without(ORDER, total_amount="1e3"), None),
+        (without(ORDER, total_amount=1e11), "total_amount out of range"),
+        (without(ORDER, currency="JPY"), "Invalid currency: JPY"),
+        (without(ORDER, currency=None), "Invalid currency: None"),
+        (without(ORDER, order_status="unknown"), "Invalid order_status: unknown"),
+        (without(ORDER, external_order_id="e" * 101), "External order ID too long: " + "e" * 101),
+        (without(ORDER, external_order_id=None), "Missing required field: external_order_id"),
+        (without(ORDER, customer_name_snapshot="n" * 256), "Customer name too long: " + "n" * 256),
+        (without(ORDER, customer_email_snapshot=None), validate.NO_LENGTH),
+        (without(ORDER, order_date="not-a-date"), "Invalid order_date format: not-a-date"),
+        (without(ORDER, order_date="2024-13-01"), "Invalid order_date format: 2024-13-01"),
+        (without(ORDER, created_at="soon"), "Invalid created_at format: soon"),
+        # Several faults: the first rule wins.
+        (without(ORDER, currency="JPY", total_amount=-1), "total_amount must be non-negative"),
+        ('{"order_id": "x"', "invalid JSON"),
+        (json.dumps(ORDER) + " tail", "invalid JSON"),
+        (json.dumps(ORDER) + json.dumps(ORDER), "invalid JSON"),
+        (f"[{json.dumps(ORDER)}]", "invalid JSON"),
+        ("17", "invalid JSON"),
+        (json.dumps(ORDER).replace('"', "'"), "invalid JSON"),
+    ],
+)
+def test_order_rules(spark, line, reason):
+    assert check(spark, "orders", line)[0].reason == reason
+
+
+@pytest.mark.parametrize(
+    "change, reason",
+    [
+        ({"quantity": 0}, "quantity must be at least 1"),
+        ({"quantity": 5.7}, None),
+        ({"quantity": "5"}, None),
+        ({"quantity": "5.7"}, "invalid literal for int() with base 10: '5.7'"),
+        ({"quantity": None}, validate.NO_INT),
+        ({"quantity": 3_000_000_000}, "quantity out of range"),
+        ({"product_id": ""}, validate.BAD_ITEM_ID),
+        ({"line_total": -0.01}, "line_total must be non-negative"),
+        ({"unit_price": 1e9}, "unit_price out of range"),
+    ],
+)
+def test_item_rules(spark, change, reason):
+    row = check(spark, "order_items", {**ITEM, **change})[0]
+    assert row.reason == reason
+    if change.get("quantity") == 5.7:
+        assert row.quantity == 5
+
+
+@pytest.mark.parametrize(
+    "payload, stored",
+    [
+        ({"a": {"b": [1, 2]}}, {"a": {"b": [1, 2]}}),
+        (None, {}),
+        ("plain", {"value": "plain"}),
+        ('{"tier": "gold"}', {"tier": "gold"}),
+        ("{'tier': 'gold'}", {"value": "{'tier': 'gold'}"}),
+        ('{"tier": 1} tail', {"value": '{"tier": 1} tail'}),
+        (7, {"value": "7"}),
+        (True, {"value": "True"}),
+    ],
+)
+def test_payload_forms(spark, payload, stored):
+    assert json.loads(check(spark, "customers", {**CUSTOMER, "metadata": payload})[0].metadata) == stored
+
+
+def test_uuid_spellings_and_blank_lines(spark):
+    spelled = [UUID.upper(), "{" + UUID + "}", "urn:uuid:" + UUID, UUID.replace("-", "")]
+    rows = check(spark, "customers", "", "   ", *({**CUSTOMER, "customer_id": s} for s in spelled))
+    assert len(rows) == 4 and {r.customer_id for r in rows.values()} == {UUID}
+
+
+def test_the_last_of_repeated_keys_counts(spark):
+    line = json.dumps(CUSTOMER)[:-1] + ', "name": "Bea"}'
+    assert check(spark, "customers", line)[0].name == "Bea"
+
+
+def test_csv_without_a_required_column(spark):
+    rows = spark.createDataFrame([(UUID, "S1", "n")], "product_id string, sku string, name string")
+    checked = validate.validate(validate.from_csv(rows, "products"), "products", "t", AS_OF)
+    assert checked.first().reason == "Missing required field: price"
+
+
+def test_csv_with_quoted_line_breaks(spark):
+    path = fresh_dir(spark, "csv")
+    header = "product_id,sku,name,price,category_id,active\n"
+    spark.createDataFrame([(header + f'{UUID},S1,"two\nlines, ""q""",3.5,,False',)], "value string").coalesce(1).write.text(path)
+    row = validate.validate(validate.from_csv(files.scan_csv(spark, path), "products"), "products", "t", AS_OF).first()
+    assert (row.reason, row.name, row.active, row.category_id) == (None, 'two\nlines, "q"', False, None)
+
+
+def test_line_numbers_over_many_splits(spark):
+    path = fresh_dir(spark, "lines")
+    body = "\n".join("" if i % 13 == 0 else f"line {i}" for i in range(1, 3001))
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        lines = files.scan_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 3
+        numbered = files.number_lines(files.records(lines), lines).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(numbered) == 3000 - 230
+    assert all(r.value == f"line {r.line}" for r in numbered)
+
+
+@pytest.mark.parametrize(
+    "path, table, csv",
+    [
+        ("/in/customers_t.ndjson", "customers", False),
+        ("/in/orders_t_chunk_0000.csv", "orders", True),
+        ("/in/order_items_t.csv.gz", "order_items", True),
+        ("/in/products_t.ndjson/part-00000-x.txt", "products", False),
+        ("/customers_/events.ndjson", None, False),
+        ("/in/order_t.ndjson", None, False),
+    ],
+)
+def test_routing(spark, path, table, csv):
+    df = spark.createDataFrame([(path,)], "p string")
+    row = df.select(files.route(F.col("p")).alias("t"), files.is_csv(F.col("p")).alias("c")).first()
+    assert (row.t, row.c) == (table, csv)
+
+
+def test_checksums_tell_files_apart(spark):
+    path = fresh_dir(spark, "sums")
+    for text in ("a", "a", "b"):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(path)
+    sums = files.checksums(spark, path).collect()
+    assert len(sums) == 3 and len({r.checksum for r in sums}) == 2 and all(r.bytes == 2 for r in sums)
+
+
+def test_manifest_skips_known_and_repeated_files(spark):
+    made = spark.createDataFrame(
+        [("u", 1, "x"), ("u", 2, "known"), ("u", 3, "x"), ("u", 4, "y"), ("v", 5, "z")],
+        "upload_id string, file bigint, checksum string",
+    )
+    existing = spark.createDataFrame([("u", "known", 6)], "upload_id string, checksum string, chunk_index bigint")
+    rows = uploads.chunk_manifest(made, existing, block=F.floor(F.col("file") / 2)).collect()
+    assert {(r.upload_id, r.file): r.chunk_index for r in rows} == {("u", 1): 7, ("u", 4): 8, ("v", 5): 0}
+
+
+def test_promotion_rejects_ids_held_under_another_key(spark):
+    columns = "id string, tenant string, key string, v int"
+    existing = spark.createDataFrame([("1", "t", "a", 0), ("2", "t", "b", 0)], columns)
+    staged = spark.createDataFrame(
+        [("1", "t", "a", 1, 0), ("9", "t", "b", 2, 1), ("1", "t", "c", 3, 2), ("7", "t", "d", 4, 3), ("7", "t", "e", 5, 4)],
+        columns + ", pos int",
+    )
+    done = upsert.promote(existing, staged, ["tenant", "key"], "id", ["pos"])
+    assert {(r.key, r.id, r.v) for r in done.merged.collect()} == {("a", "1", 1), ("b", "9", 2), ("e", "7", 5)}
+    assert {(r.key, r.reason) for r in done.rejected.collect()} == {("c", upsert.DUPLICATE_ID), ("d", upsert.DUPLICATE_ID)}
+
+
+def test_last_write_is_ranked_before_the_shuffle(spark):
+    df = spark.range(10).withColumn("k", F.col("id") % 3)
+    plan = upsert.last_per_key(df, ["k"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def write_orders(spark, folder, name, orders):
+    lines = spark.createDataFrame([(json.dumps(o),) for o in orders], "value string")
+    lines.coalesce(1).write.mode("append").text(f"{folder}/{name}")
+
+
+def test_load_reports_lines_and_keeps_the_last_write(spark):
+    folder = fresh_dir(spark, "in")
+    other = "1e37df36-f698-11e6-8dd4-cb9ced3df976"
+    write_orders(spark, folder, "orders_t.ndjson", [ORDER, without(ORDER, "currency"), {**ORDER, "order_id": other, "total_amount": 99}])
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    done = loading.load_files(store, "orders", f"{folder}/orders_t*", "t", AS_OF, 1)
+    assert [(r.line, r.reason) for r in done.rejected.collect()] == [(2, "Missing required field: currency")]
+    outcome = done.files.first()
+    assert (outcome.rows_received, outcome.rows_inserted, outcome.rows_failed) == (3, 2, 1)
+    assert outcome.status == "completed_with_errors"
+    stored = store.read("orders").collect()
+    assert [(r.order_id, float(r.total_amount)) for r in stored] == [(other, 99.0)]
+
+
+def test_streamed_files_upsert_across_batches(spark):
+    folder, checkpoint = fresh_dir(spark, "in"), fresh_dir(spark, "checkpoint")
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    handler = ingest.apply_to(store, "t", AS_OF)
+    other = "1e37df36-f698-11e6-8dd4-cb9ced3df976"
+    write_orders(spark, folder, "orders_t_chunk_0000.ndjson", [ORDER])
+    run.each_batch(ingest.arriving_lines(spark, folder), handler, checkpoint)
+    late = [{**ORDER, "order_status": "shipped"}, {**ORDER, "order_id": other, "external_order_id": "E2"}, "not json"]
+    write_orders(spark, folder, "orders_t_chunk_0001.ndjson", late)
+    run.each_batch(ingest.arriving_lines(spark, folder), handler, checkpoint)
+    rows = {r.external_order_id: r.order_status for r in store.read("orders").collect()}
+    assert rows == {"E1": "shipped", "E2": "pending"}
+    rejected = spark.read.parquet(f"{store.root}/_rejects/orders")
+    assert rejected.count() == 1
+    assert store.compact("orders", fresh_dir(spark, "compact")).read("orders").count() == 2
+
+
+def test_status_words(spark):
+    chunks = spark.createDataFrame(
+        [("a", 0, "completed", 5, 0), ("a", 1, "failed", 0, 1), ("b", 0, "failed", 0, 1), ("c", 0, "completed_with_errors", 3, 2),
+         ("d", 0, "failed", 0, 0), ("d", 1, "pending", 0, 0)],
+        "upload_id string, chunk_index int, status string, rows int, n_errors int",
+    )
+    words = {r.upload_id: r.status for r in uploads.upload_verdict(chunks).collect()}
+    assert words == {"a": "completed_with_errors", "b": "failed", "c": "completed", "d": "processing"}
+    again = uploads.resume(chunks, [0])
+    assert {r.upload_id: r.chunks_queued for r in uploads.queued(again).collect()} == {"a": 1, "b": 1, "c": 1, "d": 1}
+    assert [(r.upload_id, r.chunk_index) for r in uploads.to_do(uploads.resume(chunks)).collect()] == [
+        ("a", 1), ("b", 0), ("d", 0), ("d", 1)
+    ]
