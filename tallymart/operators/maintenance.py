@@ -37,15 +37,17 @@ def month_of(ts: str = "order_date") -> Column:
 def write_by_month(orders: DataFrame, path: str) -> None:
     """Orders partitioned by month of their date.
 
-    Each task writes the months it holds; no month is gathered into one task.
+    Rebalancing brings a month together so that it fills few files, but splits a month that is too
+    big for one task.
     """
-    orders.withColumn("order_month", month_of()).write.partitionBy("order_month").parquet(path)
+    dated = orders.withColumn("order_month", month_of())
+    dated.hint("rebalance", "order_month").write.partitionBy("order_month").parquet(path)
 
 
 def write_by_tenant(products: DataFrame, path: str, buckets: int = 8) -> None:
     """Products spread over a fixed number of tenant buckets, as folders that a tenant filter can prune."""
     bucket = F.pmod(F.hash("tenant_id"), F.lit(buckets))
-    products.withColumn("tenant_bucket", bucket).write.partitionBy("tenant_bucket").parquet(path)
+    products.withColumn("tenant_bucket", bucket).hint("rebalance", "tenant_bucket").write.partitionBy("tenant_bucket").parquet(path)
 
 
 def tenant_bucket(tenant_id: Column, buckets: int = 8) -> Column:

@@ -34,17 +34,26 @@ def arrival() -> list[Column]:
     return [F.asc("received_at"), F.asc("event_id")]
 
 
+def at_least(old: Column, new: Column, percent: int) -> Column:
+    """Whether the change is at least so many percent: exact, and without a division."""
+    return F.abs(new - old) * 100 >= old * percent
+
+
+def is_anomaly(old: Column, new: Column) -> Column:
+    notable = at_least(old, new, NOTABLE_PCT) & (old > NOTABLE_ABOVE_PRICE)
+    return F.coalesce((old > 0) & (at_least(old, new, SIGNIFICANT_PCT) | notable), F.lit(False))
+
+
 def anomaly_reason(old: Column, new: Column) -> Column:
     """Anomaly text, NULL for an ordinary change. Classes are decided on the unrounded percentage."""
-    pct = pct_change(old, new)
-    size = F.abs(pct)
-    # One digit, ties to even.
-    shown = F.concat(F.bround(pct, 1).cast("decimal(20,1)").cast("string"), F.lit("%"))
-    return (
-        F.when(size >= EXTREME_PCT, F.concat(F.lit(EXTREME_TEXT), shown))
-        .when(size >= SIGNIFICANT_PCT, F.concat(F.lit(SIGNIFICANT_TEXT), shown))
-        .when((size >= NOTABLE_PCT) & (old > NOTABLE_ABOVE_PRICE), F.concat(F.lit(NOTABLE_TEXT), shown))
+    label = (
+        F.when(at_least(old, new, EXTREME_PCT), EXTREME_TEXT)
+        .when(at_least(old, new, SIGNIFICANT_PCT), SIGNIFICANT_TEXT)
+        .otherwise(NOTABLE_TEXT)
     )
+    # One digit, ties to even.
+    shown = F.bround(pct_change(old, new), 1).cast("decimal(20,1)").cast("string")
+    return F.when(is_anomaly(old, new), F.concat(label, shown, F.lit("%")))
 
 
 def with_change(events: DataFrame) -> DataFrame:
@@ -53,9 +62,10 @@ def with_change(events: DataFrame) -> DataFrame:
     return events.withColumns(
         {
             "pct_change": stored_pct(pct_change(old, new)),
+            "anomaly_flag": is_anomaly(old, new),
             "anomaly_reason": anomaly_reason(old, new),
         }
-    ).withColumn("anomaly_flag", F.col("anomaly_reason").isNotNull())
+    )
 
 
 def price_error() -> Column:

@@ -281,7 +281,7 @@ def stock_movements(events: DataFrame) -> DataFrame:
 
 def stock_blocks() -> Column:
     """Sequence blocks of the stock events: no group of the fold is larger than one block."""
-    return F.floor(F.col("seq") / stock.EVENTS_PER_BLOCK)
+    return F.expr(f"seq div {stock.EVENTS_PER_BLOCK}")
 
 
 def stock_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,17 +297,21 @@ def price_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_requests(events: DataFrame) -> DataFrame:
     """Price change requests from a batch or stream of events."""
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
-    kind = F.col("event_type")
-    cents = F.round(F.col("value") * 100).cast("bigint")
+    k, cents, kind = F.col("k"), F.col("cents"), F.col("event_type")
+    read = events.withColumns(
+        {
+            "k": F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"),
+            "cents": F.round(F.col("value") * 100).cast("bigint"),
+        }
+    )
     scaled = (
         F.when(kind == "error", cents * 2 * (k + 1))
         .when((kind == "view") & (k == 0), 0)
-        .otherwise(F.floor(cents * (50 + k) / F.lit(100)))
+        .otherwise(F.expr("cents * (50 + k) div 100"))
     )
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - PRICE_EPOCH
     arrival = F.timestamp_micros(F.floor(micros / 10000) + PRICE_EPOCH)
-    return events.select(
+    return read.select(
         "event_id",
         (F.col("user_id") % 10).alias("tenant_id"),
         F.when(k >= 95, -F.col("user_id") - 1).otherwise(F.col("user_id")).alias("product_id"),

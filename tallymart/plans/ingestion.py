@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions.ids import hex_to_uuid
 from tallymart.operators import loading, uploads, upsert, validate
+from tallymart.operators.prefix import number_rows
 from tallymart.plans import demo
 from tallymart.plans.catalog import query
 from tallymart.schemas import LOAD_ORDER
@@ -30,11 +33,20 @@ def sql_uuid(key: str) -> str:
     )
 
 
-def received(spark, lines: DataFrame) -> DataFrame:
-    """The lines as a written table, so that making them up is no part of the job that reads them."""
-    folder = fresh_dir(spark, "lines")
-    lines.write.option("maxRecordsPerFile", RECORDS_PER_CHUNK).parquet(folder)
-    return spark.read.parquet(folder)
+_RECEIVED: dict[tuple[str, str, str], str] = {}
+
+
+def received(spark, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The lines as a written table, so that making them up is no part of the job that reads them.
+
+    They are written once per session and test scale.
+    """
+    at = (spark.sparkContext.applicationId, sf, name)
+    if at not in _RECEIVED:
+        folder = fresh_dir(spark, name)
+        make().write.option("maxRecordsPerFile", RECORDS_PER_CHUNK).parquet(folder)
+        _RECEIVED[at] = folder
+    return spark.read.parquet(_RECEIVED[at])
 
 
 def member(name: str, value: Column, quoted: bool = True) -> Column:
@@ -106,7 +118,7 @@ _CHECKED_ORDERS = f"""
 
 
 def _checked_orders(spark, sf) -> DataFrame:
-    lines = files.records(received(spark, order_lines(demo.orders(spark, sf))))
+    lines = files.records(received(spark, sf, "order-lines", lambda: order_lines(demo.orders(spark, sf))))
     return validate.validate(validate.from_json(lines, "orders"), "orders", TENANT, AS_OF).drop("value")
 
 
@@ -194,7 +206,7 @@ _CUSTOMER_COLUMNS = ["customer_id", "name", "email", "metadata", "created_at"]
 
 @query("validate_customers", "d_customers", _sql_whole_or_reason(_CUSTOMERS, *_CUSTOMER_COLUMNS))
 def _(spark, sf):
-    lines = received(spark, customer_lines(demo.customers(spark, sf)))
+    lines = received(spark, sf, "customer-lines", lambda: customer_lines(demo.customers(spark, sf)))
     fields = validate.from_json(lines, "customers")
     return _whole_or_reason(validate.validate(fields, "customers", TENANT, AS_OF), *_CUSTOMER_COLUMNS)
 
@@ -236,7 +248,8 @@ def _typed_products(checked: DataFrame) -> DataFrame:
 
 @query("validate_products", "d_products", _sql_whole_or_reason(_PRODUCTS, *_PRODUCT_COLUMNS))
 def _(spark, sf):
-    fields = validate.from_csv(received(spark, product_records(demo.products(spark, sf))), "products")
+    rows = received(spark, sf, "product-rows", lambda: product_records(demo.products(spark, sf)))
+    fields = validate.from_csv(rows, "products")
     return _typed_products(validate.validate(fields, "products", TENANT, AS_OF))
 
 
@@ -291,7 +304,7 @@ _ITEMS = f"""
 
 
 def _checked_items(spark, sf) -> DataFrame:
-    lines = received(spark, item_lines(demo.table(spark, sf, "lineitem")))
+    lines = received(spark, sf, "item-lines", lambda: item_lines(demo.table(spark, sf, "lineitem")))
     fields = validate.from_json(lines, "order_items")
     return validate.validate(fields, "order_items", TENANT, AS_OF).drop("value")
 
@@ -523,15 +536,13 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Files of an upload are told apart by checksum; orders of early years are already registered."""
-    from tallymart.operators.prefix import number_rows
-
     named = demo.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("upload_id"),
         F.col("o_orderkey").alias("file_no"),
         F.sha2(F.concat(F.col("o_custkey").cast("string"), "o_orderpriority"), 256).alias("checksum"),
         (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).alias("old"),
     )
-    block = F.floor(F.col("file_no") / 1_000_000)
+    block = F.expr("file_no div 1000000")
     existing = number_rows(named.filter("old"), ["upload_id"], block, ["file_no"], "chunk_index")
     return uploads.chunk_manifest(
         named.filter("not old").drop("old"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions.dates import iso_text
@@ -43,15 +43,16 @@ def export_rows(orders: DataFrame, **filters) -> DataFrame:
     )
 
 
-def export(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+def export(rows: DataFrame, path: str, fmt: str = "csv", ordered: bool = False) -> None:
     """Write an export as a folder of gzipped files.
 
     The commit protocol publishes files only when their task succeeded, so a lost executor leaves no
-    half-written file behind. Files are ordered by order id across the folder.
+    half-written file behind. Rows are written where they are read; ``ordered`` sorts them by order id
+    across the files, which costs a shuffle of the whole export.
     """
     if fmt not in EXPORT_FORMATS:
         raise ValueError("unsupported format")
-    writer = rows.orderBy("order_id").write.option("compression", "gzip")
+    writer = (rows.orderBy("order_id") if ordered else rows).write.option("compression", "gzip")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
@@ -73,8 +74,6 @@ def manifest(spark: SparkSession, path: str, fmt: str, rows: int | None = None)
 
     Only file listings are read unless the row count has to be counted.
     """
-    from pyspark.sql import Window
-
     files = (
         spark.read.format("binaryFile")
         .load(path)
