@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions.dates import before
 
-EVENTS_PER_BLOCK = 1_000_000
+EVENTS_PER_BLOCK = 10_000_000
 
 NOT_FOUND = "product not found"
 BAD_DELTA = "processing error: delta is not an integer"

@@ -137,9 +137,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Job totals of a Parquet export; sizes depend on the writer, so only their presence is compared."""
     path = fresh_dir(spark, "export")
-    export.export(export.export_rows(demo.orders(spark, sf)), path, "parquet")
+    rows = export.export(export.export_rows(demo.orders(spark, sf)), path, "parquet")
     return (
-        export.manifest(spark, path, "parquet")
+        export.manifest(spark, path, "parquet", rows)
         .groupBy("status", "format", "rows")
         .agg((F.sum("bytes") > 0).alias("has_bytes"))
     )

@@ -12,10 +12,10 @@ from tallymart.sources.store import TableStore
 from tallymart.streaming import ingest, metrics, prices, run, stock
 
 
-def _arriving(spark, sf, name):
+def _arriving(spark, sf, name, size=64 << 30):
     """A test table as a stream of its files, be it one file or a folder."""
     path = f"{sf}/{name}.parquet"
-    return run.arriving(spark, f"{path}*", spark.read.parquet(path).schema)
+    return run.arriving(spark, f"{path}*", spark.read.parquet(path).schema, size=size)
 
 
 @query(
@@ -46,7 +46,7 @@ def _(spark, sf):
 @query("admit_ttl")
 def _(spark, sf):
     """Sequential per tenant, so SQL cannot state it; tests compare it with a plain loop."""
-    requests = demo.price_requests(_arriving(spark, sf, "events"))
+    requests = demo.price_requests(_arriving(spark, sf, "events", size=256 << 20))
     return run.collected(spark, prices.intake(requests, demo.products(spark, sf)))
 
 

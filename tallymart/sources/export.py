@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.functions.dates import iso_text
@@ -43,8 +43,8 @@ def export_rows(orders: DataFrame, **filters) -> DataFrame:
     )
 
 
-def export(rows: DataFrame, path: str, fmt: str = "csv", ordered: bool = False) -> None:
-    """Write an export as a folder of gzipped files.
+def export(rows: DataFrame, path: str, fmt: str = "csv", ordered: bool = False) -> int:
+    """Write an export as a folder of gzipped files; the number of rows, observed while writing.
 
     The commit protocol publishes files only when their task succeeded, so a lost executor leaves no
     half-written file behind. Rows are written where they are read; ``ordered`` sorts them by order id
@@ -52,13 +52,16 @@ def export(rows: DataFrame, path: str, fmt: str = "csv", ordered: bool = False)
     """
     if fmt not in EXPORT_FORMATS:
         raise ValueError("unsupported format")
-    writer = (rows.orderBy("order_id") if ordered else rows).write.option("compression", "gzip")
+    written = Observation()
+    observed = (rows.orderBy("order_id") if ordered else rows).observe(written, F.count("*").alias("rows"))
+    writer = observed.write.option("compression", "gzip")
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:
         writer.json(path)
+    return written.get["rows"]
 
 
 def read_export(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -69,26 +72,19 @@ def read_export(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return reader.parquet(path) if fmt == "parquet" else reader.json(path)
 
 
-def manifest(spark: SparkSession, path: str, fmt: str, rows: int | None = None) -> DataFrame:
-    """One row per exported file in index order, with the job's totals.
+def manifest(spark: SparkSession, path: str, fmt: str, rows: int) -> DataFrame:
+    """One row per exported file with the job's totals; only the file listing is read.
 
-    Only file listings are read unless the row count has to be counted.
+    The index is the number Spark gave the part file; parts without rows have no file.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .load(path)
-        .select(F.col("path").alias("storage_path"), F.col("length").alias("bytes"))
-    )
-    counted = F.lit(read_export(spark, path, fmt).count() if rows is None else rows).cast("bigint")
-    # A listing of one export's files: small by construction.
-    index = F.row_number().over(Window.orderBy("storage_path")) - 1
-    return files.select(
-        index.alias("chunk_index"),
-        "storage_path",
-        "bytes",
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.select(
+        F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("chunk_index"),
+        F.col("path").alias("storage_path"),
+        F.col("length").alias("bytes"),
         F.lit("completed").alias("status"),
         F.lit(fmt).alias("format"),
-        counted.alias("rows"),
+        F.lit(rows).cast("bigint").alias("rows"),
     )
 
 

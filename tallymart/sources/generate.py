@@ -123,45 +123,53 @@ def products(source: Source, rows: DataFrame) -> DataFrame:
     )
 
 
-def _customer_name(source: Source, tenant: Column, i: Column) -> Column:
-    d = source.digest("customers", tenant, i)
-    return F.concat_ws(" ", pick(FIRST_NAMES, draw(d, 0)), pick(LAST_NAMES, draw(d, 1)))
+def _customer_name(who: Column) -> Column:
+    return F.concat_ws(" ", pick(FIRST_NAMES, draw(who, 0)), pick(LAST_NAMES, draw(who, 1)))
 
 
-def _customer_email(source: Source, tenant: Column, i: Column) -> Column:
-    name = F.lower(F.replace(_customer_name(source, tenant, i), F.lit(" "), F.lit(".")))
-    return F.concat(name, F.lit("."), i.cast("string"), F.lit("@example.com"))
+def _customer_email(name: Column, i: Column) -> Column:
+    return F.concat(F.lower(F.replace(name, F.lit(" "), F.lit("."))), F.lit("."), i.cast("string"), F.lit("@example.com"))
 
 
 def customers(source: Source, rows: DataFrame) -> DataFrame:
-    tenant, i = F.col("tenant_id"), F.col("i")
-    d, e = source.digest("customers", tenant, i), source.digest("customers-more", tenant, i)
+    tenant, i, d, e = F.col("tenant_id"), F.col("i"), F.col("d"), F.col("e")
+    drawn = rows.withColumns(
+        {"d": source.digest("customers", tenant, i), "e": source.digest("customers-more", tenant, i)}
+    ).withColumn("name", _customer_name(d))
     profile = F.struct(
         F.concat(F.lit("+1-555-"), F.lpad((draw(e, 0) % 10000).cast("string"), 4, "0")).alias("phone"),
         F.concat((draw(e, 1) % 9999 + 1).cast("string"), F.lit(" "), pick(NOUNS, draw(e, 2)), F.lit(" St")).alias("address"),
         pick(LOYALTY_TIERS, draw(d, 2)).alias("loyalty_tier"),
         pick(SIGNUP_SOURCES, draw(d, 3)).alias("signup_source"),
     )
-    return rows.select(
+    return drawn.select(
         source.uuid("customers", tenant, i).alias("customer_id"),
         tenant,
-        _customer_name(source, tenant, i).alias("name"),
-        _customer_email(source, tenant, i).alias("email"),
+        "name",
+        _customer_email(F.col("name"), i).alias("email"),
         F.to_json(profile).alias("metadata"),
         source.ago(draw(e, 3), YEAR).alias("created_at"),
     )
 
 
-def _item_count(source: Source, tenant: Column, i: Column, n_products: int) -> Column:
-    wanted = weighted([1, 2, 3, 4, 5], ITEM_COUNT_WEIGHTS, draw(source.digest("items", tenant, i), 0))
-    return F.least(wanted, F.lit(n_products))
+def _with_item_draws(source: Source, rows: DataFrame, n_products: int) -> DataFrame:
+    """How many items an order has, and where its walk over the products starts and steps.
+
+    A stride below a fifth of the range keeps the products of an order distinct.
+    """
+    basket = F.col("basket")
+    wanted = weighted([1, 2, 3, 4, 5], ITEM_COUNT_WEIGHTS, draw(basket, 0))
+    return rows.withColumn("basket", source.digest("items", F.col("tenant_id"), F.col("i"))).withColumns(
+        {
+            "n_items": F.least(wanted, F.lit(n_products)),
+            "first_product": draw(basket, 1),
+            "stride": draw(basket, 2) % max(n_products // 5, 1) + 1,
+        }
+    )
 
 
-def _item_product(source: Source, tenant: Column, i: Column, j: Column, n_products: int) -> Column:
-    """Product number of an order's j-th item; a stride below a fifth of the range keeps them distinct."""
-    d = source.digest("items", tenant, i)
-    stride = draw(d, 2) % max(n_products // 5, 1) + 1
-    return (draw(d, 1) + j * stride) % n_products
+def _item_product(j: Column, n_products: int) -> Column:
+    return (F.col("first_product") + j * F.col("stride")) % n_products
 
 
 def _item_quantity(source: Source, tenant: Column, i: Column, j: Column) -> Column:
@@ -170,49 +178,51 @@ def _item_quantity(source: Source, tenant: Column, i: Column, j: Column) -> Colu
 
 def orders(source: Source, rows: DataFrame, n_products: int, n_customers: int) -> DataFrame:
     """Orders whose total is the sum of the items that ``order_items`` makes for them."""
-    tenant, i = F.col("tenant_id"), F.col("i")
-    d, e = source.digest("orders", tenant, i), source.digest("orders-more", tenant, i)
-    buyer = draw(d, 0) % n_customers
-    placed = source.ago(draw(d, 3), HALF_YEAR)
+    tenant, i, d, e = F.col("tenant_id"), F.col("i"), F.col("d"), F.col("e")
+    drawn = (
+        _with_item_draws(source, rows, n_products)
+        .withColumns({"d": source.digest("orders", tenant, i), "e": source.digest("orders-more", tenant, i)})
+        .withColumns({"buyer": draw(d, 0) % n_customers, "placed": source.ago(draw(d, 3), HALF_YEAR)})
+        .withColumn("who", source.digest("customers", tenant, F.col("buyer")))
+        .withColumn("name", _customer_name(F.col("who")))
+    )
     lines = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), _item_count(source, tenant, i, n_products).cast("bigint") - 1),
-        lambda j: price_cents(source, tenant, _item_product(source, tenant, i, j, n_products))
-        * _item_quantity(source, tenant, i, j),
+        F.sequence(F.lit(0).cast("bigint"), F.col("n_items").cast("bigint") - 1),
+        lambda j: price_cents(source, tenant, _item_product(j, n_products)) * _item_quantity(source, tenant, i, j),
     )
     payload = F.struct(
         pick(ORDER_SOURCES, draw(e, 0)).alias("source"),
         F.when(draw(e, 1) % 100 < 30, F.lower(pick(NOUNS, draw(e, 3)))).alias("campaign"),
         F.when(draw(e, 2) % 100 < 10, F.upper(pick(ADJECTIVES, draw(e, 3)))).alias("discount_code"),
     )
-    return rows.select(
+    return drawn.select(
         source.uuid("orders", tenant, i).alias("order_id"),
         tenant,
         F.concat(F.lit("EXT"), F.substring(tenant.cast("string"), 1, 8), F.lpad(i.cast("string"), 8, "0")).alias(
             "external_order_id"
         ),
-        source.uuid("customers", tenant, buyer).alias("customer_id"),
-        _customer_name(source, tenant, buyer).alias("customer_name_snapshot"),
-        _customer_email(source, tenant, buyer).alias("customer_email_snapshot"),
+        source.uuid("customers", tenant, F.col("buyer")).alias("customer_id"),
+        F.col("name").alias("customer_name_snapshot"),
+        _customer_email(F.col("name"), F.col("buyer")).alias("customer_email_snapshot"),
         money(F.aggregate(lines, F.lit(0).cast("bigint"), lambda total, x: total + x), "decimal(12,2)").alias(
             "total_amount"
         ),
         pick(CURRENCIES, draw(d, 1)).alias("currency"),
         weighted(ORDER_STATUSES, STATUS_WEIGHTS, draw(d, 2)).alias("order_status"),
-        placed.alias("order_date"),
+        F.col("placed").alias("order_date"),
         F.to_json(payload, {"ignoreNullFields": "false"}).alias("raw_payload"),
-        placed.alias("created_at"),
+        F.col("placed").alias("created_at"),
     )
 
 
 def order_items(source: Source, rows: DataFrame, n_products: int) -> DataFrame:
     """The items of the orders numbered by ``rows``."""
     tenant, i, j = F.col("tenant_id"), F.col("i"), F.col("j")
-    numbered = rows.select(
-        tenant, i, F.explode(F.sequence(F.lit(0), _item_count(source, tenant, i, n_products) - 1)).alias("j")
+    numbered = _with_item_draws(source, rows, n_products).select(
+        tenant, i, "first_product", "stride", F.explode(F.sequence(F.lit(0), F.col("n_items") - 1)).alias("j")
     )
-    product = _item_product(source, tenant, i, j, n_products)
     priced = numbered.withColumns(
-        {"p": product, "quantity": _item_quantity(source, tenant, i, j).cast("int")}
+        {"p": _item_product(j, n_products), "quantity": _item_quantity(source, tenant, i, j).cast("int")}
     ).withColumn("cents", price_cents(source, tenant, F.col("p")))
     return priced.select(
         source.uuid("order_items", tenant, i, j).alias("order_item_id"),

@@ -93,7 +93,7 @@ def intake(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Exact sequential intake: counters that restart with every admission, replays only of stored events.
 
     The rule is sequential per tenant, so it keeps a tenant's counters as state; how much of a tenant
-    meets in a task is bounded by the micro-batch (files per trigger). The batch twin counts per clock
+    meets in a task is bounded by the micro-batch (bytes per trigger). The batch twin counts per clock
     minute instead and has no such group.
     """
     listed = products.select("tenant_id", "product_id", F.lit(True).alias("listed"))

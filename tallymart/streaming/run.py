@@ -10,9 +10,13 @@ from pyspark.sql.types import StructType
 from tallymart.session import fresh_dir
 
 
-def arriving(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files as they arrive; the micro-batch is bounded by a number of files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def arriving(
+    spark: SparkSession, path: str, schema: StructType | str, *, files: int | None = None, size: int = 64 << 30
+) -> DataFrame:
+    """Parquet files as they arrive; the micro-batch is bounded by total size, or by a number of files."""
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxBytesPerTrigger", size) if files is None else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path)
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -21,7 +21,8 @@ def apply_to(
     """
 
     def apply(movements: DataFrame, batch: int) -> None:
-        levels = store.read("stock_levels", before=batch)
+        touched = movements.select(F.col("product_id").cast("string").alias("product_id"))
+        levels = store.read("stock_levels", before=batch, only=touched)
         fold = stock.fold(movements, products, block=block(), levels=levels)
         events = stock.applied_events(fold).select(
             F.col("seq").alias("stock_event_id"),

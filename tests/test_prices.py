@@ -123,7 +123,7 @@ def run_ttl(spark, rows, parts=1):
         size = -(-len(rows) // parts)
         piece = requests.filter((F.col("event_id") >= part * size) & (F.col("event_id") < (part + 1) * size))
         piece.coalesce(1).write.mode("append").parquet(folder)
-    arriving = run.arriving(spark, folder, requests.schema, files_per_batch=1)
+    arriving = run.arriving(spark, folder, requests.schema, files=1)
     answers = run.collected(spark, stream.intake(arriving, products_of(spark, rows)))
     return {r.event_id: (r.status, r.error) for r in answers.collect()}
 

@@ -107,7 +107,7 @@ def test_folding_batches_equals_folding_at_once(spark):
         piece.coalesce(1).write.mode("append").parquet(folder)
     store = TableStore(spark, fresh_dir(spark, "levels"))
     handler = stream.apply_to(store, products_of(spark, "a", "b", "c"), lambda: blocks(30))
-    arriving = run.arriving(spark, folder, EVENTS, files_per_batch=1)
+    arriving = run.arriving(spark, folder, EVENTS, files=1)
     # One file per micro-batch, in the order in which they were written.
     run.each_batch(arriving, handler, fresh_dir(spark, "checkpoint"))
     want, final = loop(rows, {})
