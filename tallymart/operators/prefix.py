@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, keys: list[str], block: Column, order: list[str], name: str) -> DataFrame:
-    """Number the rows of each key from 0 in ``order``.
+def number_rows(
+    df: DataFrame, keys: list[str], block: Column, order: list[str], name: str, start: DataFrame | None = None
+) -> DataFrame:
+    """Number the rows of each key in ``order``, from 0 or from the key's ``start``.
 
     ``block`` must grow with the order. Rows are ranked inside (key, block) only; block sizes,
-    one row each, supply the offset. Keys must not be NULL.
+    one row each, supply the offset, and ``start(*keys, start)`` is added to these. Keys must not be NULL.
     """
     blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
@@ -21,6 +23,9 @@ def number_rows(df: DataFrame, keys: list[str], block: Column, order: list[str],
         .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
+    if start is not None:
+        begun = F.col("_offset") + F.coalesce("start", F.lit(0))
+        offsets = offsets.join(start, keys, "left").withColumn("_offset", begun).drop("start")
     return (
         blocked.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*keys, "_block"])

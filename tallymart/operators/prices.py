@@ -27,6 +27,7 @@ NOT_POSITIVE = "Prices must be positive"
 OUT_OF_RANGE = "pct_change out of range"
 
 KEY_LIFETIME_HOURS = 24
+SALTS = 1024
 
 
 def arrival() -> list[Column]:
@@ -94,11 +95,20 @@ def first_requests(events: DataFrame, known_keys: DataFrame | None = None) -> Da
 
 
 def answer_replays(events: DataFrame) -> DataFrame:
-    """Every request with its status and the event that answered it."""
+    """Every request with its status and the event that answered it.
+
+    The answer of a much-repeated key has to reach all its rows: it is looked up per key and salt, so
+    that they spread over tasks, and only salts that occur get a row.
+    """
     keys = ["tenant_id", "idempotency_key"]
-    first = first_requests(events).select(*keys, F.col("event_id").alias("original_event_id"))
+    salted = events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)))
+    per_salt = salted.groupBy(*keys, "_salt").agg(F.min(F.struct("received_at", "event_id")).alias("_first"))
+    # At most one row per salt and key.
+    first = F.min("_first").over(Window.partitionBy(*keys))
+    original = per_salt.select(*keys, "_salt", first["event_id"].alias("original_event_id"))
     status = F.when(F.col("event_id") == F.col("original_event_id"), PROCESSED).otherwise(REPLAYED)
-    return events.join(first, keys).select("event_id", *keys, status.alias("status"), "original_event_id")
+    answered = salted.join(original, [*keys, "_salt"])
+    return answered.select("event_id", *keys, status.alias("status"), "original_event_id")
 
 
 def admit_per_minute(events: DataFrame) -> DataFrame:

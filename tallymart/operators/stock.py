@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymart.functions.dates import before
+from tallymart.functions.dates import at, before, parse_timestamp
 
 EVENTS_PER_BLOCK = 10_000_000
 
@@ -31,19 +31,25 @@ class StockFold:
 
 
 def fold(
-    events: DataFrame, products: DataFrame, *, block: Column, levels: DataFrame | None = None, order: str = "seq"
+    events: DataFrame,
+    products: DataFrame,
+    *,
+    block: Column,
+    levels: DataFrame | None = None,
+    order: list[str] | None = None,
 ) -> StockFold:
-    """Prepare the fold of ``events(seq, product_id, delta, event_time, …)`` onto ``levels``.
+    """Prepare the fold of ``events(product_id, delta, event_time, …)`` onto ``levels``.
 
-    ``block`` must grow with ``order`` and bounds how many rows of one product meet in a task.
+    ``order`` is the file order, ``seq`` unless given. ``block`` must grow with it and bounds how many
+    rows of one product meet in a task.
     A NULL delta is one that could not be read; it rejects all movements of its product.
     """
-    movements = events.filter(F.col("product_id").isNotNull()).withColumn("block", block)
-    so_far = Window.partitionBy("product_id", "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    movements = events.filter(F.col("product_id").isNotNull()).withColumn("fold_block", block)
+    so_far = Window.partitionBy("product_id", "fold_block").orderBy(*(order or ["seq"])).rowsBetween(Window.unboundedPreceding, 0)
     movements = movements.withColumn("run", F.sum(F.coalesce("delta", F.lit(0))).over(so_far))
     movements = movements.withColumn("low", F.min("run").over(so_far))
 
-    blocks = movements.groupBy("product_id", "block").agg(
+    blocks = movements.groupBy("product_id", "fold_block").agg(
         F.sum(F.coalesce("delta", F.lit(0))).alias("moved"),
         F.min("run").alias("lowest"),
         F.count("*").alias("n"),
@@ -51,7 +57,7 @@ def fold(
         F.max(F.col("delta").isNull()).alias("has_bad"),
         F.max("event_time").alias("last_time"),
     )
-    earlier = Window.partitionBy("product_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("product_id").orderBy("fold_block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("product_id")
     carried = (
         blocks.withColumn("before", F.coalesce(F.sum("moved").over(earlier), F.lit(0)))
@@ -72,17 +78,55 @@ def fold(
     return StockFold(movements, carried)
 
 
+def from_lines(lines: DataFrame, as_of) -> DataFrame:
+    """Movements from the lines of an NDJSON upload, with their place in the file.
+
+    Lines that are no JSON object or name no product are dropped. A missing delta is zero; one that is
+    no whole number is NULL, which rejects its product. Empty members get their defaults.
+    """
+    doc = F.try_parse_json("value")
+    member = {n: F.try_variant_get(doc, f"$.{n}", "string") for n in ("product_id", "delta", "event_time", "source", "meta")}
+    read = lines.select("file", "block", "pos", "value", *(c.alias(n) for n, c in member.items()))
+    given = F.coalesce(F.array_contains(F.json_object_keys("value"), "delta"), F.lit(False))
+    bare = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.delta", "variant")) != "STRING"
+    text = F.col("delta")
+    delta = (
+        F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("bigint"))
+        .when(text.isNotNull(), F.when(bare, text.try_cast("double").try_cast("bigint")))
+        .when(~given, F.lit(0).cast("bigint"))
+    )
+    return read.filter(F.coalesce(F.col("product_id"), F.lit("")) != "").select(
+        "file",
+        "block",
+        "pos",
+        "product_id",
+        delta.alias("delta"),
+        F.coalesce(parse_timestamp(F.col("event_time")), at(as_of)).alias("event_time"),
+        F.coalesce(F.nullif("source", F.lit("")), F.lit("system")).alias("source"),
+        F.coalesce(F.nullif("meta", F.lit("")), F.lit("{}")).alias("meta"),
+    )
+
+
+def fold_lines(
+    movements: DataFrame, products: DataFrame, *, levels: DataFrame | None = None
+) -> StockFold:
+    """Fold the movements of upload files in file order; a block is one split of a file."""
+    return fold(
+        movements, products, block=F.struct("file", "block"), levels=levels, order=["file", "block", "pos"]
+    )
+
+
 def applied_events(fold: StockFold) -> DataFrame:
     """Every non-zero movement of an accepted product with the level it led to."""
     accepted = fold.carried.filter(F.col("reason").isNull()).select(
-        "product_id", "block", "tenant_id", "before", "dip_before", "start"
+        "product_id", "fold_block", "tenant_id", "before", "dip_before", "start"
     )
     lowest = F.least(F.col("dip_before"), F.col("before") + F.col("low"))
     return (
         fold.movements.filter(F.col("delta") != 0)
-        .join(accepted, ["product_id", "block"])
+        .join(accepted, ["product_id", "fold_block"])
         .withColumn("resulting_level", F.col("before") + F.col("run") + F.greatest("start", -lowest))
-        .drop("block", "run", "low", "before", "dip_before", "start")
+        .drop("fold_block", "run", "low", "before", "dip_before", "start")
     )
 
 

@@ -594,7 +594,7 @@ def _(spark, sf):
         union all select 'order_items', count(distinct order_item_id) from ({_ITEMS}) t where reason is null""",
 )
 def _(spark, sf):
-    """A whole upload folder loaded parents first, then counted."""
+    """A whole upload folder, NDJSON and CSV, partly gzipped, loaded parents first, then counted."""
     folder = fresh_dir(spark, "upload")
     out = {
         "customers": customer_lines(demo.customers(spark, sf)),
@@ -603,8 +603,10 @@ def _(spark, sf):
         "order_items": item_lines(demo.table(spark, sf, "lineitem")),
     }
     for kind, rows in out.items():
-        text = F.to_json(F.struct("*")).alias("value") if kind == "products" else F.col("value")
-        write_chunks(rows.select(text), f"{folder}/{kind}_{TENANT}.ndjson")
+        if kind == "products":
+            write_chunks(rows, f"{folder}/{kind}_{TENANT}.csv", "csv", compress=True)
+        else:
+            write_chunks(rows.select("value"), f"{folder}/{kind}_{TENANT}.ndjson", compress=kind == "customers")
     store = TableStore(spark, fresh_dir(spark, "store"))
     loading.load_all(store, folder, TENANT, AS_OF, batch=1)
     counted = None

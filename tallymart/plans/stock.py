@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from tallymart.operators import stock
 from tallymart.plans import demo
 from tallymart.plans.catalog import query
+from tallymart.session import fresh_dir
+from tallymart.sources import files
+from tallymart.sources.export import write_chunks
 
 _SUMMARY = """
 select e.product_id, p.tenant_id, e.events_processed, e.events_applied, l.available as final_level,
@@ -150,3 +153,45 @@ def _(spark, sf):
 def _(spark, sf):
     held, recorded = _refresh_inputs(spark, sf)
     return stock.refresh_levels(held, recorded, "2024-01-31 00:00:00", hours=11 * 24, zero_keeps=True)
+
+
+def movement_lines(events):
+    """Stock movements as upload lines; some are cut short, some name no product, some carry a bad delta."""
+    seq, delta = F.col("seq"), F.col("delta")
+    body = F.concat(
+        F.lit('{"product_id":'),
+        F.when(seq % 31 == 0, F.lit('""')).otherwise(F.concat(F.lit('"'), F.col("product_id").cast("string"), F.lit('"'))),
+        F.when(delta.isNull(), F.lit(',"delta":"x"'))
+        .when(delta == 0, F.lit(""))
+        .when(seq % 7 == 0, F.concat(F.lit(',"delta":"'), delta.cast("string"), F.lit('"')))
+        .when(seq % 7 == 1, F.concat(F.lit(',"delta":'), delta.cast("string"), F.lit(".0")))
+        .otherwise(F.concat(F.lit(',"delta":'), delta.cast("string"))),
+        F.concat(F.lit(',"event_time":"'), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"}')),
+    )
+    return events.select(F.when(seq % 37 == 0, F.substring(body, 1, 12)).otherwise(body).alias("value"))
+
+
+@query(
+    "stock_file_fold",
+    "d_stock_events d_products",
+    """, e as (select *, delta as d from d_stock_events where seq % 31 <> 0 and seq % 37 <> 0),
+       a as (select e.*, p.tenant_id from e join d_products p on p.product_id = e.product_id
+             where not exists (select 1 from e b where b.product_id = e.product_id and b.bad_delta)),
+       s as (select *, sum(d) over (partition by product_id order by seq) as s from a)
+       select * from (
+           select cast(product_id as varchar) as product_id, tenant_id, d as delta, event_time, 'system' as source,
+                  '{}' as meta,
+                  cast(s + greatest(0, -min(s) over (partition by product_id order by seq)) as bigint)
+                      as resulting_level
+           from s) t where delta <> 0""",
+)
+def _(spark, sf):
+    """The same movements by way of upload files, folded in file order."""
+    folder = fresh_dir(spark, "movements")
+    # File order is the sequence, so the lines are written sorted.
+    events = demo.stock_events(spark, sf).orderBy("seq")
+    write_chunks(movement_lines(events), f"{folder}/stock.ndjson")
+    lines = files.records(files.scan_lines(spark, f"{folder}/stock.ndjson"))
+    products = demo.products(spark, sf).withColumn("product_id", F.col("product_id").cast("string"))
+    fold = stock.fold_lines(stock.from_lines(lines, demo.AS_OF_EVENTS), products)
+    return stock.applied_events(fold).drop("file", "pos", "block")

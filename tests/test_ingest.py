@@ -223,6 +223,25 @@ def test_load_reports_lines_and_keeps_the_last_write(spark):
     assert [(r.order_id, float(r.total_amount)) for r in stored] == [(other, 99.0)]
 
 
+def test_a_folder_of_mixed_formats(spark):
+    folder = fresh_dir(spark, "in")
+    write_orders(spark, folder, "customers_t_chunk_0000.ndjson", [CUSTOMER, {**CUSTOMER, "email": "b@x.org"}])
+    write_orders(spark, folder, "customers_other.ndjson", [CUSTOMER])
+    write_orders(spark, folder, "notes_t.ndjson", [CUSTOMER])
+    rows = spark.createDataFrame([(UUID, "S1", "n", "2.5"), (UUID, "S2", "n", "x")], "product_id string, sku string, name string, price string")
+    rows.write.option("header", True).option("compression", "gzip").csv(f"{folder}/products_t.csv.gz")
+    found = files.discover(spark, folder, "t")
+    assert {k: len(v) for k, v in found.items()} == {("customers", False): 1, ("products", True): 1}
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    done = loading.load_all(store, folder, "t", AS_OF, 1)
+    assert list(done) == ["customers", "products"]
+    # Both customers carry one id: the later keeps it.
+    assert [r.email for r in store.read("customers").collect()] == ["b@x.org"]
+    assert done["customers"].rejected.first().reason == upsert.DUPLICATE_ID
+    report = done["products"].throughput().first()
+    assert (report.rows_received, report.rows_inserted, report.rows_failed) == (2, 1, 1) and report.rows_per_second > 0
+
+
 def test_streamed_files_upsert_across_batches(spark):
     folder, checkpoint = fresh_dir(spark, "in"), fresh_dir(spark, "checkpoint")
     store = TableStore(spark, fresh_dir(spark, "store"))

@@ -54,3 +54,17 @@ def test_limits_hold_for_a_hot_tenant(spark):
     per_minute = prices.admit_per_minute(events).groupBy(F.date_trunc("minute", "received_at").alias("m"))
     counts = [r["count"] for r in per_minute.count().collect()]
     assert counts == [100] * 20
+
+
+def test_replays_of_a_hot_key_are_spread(spark):
+    events = hot_rows(spark).select(
+        F.col("seq").alias("event_id"), F.lit("t").alias("tenant_id"), F.col("product_id").alias("idempotency_key"),
+        F.timestamp_seconds(N - F.col("seq")).cast("timestamp_ntz").alias("received_at"),
+    )
+    answers = prices.answer_replays(events)
+    hot = answers.filter("idempotency_key = '0'").groupBy("status", "original_event_id").count().collect()
+    assert {(r.status, r.original_event_id, r["count"]) for r in hot} == {
+        (prices.PROCESSED, N - 3, 1),
+        (prices.REPLAYED, N - 3, N // 3 - 1),
+    }
+    assert answers.count() == N

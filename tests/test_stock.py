@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallymart.operators import stock
 from tallymart.session import fresh_dir
+from tallymart.sources import files
 from tallymart.sources.store import TableStore
 from tallymart.streaming import run
 from tallymart.streaming import stock as stream
@@ -140,3 +141,30 @@ def test_refresh_treats_zero_as_a_level_unless_told_otherwise(spark):
 
     assert after() == {"a": 0, "b": 9, "new": 0}
     assert after(zero_keeps=True) == {"a": 4, "b": 9, "new": 0}
+
+
+def test_upload_lines(spark):
+    lines = [
+        '{"product_id": "a", "delta": 5, "source": "manual", "meta": {"r": 1}}',
+        "not json",
+        '{"delta": 3}',
+        '{"product_id": "a", "delta": "7", "event_time": "2024-01-01T01:00:00", "source": ""}',
+        '{"product_id": "a", "delta": -2.9}',
+        '{"product_id": "a"}',
+        '{"product_id": "b", "delta": 4}',
+        '{"product_id": "b", "delta": "4.0"}',
+        '{"product_id": "c", "delta": null}',
+        '[{"product_id": "a", "delta": 1}]',
+    ]
+    path = fresh_dir(spark, "lines")
+    spark.createDataFrame([(t,) for t in lines], "value string").coalesce(1).write.text(path)
+    read = stock.from_lines(files.records(files.scan_lines(spark, path)), "2024-02-02 00:00:00")
+    rows = read.orderBy("pos").collect()
+    assert [(r.product_id, r.delta) for r in rows] == [
+        ("a", 5), ("a", 7), ("a", -2), ("a", 0), ("b", 4), ("b", None), ("c", None)
+    ]
+    assert [(r.source, r.meta) for r in rows[:2]] == [("manual", '{"r":1}'), ("system", "{}")]
+    assert (rows[0].event_time.month, rows[1].event_time.month) == (2, 1)
+    fold = stock.fold_lines(read, products_of(spark, "a", "b", "c"))
+    assert [r.resulting_level for r in stock.applied_events(fold).orderBy("pos").collect()] == [5, 12, 10]
+    assert {r.product_id for r in stock.conflicts(fold).collect()} == {"b", "c"}
