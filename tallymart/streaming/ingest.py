@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from tallymart.operators.loading import load
 from tallymart.operators.validate import from_json, validate
 from tallymart.schemas import LOAD_ORDER
-from tallymart.sources.files import records, route
+from tallymart.sources.files import is_csv, records, route
 from tallymart.sources.store import TableStore
 
 
 def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines of upload files with their file and split; the checkpoint knows which files are done."""
+    """Lines of NDJSON uploads with their file and split; the checkpoint knows which files are done.
+
+    A CSV row means nothing without its header, so CSV uploads are left to ``loading.load_all``.
+    """
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", True)
         .text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .filter(~is_csv(F.col("file")))
     )
 
 
