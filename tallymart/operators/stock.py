@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions.dates import at, before, parse_timestamp
+from tallymart.sources.files import FILE_ORDER, file_order
 
 EVENTS_PER_BLOCK = 10_000_000
 
@@ -111,9 +112,9 @@ def fold_lines(
     movements: DataFrame, products: DataFrame, *, levels: DataFrame | None = None
 ) -> StockFold:
     """Fold the movements of upload files in file order; a block is one split of a file."""
-    return fold(
-        movements, products, block=F.struct("file", "block"), levels=levels, order=["file", "block", "pos"]
-    )
+    placed = movements.withColumn("file_order", file_order(F.col("file")))
+    done = fold(placed, products, block=F.struct("file_order", "file", "block"), levels=levels, order=FILE_ORDER)
+    return StockFold(done.movements.drop("file_order"), done.carried)
 
 
 def applied_events(fold: StockFold) -> DataFrame:

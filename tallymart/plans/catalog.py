@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_AREAS = ["reports", "metrics", "stock", "prices", "ingestion", "search", "admin", "generated", "streams"]
+_AREAS = ["reports", "metrics", "stock", "prices", "ingestion", "search", "admin", "streams"]
 
 
 def query(name: str, views: str | None = None, sql: str | None = None) -> Callable[[Query], Query]:

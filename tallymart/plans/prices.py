@@ -58,9 +58,9 @@ def _(spark, sf):
     "d_price_outcomes",
     """select tenant_id, idempotency_key, 'completed' as status, received_at as created_at,
               received_at + interval 24 hour as expires_at,
-              sha256(concat('{"new_price": ', cast(cast(new_cents / 100 as decimal(10,2)) as varchar),
-                            ', "old_price": ', cast(cast(old_cents / 100 as decimal(10,2)) as varchar),
-                            ', "source": "', source, '"}')) as request_hash
+              sha256(concat('{"new_price":', cast(cast(new_cents / 100 as decimal(10,2)) as varchar),
+                            ',"old_price":', cast(cast(old_cents / 100 as decimal(10,2)) as varchar),
+                            coalesce(',"source":"' || source || '"', ''), '}')) as request_hash
        from d_price_outcomes where status = 'processed'""",
 )
 def _(spark, sf):
@@ -112,8 +112,8 @@ def _(spark, sf):
 @query(
     "anomaly_summary",
     "d_price_stored",
-    f"""select tenant_id, product_id, least(count(*), 5) as total_anomalies, cast(24 as int) as time_range_hours
+    f"""select tenant_id, product_id, count(*) as total_anomalies, cast(24 as int) as time_range_hours
         from d_price_stored where {_WINDOW} group by 1, 2""",
 )
 def _(spark, sf):
-    return prices.anomaly_summary(demo.stored_price_events(spark, sf), AS_OF_PRICES, limit=5)
+    return prices.anomaly_summary(demo.stored_price_events(spark, sf), AS_OF_PRICES)

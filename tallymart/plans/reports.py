@@ -69,17 +69,19 @@ def _(spark, sf):
     return reports.tenant_rollup(demo.tenants(spark, sf), demo.orders(spark, sf), AS_OF_ORDERS)
 
 
-_TOP = """
-with_sales as (
-    select p.tenant_id, p.product_id, p.sku, p.name, cast(p.price as double) as price,
-           count(*) as times_ordered, cast(sum(oi.quantity) as bigint) as total_quantity_sold,
-           cast(sum(oi.line_total) as double) as total_revenue,
-           cast(sum(oi.unit_price) as double) / count(*) as avg_selling_price
-    from d_products p join d_order_items oi on p.product_id = oi.product_id
-    join d_orders o on oi.order_id = o.order_id
-    where o.order_status in ('delivered', 'shipped') {window}
-    group by p.tenant_id, p.product_id, p.sku, p.name, p.price)
-select * from with_sales {pick}"""
+_SOLD = """select product_id, count(*) as times, sum(quantity) as units, sum(line_total) as revenue, sum(unit_price) as prices,
+       count(distinct order_id) as orders
+    from d_order_items
+    where order_id in (select o.order_id from d_orders o where o.order_status in ('delivered', 'shipped') {window})
+    group by product_id"""
+
+_TOP = f"""
+sold as ({_SOLD}), ranked as (
+    select tenant_id, product_id, sku, name, cast(price as double) as price, times as times_ordered,
+           cast(units as bigint) as total_quantity_sold, cast(revenue as double) as total_revenue,
+           cast(prices as double) / times as avg_selling_price
+    from sold join d_products using (product_id))
+select * from ranked {{pick}}"""
 
 _PER_TENANT = "qualify row_number() over (partition by tenant_id order by total_revenue desc, product_id) <= 20"
 
@@ -111,34 +113,23 @@ def _(spark, sf):
 @query(
     "low_stock",
     "d_products d_stock_levels",
-    f"""select p.tenant_id, p.product_id, p.sku, p.name, sl.available, sl.last_updated,
-               case when sl.available = 0 then 'Out of Stock' when sl.available <= 10 then 'Low Stock'
-                    else 'In Stock' end as stock_status,
-               cast(floor((epoch_us(timestamp '{AS_OF_EVENTS}') - epoch_us(sl.last_updated)) / 86400000000) as int)
-                    as days_since_update
-        from d_products p join d_stock_levels sl on p.product_id = sl.product_id
-        where p.active and sl.available <= 10 order by sl.available, p.name, p.product_id""",
+    f"""select tenant_id, product_id, sku, name, available, last_updated,
+               if(available = 0, 'Out of Stock', 'Low Stock') as stock_status,
+               cast(floor(epoch(timestamp '{AS_OF_EVENTS}' - last_updated) / 86400) as int) as days_since_update
+        from (select product_id, available, last_updated from d_stock_levels where available between 0 and 10) scarce
+        join d_products using (product_id) where active""",
 )
 def _(spark, sf):
     return reports.low_stock(demo.products(spark, sf), demo.stock_levels(spark, sf), AS_OF_EVENTS)
 
 
-_TURNOVER = """
-select tenant_id, product_id, sku, name, total_sold, total_revenue, order_count, available,
-       ratio as turnover_ratio,
-       case when ratio > 2.0 then 'High Turnover' when ratio > 1.0 then 'Medium Turnover'
-            when ratio > 0.5 then 'Low Turnover' else 'Slow Moving' end as turnover_category
-from (
-    select ps.*, sl.available,
-           case when sl.available > 0 then cast(ps.total_sold as double) / sl.available end as ratio
-    from (select p.tenant_id, p.product_id, p.sku, p.name, cast(sum(oi.quantity) as bigint) as total_sold,
-                 cast(sum(oi.line_total) as double) as total_revenue,
-                 count(distinct o.order_id) as order_count
-          from d_products p join d_order_items oi on p.product_id = oi.product_id
-          join d_orders o on oi.order_id = o.order_id
-          where o.order_status in ('delivered', 'shipped') {window}
-          group by p.tenant_id, p.product_id, p.sku, p.name) ps
-    left join d_stock_levels sl on ps.product_id = sl.product_id) t"""
+_TURNOVER = f"""
+select tenant_id, product_id, sku, name, cast(units as bigint) as total_sold, cast(revenue as double) as total_revenue,
+       orders as order_count, available, ratio as turnover_ratio,
+       case when coalesce(ratio, 0) <= 0.5 then 'Slow Moving' when ratio <= 1 then 'Low Turnover'
+            when ratio <= 2 then 'Medium Turnover' else 'High Turnover' end as turnover_category
+from (select *, cast(units as double) / nullif(greatest(available, 0), 0) as ratio
+      from ({_SOLD}) sold join d_products using (product_id) left join d_stock_levels using (product_id)) t"""
 
 
 @query(
@@ -162,15 +153,14 @@ def _(spark, sf):
 @query(
     "customer_segments",
     "d_customers d_orders",
-    """select c.customer_id, c.tenant_id, c.name, c.email, count(o.order_id) as total_orders,
-              cast(sum(o.total_amount) as double) as total_spent,
-              cast(sum(o.total_amount) as double) / nullif(count(o.order_id), 0) as avg_order_value,
-              max(o.order_date) as last_order_date,
-              case when sum(o.total_amount) >= 1000 then 'High Value'
-                   when sum(o.total_amount) >= 500 then 'Medium Value' else 'Low Value' end as customer_segment
-       from d_customers c left join d_orders o on c.customer_id = o.customer_id
-       where o.order_status <> 'cancelled' or o.order_status is null
-       group by c.customer_id, c.tenant_id, c.name, c.email""",
+    """select c.customer_id, c.tenant_id, c.name, c.email, coalesce(n, 0) as total_orders, cast(paid as double) as total_spent,
+              cast(paid as double) / n as avg_order_value, latest as last_order_date,
+              case when coalesce(paid, 0) < 500 then 'Low Value' when paid < 1000 then 'Medium Value' else 'High Value' end
+                  as customer_segment
+       from d_customers c
+       left join (select customer_id, count(*) as n, sum(total_amount) as paid, max(order_date) as latest from d_orders
+                  where order_status is distinct from 'cancelled' group by 1) spent using (customer_id)
+       where n is not null or not exists (select 1 from d_orders any_order where any_order.customer_id = c.customer_id)""",
 )
 def _(spark, sf):
     return reports.customer_segments(demo.customers(spark, sf), demo.orders(spark, sf))
@@ -217,8 +207,7 @@ def _(spark, sf):
     "d_orders",
     """select order_id, external_order_id, customer_id, customer_name_snapshot, customer_email_snapshot, order_date
        from d_orders
-       where (customer_id is null and (customer_name_snapshot is null or customer_email_snapshot is null))
-          or (customer_id is not null and (customer_name_snapshot is null or customer_email_snapshot is null))""",
+       where customer_name_snapshot is null or customer_email_snapshot is null""",
 )
 def _(spark, sf):
     return quality.missing_customer(demo.orders(spark, sf))

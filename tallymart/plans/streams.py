@@ -21,35 +21,33 @@ def _arriving(spark, sf, name, size=64 << 30):
 @query(
     "price_dedup_stream",
     "d_price_events",
-    "select tenant_id, idempotency_key, count(distinct idempotency_key) as n from d_price_events group by 1, 2",
+    """select tenant_id, idempotency_key, event_id, received_at from d_price_events
+       qualify row_number() over (partition by tenant_id, idempotency_key order by received_at, event_id) = 1""",
 )
 def _(spark, sf):
-    first = run.collected(spark, prices.first_requests(demo.price_requests(_arriving(spark, sf, "events"))))
-    return first.groupBy("tenant_id", "idempotency_key").agg(F.count("*").alias("n"))
+    folder = fresh_dir(spark, "requests")
+    requests = demo.price_requests(_arriving(spark, sf, "events"))
+    run.each_batch(requests, prices.keep_first(folder), fresh_dir(spark, "checkpoint"))
+    return prices.first_requests(spark, folder).select("tenant_id", "idempotency_key", "event_id", "received_at")
 
 
 @query(
     "anomaly_stream",
-    "d_price_classes d_price_events",
-    """select e.event_id, e.product_id, c.pct as pct_change, concat(c.class, c.shown) as anomaly_reason
-       from d_price_events e join d_price_classes c on c.event_id = e.event_id
-       where c.class is not null and c.e4 < 100000000 and e.old_cents > 0 and e.new_cents > 0""",
+    "d_price_stored",
+    "select event_id, tenant_id, product_id, pct_change, received_at from d_price_stored where anomaly_flag",
 )
 def _(spark, sf):
-    feed = prices.anomaly_feed(demo.price_requests(_arriving(spark, sf, "events")))
+    """Stored price events as a stream of files."""
+    folder = fresh_dir(spark, "price_events")
+    stored = demo.stored_price_events(spark, sf)
+    stored.write.parquet(folder)
+    feed = prices.anomaly_feed(run.arriving(spark, folder, stored.schema))
     return run.collected(
         spark,
-        feed.select("event_id", "product_id", F.col("pct_change").cast("double").alias("pct_change"), "anomaly_reason"),
+        feed.select("event_id", "tenant_id", "product_id", F.col("pct_change").cast("double").alias("pct_change"), "received_at"),
     )
 
 
-@query("admit_ttl")
-def _(spark, sf):
-    """Sequential per tenant, so SQL cannot state it; tests compare it with a plain loop."""
-    requests = demo.price_requests(_arriving(spark, sf, "events", size=256 << 20))
-    return run.collected(spark, prices.intake(requests, demo.products(spark, sf)))
-
-
 def _folded(spark, sf) -> TableStore:
     store = TableStore(spark, fresh_dir(spark, "stock"))
     movements = demo.stock_movements(_arriving(spark, sf, "events"))
@@ -90,11 +88,11 @@ def _(spark, sf):
              from d_orders group by 1, 2) t""",
 )
 def _(spark, sf):
-    """Update mode into the pre-aggregate table. The distinct-customer sketch is left out of the comparison."""
-    store = TableStore(spark, fresh_dir(spark, "metrics"))
+    """Shares of micro-batches, merged. The distinct-customer sketch is left out of the comparison."""
+    folder = fresh_dir(spark, "metrics")
     orders = demo.placed_orders(_arriving(spark, sf, "orders"), demo.table(spark, sf, "customer"))
-    run.each_batch(metrics.hourly(orders), metrics.apply_to(store), fresh_dir(spark, "checkpoint"), "update")
-    stored = store.read("metrics_preagg")
+    run.each_batch(orders, metrics.add_to(folder), fresh_dir(spark, "checkpoint"))
+    stored = metrics.read(spark, folder).withColumn("tenant_id", F.col("tenant_id").cast("string"))
     return stored.drop("unique_customers_est", "period_end", "last_updated")
 
 

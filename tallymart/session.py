@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,17 +30,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a machine-local
-    path would lose its files together with the executor that wrote them.
+    A local session without one uses a folder in the warehouse; on a cluster that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = tempfile.mkdtemp(prefix="tallymart-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:

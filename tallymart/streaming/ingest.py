@@ -10,33 +10,47 @@ from pyspark.sql import functions as F
 from tallymart.operators.loading import load
 from tallymart.operators.validate import from_json, validate
 from tallymart.schemas import LOAD_ORDER
-from tallymart.sources.files import is_csv, records, route
+from tallymart.sources.files import UNKNOWN_KIND, is_csv, records, route
 from tallymart.sources.store import TableStore
 
+CSV_IN_STREAM = "CSV uploads are loaded by load_all"
 
-def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines of NDJSON uploads with their file and split; the checkpoint knows which files are done.
 
-    A CSV row means nothing without its header, so CSV uploads are left to ``loading.load_all``.
-    """
+def arriving_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Lines of uploads with their file and split; the checkpoint knows which files are done."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", True)
         .text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-        .filter(~is_csv(F.col("file")))
     )
 
 
-def apply_to(store: TableStore, tenant_id: str, as_of) -> Callable[[DataFrame, int], None]:
-    """A micro-batch handler that loads each record type, parents first."""
+def apply_to(store: TableStore, tenant_id: str, as_of, source: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler that loads each record type, parents first.
+
+    The batch is staged once by type. Files that a stream cannot load (unknown type, or CSV, whose rows mean nothing
+    without their header) are recorded as rejects under ``_rejects/unknown``, one row each. ``source`` names the stream in the
+    store and is the tenant unless given; streams with checkpoints of their own need names of their own.
+    """
+    source = source or f"stream-{tenant_id}"
 
     def apply(lines: DataFrame, batch: int) -> None:
-        located = lines.withColumn("pos", F.monotonically_increasing_id()).withColumn("kind", route(F.col("file")))
+        part = f"source={source}/batch={batch}"
+        file = F.col("file")
+        why = F.when(route(file).isNull(), UNKNOWN_KIND).when(is_csv(file), CSV_IN_STREAM)
+        located = lines.withColumns(
+            {"pos": F.monotonically_increasing_id(), "why": why, "kind": F.when(why.isNull(), route(file)).otherwise("unknown")}
+        )
+        arrived = f"{store.root}/_arrived/{part}"
+        located.write.mode("overwrite").partitionBy("kind").parquet(arrived)
+        staged = store.spark.read.schema(located.schema).parquet(arrived)
+        failed = staged.filter(F.col("kind") == "unknown").groupBy("file", F.col("why").alias("reason")).count()
+        failed.write.mode("overwrite").parquet(f"{store.root}/_rejects/unknown/{part}")
         for kind in LOAD_ORDER:
-            mine = records(located.filter(F.col("kind") == kind)).drop("kind")
+            mine = records(staged.filter(F.col("kind") == kind)).drop("kind", "why")
             checked = validate(from_json(mine, kind), kind, tenant_id, as_of).drop("value")
-            rejected = load(store, kind, checked, as_of, batch).rejected
-            rejected.write.mode("overwrite").parquet(f"{store.root}/_rejects/{kind}/batch={batch}")
+            rejected = load(store, kind, checked, as_of, batch, source).rejected
+            rejected.write.mode("overwrite").parquet(f"{store.root}/_rejects/{kind}/{part}")
 
     return apply

@@ -1,114 +1,31 @@
-"""Price event streams: deduplicated intake, the anomaly feed, and intake with sliding counters."""
+"""Price event streams: deduplicated intake and the anomaly feed."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
 
-from tallymart.operators.prices import (
-    KEY_LIFETIME_HOURS,
-    LIMITED,
-    NO_KEY,
-    NO_PRODUCT,
-    PROCESSED,
-    PRODUCT_LIMIT,
-    REJECTED,
-    REPLAYED,
-    TENANT_LIMIT,
-    price_error,
-    with_change,
-)
+from tallymart.operators.prices import arrival
+from tallymart.operators.upsert import first_per_key
 
-MICROS = 1_000_000
-COUNTER_LIFETIME = 60 * MICROS
-KEY_LIFETIME = KEY_LIFETIME_HOURS * 3600 * MICROS
+KEYS = ["tenant_id", "idempotency_key"]
 
 
-def first_requests(requests: DataFrame) -> DataFrame:
-    """One request per tenant and idempotency key; keys are remembered for a day of event time."""
-    timed = requests.withColumn("received_at", F.col("received_at").cast("timestamp"))
-    return timed.withWatermark("received_at", f"{KEY_LIFETIME_HOURS} hours").dropDuplicatesWithinWatermark(
-        ["tenant_id", "idempotency_key"]
-    )
+def keep_first(folder: str) -> Callable[[DataFrame, int], None]:
+    """A micro-batch handler that stores the batch's first request of each tenant and idempotency key."""
 
+    def apply(requests: DataFrame, batch: int) -> None:
+        first_per_key(requests, KEYS, *arrival()).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
-def anomaly_feed(requests: DataFrame) -> DataFrame:
-    """Flagged price changes as they arrive."""
-    changed = with_change(requests).withColumn("error", price_error())
-    return changed.filter(F.col("error").isNull() & F.col("anomaly_flag")).drop("error", "anomaly_flag")
+    return apply
 
 
-_OUTCOME = "event_id bigint, tenant_id string, status string, error string, original_event_id bigint"
-_STATE = "admitted bigint, expires bigint, products string, keys string"
+def first_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The request that decides each key, over all micro-batches so far: late ones compete like any other."""
+    return first_per_key(spark.read.parquet(folder), KEYS, *arrival()).drop("batch")
 
 
-def _answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Answer one tenant's requests of a micro-batch in arrival order.
-
-    Counters live for a minute after the last admission, so at most ``TENANT_LIMIT`` products are
-    counted at a time; keys live for a day and only admitted requests leave one.
-    """
-    admitted, expires, products, keys = state.get if state.exists else (0, 0, "{}", "{}")
-    products, keys = json.loads(products), json.loads(keys)
-    requests = pd.concat(list(batches)).sort_values(["received_us", "event_id"])
-    answers = []
-    now = 0
-    for row in requests.itertuples(index=False):
-        now = int(row.received_us)
-        error, original = None, None
-        if not row.listed:
-            error = NO_PRODUCT
-        elif row.idempotency_key is None:
-            error = NO_KEY
-        elif (held := keys.get(row.idempotency_key)) and now < held[1]:
-            original = held[0]
-        else:
-            if now >= expires:
-                admitted = 0
-            seen, until = products.get(row.product_id, (0, 0))
-            seen = 0 if now >= until else seen
-            if admitted >= TENANT_LIMIT or seen >= PRODUCT_LIMIT:
-                error = LIMITED
-            else:
-                admitted, expires = admitted + 1, now + COUNTER_LIFETIME
-                products[row.product_id] = (seen + 1, expires)
-                error = row.price_error
-                if error is None:
-                    keys[row.idempotency_key] = (int(row.event_id), now + KEY_LIFETIME)
-        status = REPLAYED if original is not None else PROCESSED if error is None else REJECTED
-        answers.append((int(row.event_id), key[0], status, error, original))
-    products = {p: c for p, c in products.items() if c[1] > now}
-    keys = {k: e for k, e in keys.items() if e[1] > now}
-    state.update((admitted, expires, json.dumps(products), json.dumps(keys)))
-    columns = ["event_id", "tenant_id", "status", "error", "original_event_id"]
-    yield pd.DataFrame(answers, columns=columns).astype({"original_event_id": "Int64"})
-
-
-def intake(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Exact sequential intake: counters that restart with every admission, replays only of stored events.
-
-    The rule is sequential per tenant, so it keeps a tenant's counters as state; how much of a tenant
-    meets in a task is bounded by the micro-batch (bytes per trigger). The batch twin counts per clock
-    minute instead and has no such group.
-    """
-    listed = products.select("tenant_id", "product_id", F.lit(True).alias("listed"))
-    checked = (
-        with_change(requests.join(listed, ["tenant_id", "product_id"], "left"))
-        .select(
-            F.col("tenant_id").cast("string").alias("tenant_id"),
-            F.col("product_id").cast("string").alias("product_id"),
-            "event_id",
-            F.unix_micros(F.col("received_at").cast("timestamp")).alias("received_us"),
-            "idempotency_key",
-            F.coalesce("listed", F.lit(False)).alias("listed"),
-            price_error().alias("price_error"),
-        )
-    )
-    return checked.groupBy("tenant_id").applyInPandasWithState(
-        _answer, _OUTCOME, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+def anomaly_feed(price_events: DataFrame) -> DataFrame:
+    """Flagged events of the stored price events as they arrive; rejected requests and replays are never stored."""
+    return price_events.filter("anomaly_flag").drop("anomaly_flag")

@@ -12,7 +12,7 @@ from tallymart.sources.store import TableStore
 
 
 def apply_to(
-    store: TableStore, products: DataFrame, block: Callable[[], Column]
+    store: TableStore, products: DataFrame, block: Callable[[], Column], source: str = "stream"
 ) -> Callable[[DataFrame, int], None]:
     """A micro-batch handler that folds movements onto the stored levels.
 
@@ -22,7 +22,7 @@ def apply_to(
 
     def apply(movements: DataFrame, batch: int) -> None:
         touched = movements.select(F.col("product_id").cast("string").alias("product_id"))
-        levels = store.read("stock_levels", before=batch, only=touched)
+        levels = store.read("stock_levels", before=batch, only=touched, source=source)
         fold = stock.fold(movements, products, block=block(), levels=levels)
         events = stock.applied_events(fold).select(
             F.col("seq").alias("stock_event_id"),
@@ -34,7 +34,7 @@ def apply_to(
             F.lit("system").alias("source"),
             F.lit("{}").alias("meta"),
         )
-        store.append("stock_events", events, batch)
-        store.append("stock_levels", stock.final_levels(fold), batch)
+        store.append("stock_events", events, batch, source)
+        store.append("stock_levels", stock.final_levels(fold), batch, source)
 
     return apply

@@ -231,10 +231,11 @@ def test_a_folder_of_mixed_formats(spark):
     rows = spark.createDataFrame([(UUID, "S1", "n", "2.5"), (UUID, "S2", "n", "x")], "product_id string, sku string, name string, price string")
     rows.write.option("header", True).option("compression", "gzip").csv(f"{folder}/products_t.csv.gz")
     found = files.discover(spark, folder, "t")
-    assert {k: len(v) for k, v in found.items()} == {("customers", False): 1, ("products", True): 1}
+    assert {k: len(v) for k, v in found.items()} == {("customers", False): 1, ("products", True): 1, (None, False): 1}
     store = TableStore(spark, fresh_dir(spark, "store"))
     done = loading.load_all(store, folder, "t", AS_OF, 1)
-    assert list(done) == ["customers", "products"]
+    assert list(done) == ["customers", "products", "unknown"]
+    assert [r.status for r in done["unknown"].files.collect()] == ["failed"] and done["unknown"].rejected.count() == 1
     # Both customers carry one id: the later keeps it.
     assert [r.email for r in store.read("customers").collect()] == ["b@x.org"]
     assert done["customers"].rejected.first().reason == upsert.DUPLICATE_ID
@@ -272,3 +273,61 @@ def test_status_words(spark):
     assert [(r.upload_id, r.chunk_index) for r in uploads.to_do(uploads.resume(chunks)).collect()] == [
         ("a", 1), ("b", 0), ("d", 0), ("d", 1)
     ]
+
+
+def test_chunks_are_ordered_by_number(spark):
+    names = ["c_9999.ndjson", "c_10000.ndjson", "c_1000/part-7", "c_101/part-1", "c_101/part-12", "c_101/part-2"]
+    df = spark.createDataFrame([(n,) for n in names], "file string")
+    got = [r.file for r in df.orderBy(files.file_order(F.col("file")), "file").collect()]
+    assert got == ["c_101/part-1", "c_101/part-2", "c_101/part-12", "c_1000/part-7", "c_9999.ndjson", "c_10000.ndjson"]
+
+
+def test_a_folder_with_several_csv_uploads_and_similar_tenants(spark):
+    folder = fresh_dir(spark, "in")
+    other = "1e37df36-f698-11e6-8dd4-cb9ced3df976"
+    for chunk, (key, sku) in enumerate([(UUID, "S1"), (other, "S2"), (UUID, "S1")]):
+        rows = spark.createDataFrame([(key, sku, f"n{chunk}", "2.5")], "product_id string, sku string, name string, price string")
+        rows.write.option("header", True).csv(f"{folder}/products_7_chunk_{9998 + chunk}.csv")
+    write_orders(spark, folder, "products_7_chunk_10001.ndjson", [{"product_id": other, "sku": "S2", "name": "json", "price": "3"}])
+    write_orders(spark, folder, "customers_71.ndjson", [CUSTOMER])
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    done = loading.load_all(store, folder, "7", AS_OF, 1)
+    assert list(done) == ["products"]
+    assert {r.sku: r.name for r in store.read("products").collect()} == {"S1": "n2", "S2": "json"}
+
+
+def test_loads_of_different_sources_keep_each_other(spark):
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    for tenant in "ab":
+        folder = fresh_dir(spark, "in")
+        write_orders(spark, folder, f"orders_{tenant}.ndjson", [{**ORDER, "order_id": UUID[:-1] + tenant}])
+        for _ in range(2):
+            loading.load_all(store, folder, tenant, AS_OF, 1)
+    for tenant in "cd":
+        folder = fresh_dir(spark, "in")
+        write_orders(spark, folder, f"orders_{tenant}.ndjson", [{**ORDER, "order_id": UUID[:-1] + tenant}])
+        rows = spark.createDataFrame([("x",)], "a string")
+        rows.coalesce(1).write.option("header", True).csv(f"{folder}/customers_{tenant}.csv")
+        write_orders(spark, folder, f"notes_{tenant}.ndjson", [ORDER])
+        run.each_batch(ingest.arriving_lines(spark, folder), ingest.apply_to(store, tenant, AS_OF), fresh_dir(spark, "checkpoint"))
+    assert sorted(r.tenant_id for r in store.read("orders").collect()) == ["a", "b", "c", "d"]
+    refused = spark.read.parquet(f"{store.root}/_rejects/unknown").groupBy("reason").count().collect()
+    assert {r.reason: r["count"] for r in refused} == {ingest.CSV_IN_STREAM: 2, files.UNKNOWN_KIND: 2}
+    staged = spark.read.parquet(f"{store.root}/_staging/orders")
+    assert staged.filter("reason is null and processed_at is null").count() == 0
+
+
+def test_streamed_hours_do_not_depend_on_file_order(spark):
+    from tallymart.streaming import metrics
+
+    rows = spark.sql(
+        """select 't' as tenant_id, cast(id % 7 as string) as customer_id, cast(id as decimal(12,2)) as total_amount,
+                  'delivered' as order_status, timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, cast(id * 11 as int)) as order_date
+           from range(1200)"""
+    )
+    folder, kept = fresh_dir(spark, "orders"), fresh_dir(spark, "kept")
+    for part in reversed(range(6)):
+        rows.filter(F.floor(F.col("total_amount") / 200) == part).coalesce(1).write.mode("append").parquet(folder)
+    run.each_batch(run.arriving(spark, folder, rows.schema, files=1), metrics.add_to(kept), fresh_dir(spark, "checkpoint"))
+    got, want = metrics.read(spark, kept), metrics.hourly(metrics.partials(rows))
+    assert got.count() == 1200 and got.exceptAll(want).count() == 0

@@ -86,66 +86,30 @@ def test_admission_keeps_only_bounded_groups(spark):
     assert plan.count("WindowGroupLimit") == 4
 
 
-def ttl_loop(rows, listed):
-    """Counters that live a minute after the last admission, keys that live a day."""
-    counters, keys, out = {}, {}, {}
-    for i, (second, tenant, product, key, *pair) in sorted(enumerate(rows), key=lambda r: (r[1][0], r[0])):
-        if (tenant, product) not in listed:
-            out[i] = (prices.REJECTED, prices.NO_PRODUCT)
-            continue
-        if key is None:
-            out[i] = (prices.REJECTED, prices.NO_KEY)
-            continue
-        if keys.get((tenant, key), 0) > second:
-            out[i] = (prices.REPLAYED, None)
-            continue
-        count = {}
-        for scope in (tenant, product):
-            n, until = counters.get(scope, (0, 0))
-            count[scope] = n if second < until else 0
-        if count[tenant] >= 100 or count[product] >= 10:
-            out[i] = (prices.REJECTED, prices.LIMITED)
-            continue
-        for scope in (tenant, product):
-            counters[scope] = (count[scope] + 1, second + 60)
-        if pair and float(pair[1]) <= 0:
-            out[i] = (prices.REJECTED, prices.NOT_POSITIVE)
-            continue
-        keys[tenant, key] = second + 86400
-        out[i] = (prices.PROCESSED, None)
-    return out
-
-
-def run_ttl(spark, rows, parts=1):
-    folder = fresh_dir(spark, "requests")
+def test_streamed_dedup_equals_the_batch_twin(spark):
+    """Six files, the newest first, one for each micro-batch."""
+    rng = random.Random(4)
+    rows = [(second * 3600, rng.choice("TU"), "P", f"k{rng.randint(0, 400)}") for second in range(900)]
     requests = requests_of(spark, rows)
-    for part in range(parts):
-        size = -(-len(rows) // parts)
-        piece = requests.filter((F.col("event_id") >= part * size) & (F.col("event_id") < (part + 1) * size))
+    folder, kept = fresh_dir(spark, "requests"), fresh_dir(spark, "kept")
+    for part in reversed(range(6)):
+        piece = requests.filter((F.col("event_id") >= part * 150) & (F.col("event_id") < (part + 1) * 150))
         piece.coalesce(1).write.mode("append").parquet(folder)
     arriving = run.arriving(spark, folder, requests.schema, files=1)
-    answers = run.collected(spark, stream.intake(arriving, products_of(spark, rows)))
-    return {r.event_id: (r.status, r.error) for r in answers.collect()}
-
-
-def test_sliding_counters_restart_a_minute_after_the_last_admission(spark):
-    rows = [(s, "T", "P", f"k{s}") for s in range(10)] + [(68, "T", "P", "a"), (70, "T", "P", "b")]
-    answers = run_ttl(spark, rows)
-    assert answers[10] == (prices.REJECTED, prices.LIMITED) and answers[11] == (prices.PROCESSED, None)
-
-
-def test_sliding_intake_equals_the_loop_across_batches(spark):
-    rng = random.Random(3)
-    rows = []
-    second = 0.0
-    for _ in range(1200):
-        second += rng.choice([0, 0.25, 0.5, 1, 30 if rng.random() < 0.02 else 0.1])
-        tenant = rng.choice("TTU")
-        product = "ghost" if rng.random() < 0.03 else f"{tenant}{rng.randint(0, 14)}"
-        key = None if rng.random() < 0.02 else f"k{rng.randint(0, 700)}"
-        rows.append((second, tenant, product, key, "10", "0" if rng.random() < 0.05 else "12"))
-    listed = {(r[1], r[2]) for r in rows if r[2] != "ghost"}
-    assert run_ttl(spark, rows, parts=3) == ttl_loop(rows, listed)
+    run.each_batch(arriving, stream.keep_first(kept), fresh_dir(spark, "checkpoint"))
+    got = stream.first_requests(spark, kept)
+    want = prices.first_requests(requests)
+    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
+
+
+def test_the_latest_recorded_expiry_counts(spark):
+    rows = [(3600, "T", "P", "a", "10", "12")]
+    known = spark.sql(
+        """select 'T' as tenant_id, 'a' as idempotency_key, timestamp_ntz'2000-01-01 00:00:00' as expires_at
+           union all select 'T', 'a', timestamp_ntz'2999-01-01 00:00:00'"""
+    )
+    out = prices.intake(requests_of(spark, rows), products_of(spark, rows), known).first()
+    assert out.status == prices.REPLAYED
 
 
 def test_ten_products_share_the_tenant_limit(spark):

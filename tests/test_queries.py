@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymart.operators import metrics, quality, reports, search, tenants
 from tallymart.operators.prefix import number_rows
 from tallymart.session import fresh_dir
-from tallymart.sources import export, generate
+from tallymart.sources import export
 
 ORDER = (
     "order_id bigint, tenant_id int, customer_id string, total_amount decimal(12,2), order_status string, "
@@ -213,26 +213,8 @@ def test_tenant_files_create_update_or_skip(spark):
     assert tenants.preview(file).columns == ["tenant_id", "name", "api_key"]
 
 
-def test_generated_rows_do_not_depend_on_partitioning(spark):
-    source = generate.Source(seed=7)
-    people = generate.tenants(source, spark.range(2).withColumnRenamed("id", "i"))
-    rows = generate.slots(people.select("tenant_id"), 40)
-    assert rows.count() == 80
-    one = generate.orders(source, rows.coalesce(1), 30, 10)
-    many = generate.orders(source, rows.repartition(7), 30, 10)
-    assert one.exceptAll(many).count() == 0
-    items = generate.order_items(source, rows, 30)
-    totals = items.groupBy("order_id").agg(F.sum("line_total").alias("t"), F.countDistinct("product_id").alias("p"), F.count("*").alias("n"))
-    joined = one.join(totals, "order_id")
-    assert joined.count() == 80 and joined.filter("t <> total_amount or p <> n").count() == 0
-    products = generate.products(source, generate.slots(people.select("tenant_id"), 30))
-    assert items.join(products, ["product_id", "tenant_id"], "left_anti").count() == 0
-    assert generate.orders(generate.Source(seed=8), rows, 30, 10).join(one, "order_id").count() == 0
-
-
-def test_stock_walk_and_price_history(spark):
-    source, rows = generate.Source(), spark.createDataFrame([("t", 0), ("t", 1)], "tenant_id string, i bigint")
-    events = generate.stock_events(source, rows, 200)
-    assert events.count() == 400 and events.filter("resulting_level < 0 or delta < -50 or delta > 100").count() == 0
-    history = generate.price_history(source, rows, 100)
-    assert history.groupBy("product_id").agg(F.countDistinct("price").alias("n")).filter("n < 2 or n > 40").count() == 0
+def test_a_page_beyond_the_maximum_is_an_error(spark):
+    with pytest.raises(ValueError):
+        search.page(spark.createDataFrame([], "order_id string, order_date timestamp_ntz"), limit=search.MAX_LIMIT + 1, fields=["order_id"])
+    cursor = search.Cursor(dt.datetime(2024, 1, 2, 3, 4, 5, 6), "a~b")
+    assert search.Cursor.decode(cursor.encode()) == cursor
