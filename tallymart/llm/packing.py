@@ -2,10 +2,10 @@
 
 Documents are tokenised once and cut at multiples of the window, which leaves whole windows and one rest each. The
 histogram of lengths (as many rows as the window is long) is all the driver sees: it enumerates the combinations of up to
-three lengths that fill a window, solves for non-negative repeat counts, rounds them down to what is there, and packs the
-residual counts greedily, the longest first with the longest that fits. The plan has patterns, not rows. Each
-piece gets its rank among pieces of its length from stored per-partition counts and finds its slot in the plan by
-binary search.
+three lengths that fill a window, solves for non-negative repeat counts and rounds them to what is there. Residual pieces are packed
+greedily, the longest first, each into what is left of the open sequence; the piece that does not fit is cut there, so that only the
+last sequence is padded. The plan has patterns, not rows. Each piece gets its rank among pieces of its length from stored
+per-partition counts and finds its slot in the plan by binary search.
 
 Edge cases: null and empty texts hold the end id alone. Repeated rows are packed one by one. No documents give no rows.
 """
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallymart.llm.common import slices, strings
+from tallymart.llm.common import slices, stored, strings
 from tallymart.llm.tokens import byte_bpe
 from tallymart.session import fresh_dir
 
@@ -109,8 +109,8 @@ def repeat_counts(combos: np.ndarray, histogram: np.ndarray, rounds: int = 30, e
     return x
 
 
-def plan(histogram: dict[int, int], window: int = WINDOW) -> list[Pattern]:
-    """(lengths of a sequence, number of such sequences): every piece of the histogram in exactly one slot."""
+def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[Pattern], dict[int, int]]:
+    """(lengths of a full sequence, number of such sequences), and how many pieces of each length are left, longest first."""
     left = np.zeros(window + 1, np.int64)
     for length, n in histogram.items():
         left[length] += n
@@ -130,25 +130,12 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> list[Pattern]:
             patterns.append((tuple(lengths), n))
             for v in lengths:
                 left[v] -= n
-    while (there := np.flatnonzero(left)).size:
-        uses: dict[int, int] = defaultdict(int)
-        room = window
-        while room:
-            fit = [int(v) for v in there[: np.searchsorted(there, room, "right")][::-1]]
-            best = next((v for v in fit if left[v] > uses[v]), 0)
-            if not best:
-                break
-            uses[best] += 1
-            room -= best
-        n = min(int(left[v]) // k for v, k in uses.items() if k)
-        for v, k in uses.items():
-            left[v] -= n * k
-        patterns.append((tuple(v for v, k in uses.items() for _ in range(k)), n))
-    return patterns
+    return patterns, {int(v): int(left[v]) for v in np.flatnonzero(left)[::-1]}
 
 
-def slots(patterns: list[Pattern], window: int = WINDOW) -> dict[int, tuple[np.ndarray, ...]]:
-    """By length: first rank, copies in a sequence, first sequence and offset of the first copy, for each pattern that uses the length."""
+def slots(patterns: list[Pattern], rest: dict[int, int]) -> tuple[dict[int, tuple[np.ndarray, ...]], dict[int, tuple[int, int]], int]:
+    """Where the pieces of each length go, by rank: for patterns the first rank, copies in a sequence, first sequence and offset of
+    the first copy; for the rest the first rank and its place in the run of residual pieces, which begins at the last value."""
     out, used, sequence = defaultdict(list), defaultdict(int), 0
     for lengths, n in patterns:
         at = 0
@@ -158,32 +145,43 @@ def slots(patterns: list[Pattern], window: int = WINDOW) -> dict[int, tuple[np.n
             used[v] += n * k
             at += v * k
         sequence += n
-    return {v: tuple(np.array(c, np.int64) for c in zip(*rows)) for v, rows in out.items()}
+    run, residual = 0, {}
+    for v, n in rest.items():
+        residual[v] = (used[v], run)
+        run += v * n
+    return {v: tuple(np.array(c, np.int64) for c in zip(*rows)) for v, rows in out.items()}, residual, sequence
 
 
-def place(numbered: DataFrame, patterns: list[Pattern], window: int = WINDOW) -> DataFrame:
-    """Rows with ``length`` and ``rank`` get sequence_id and offset."""
-    book = slots(patterns, window)  # bounded by the number of patterns, which lengths bound, not rows
+def place(numbered: DataFrame, patterns: list[Pattern], rest: dict[int, int], window: int = WINDOW) -> DataFrame:
+    """Rows with ``length`` and ``rank`` get sequence_id, offset and cut: how much of a residual piece still fits (0: all)."""
+    book, residual, after = slots(patterns, rest)  # bounded by the number of patterns, which lengths bound, not rows
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema if f.name != "rank")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").to_numpy()
             rank = batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for v in np.unique(length):
-                here = length == v
-                first, copies, start, at = book[int(v)]
-                k = np.searchsorted(first, rank[here], "right") - 1
-                nth = rank[here] - first[k]
-                sequence[here] = start[k] + nth // copies[k]
-                offset[here] = at[k] + (nth % copies[k]) * v
+            sequence, offset, cut = (np.zeros(len(rank), np.int64) for _ in range(3))
+            for v in np.unique(length).tolist():
+                limit, run = residual.get(v, (1 << 62, 0))
+                here = np.flatnonzero((length == v) & (rank < limit))
+                if len(here):
+                    first, copies, start, at = book[v]
+                    k = np.searchsorted(first, rank[here], "right") - 1
+                    nth = rank[here] - first[k]
+                    sequence[here] = start[k] + nth // copies[k]
+                    offset[here] = at[k] + (nth % copies[k]) * v
+                here = np.flatnonzero((length == v) & (rank >= limit))
+                if len(here):
+                    where = run + (rank[here] - limit) * v
+                    sequence[here], offset[here] = after + where // window, where % window
+                    cut[here] = np.where(offset[here] + v > window, window - offset[here], 0)
             kept = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"]
+                [*(batch.column(c) for c in kept), *map(pa.array, (sequence, offset, cut))], [*kept, "sequence_id", "offset", "cut"]
             )
 
-    return numbered.mapInArrow(find, schema + ", sequence_id long, offset long")
+    return numbered.mapInArrow(find, schema + ", sequence_id long, offset long, cut long")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, **derived: Column) -> DataFrame:
@@ -203,6 +201,25 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, **derived: Column) ->
     numbered = (
         cut.select("doc_id", "start", "length", "doc_tokens", *extra.values(), "block", "nth")
         .join(offsets, ["block", "length"])
-        .select("doc_id", "start", "length", "doc_tokens", *extra, (F.col("before") + F.col("nth")).alias("rank"))
+        .withColumn("rank", F.col("before") + F.col("nth"))
+        .drop("before")
     )
-    return place(numbered, plan(histogram, window), window)
+    placed = stored(place(numbered, *plan(histogram, window), window), "placed")
+    names = ["doc_id", "start", "length", "doc_tokens", *extra, "sequence_id", "offset"]
+    # Residual pieces that a sequence's end cuts: about one for each residual sequence.
+    split = placed.where("cut > 0").drop("doc_id", "start", "doc_tokens", *extra)
+    both = cut.where(F.col("length") < window).join(split, ["block", "length", "nth"])
+    left, right = F.col("cut"), F.col("length") - F.col("cut")
+    parts = F.array(
+        F.struct(
+            F.col("start"), left.alias("length"), F.substring("ids", F.lit(1), (4 * left).cast("int")).alias("ids"),
+            F.col("sequence_id"), F.col("offset"),
+        ),
+        F.struct(
+            (F.col("start") + left).alias("start"), right.alias("length"),
+            F.substring("ids", (4 * left + 1).cast("int"), (4 * right).cast("int")).alias("ids"),
+            (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+        ),
+    )
+    halves = both.select("doc_id", "doc_tokens", F.explode(parts).alias("p")).select("doc_id", "doc_tokens", "p.*")
+    return placed.where("cut = 0").select(names).unionByName(halves.withColumns(extra).select(names))
