@@ -6,6 +6,9 @@ mask come from prefix sums over the segment lengths; the mask covers the texts o
 a control string inside a role or text gets a backslash after ``<|``; a control string that already
 has backslashes gets one more, which makes the escape reversible.
 
+A conversation may be of any length: turns are sorted by Spark and read as a stream, each is a row of the result with its place in
+the conversation, and digests are carried on from turn to turn. No task ever holds more than some hundred turns.
+
 Edge cases: null roles and texts are empty; turns are ordered by turn, role, text (nulls first), and repeated turns are
 all kept. A null conv_id is a conversation of its own. No conversations give no rows.
 """
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tallymart.llm.common import slices
@@ -39,6 +43,10 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<|\1", text)
 
 
+def formatted_turn(role: str, text: str) -> str:
+    return f"{MARKS[0]}{escape(role)}{MARKS[1]}{escape(text)}{MARKS[2]}"
+
+
 def assemble(turns: list[tuple[str, str]], path: str, loss_role: str = LOSS_ROLE) -> tuple[str, np.ndarray, np.ndarray]:
     """Formatted string, ids and loss mask of (role, text) turns."""
     bpe = byte_bpe(path)
@@ -62,7 +70,7 @@ def assemble(turns: list[tuple[str, str]], path: str, loss_role: str = LOSS_ROLE
     loss = np.array(learned, bool)
     np.add.at(delta, begin[loss], 1)
     np.add.at(delta, (begin + sizes)[loss], -1)
-    formatted = "".join(f"{MARKS[0]}{escape(r)}{MARKS[1]}{escape(t)}{MARKS[2]}" for r, t in turns)
+    formatted = "".join(formatted_turn(r, t) for r, t in turns)
     return formatted, ids, np.cumsum(delta)[:-1] > 0
 
 
@@ -80,55 +88,94 @@ def read_back(ids: np.ndarray, mask: np.ndarray, path: str) -> tuple[list[tuple[
 
 
 def format_chats(conversations: DataFrame, path: str, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """conv_id, formatted, ids (array of int), loss_mask (array of boolean); a row for each conversation."""
-    turns = conversations.groupBy("conv_id").agg(
-        F.sort_array(
-            F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
-        ).alias("turns")
-    )
+    """conv_id, nth (turn, from 0), begin (tokens of the conversation before it), formatted, ids (array of int), loss_mask (array of
+    boolean); a row for each turn.
+
+    All turns of a conversation come one after another in one partition.
+    """
     kind = conversations.schema["conv_id"].dataType.simpleString()
+    plain = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
+    order = ["conv_id", "turn", "role", "text"]
+    turns = conversations.select("conv_id", "turn", *plain).repartition("conv_id").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nth, tokens = object(), 0, 0
         for batch in slices(batches):
-            made = [assemble([(t["role"], t["text"]) for t in x], path, loss_role) for x in batch.column("turns").to_pylist()]
+            said = list(zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()))
+            _, ids, mask = assemble(said, path, loss_role)
+            cuts = np.append(np.flatnonzero(ids == byte_bpe(path).size), len(ids))
+            places = []
+            for conv, size in zip(batch.column("conv_id").to_pylist(), np.diff(cuts).tolist()):
+                if conv != now:
+                    now, nth, tokens = conv, 0, 0
+                places.append((nth, tokens))
+                nth, tokens = nth + 1, tokens + size
+            offsets = pa.array(cuts, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("conv_id"),
-                    pa.array([f for f, _, _ in made], pa.string()),
-                    pa.array([i.astype(np.int32) for _, i, _ in made], pa.list_(pa.int32())),
-                    pa.array([m for _, _, m in made], pa.list_(pa.bool_())),
+                    *(pa.array([x[k] for x in places], pa.int64()) for k in (0, 1)),
+                    pa.array([formatted_turn(r, t) for r, t in said], pa.string()),
+                    pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(mask)),
                 ],
-                ["conv_id", "formatted", "ids", "loss_mask"],
+                ["conv_id", "nth", "begin", "formatted", "ids", "loss_mask"],
             )
 
-    return turns.mapInArrow(run, f"conv_id {kind}, formatted string, ids array<int>, loss_mask array<boolean>")
+    return turns.mapInArrow(
+        run, f"conv_id {kind}, nth long, begin long, formatted string, ids array<int>, loss_mask array<boolean>"
+    )
+
+
+class _Digest:
+    """What is known of a conversation after some of its turns."""
+
+    def __init__(self):
+        self.turns = self.loss_chars = self.chars = 0
+        self.whole, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, role: str, text: str, learned: str, formatted: str) -> None:
+        self.turns += 1
+        self.whole.update(f"{role}\n{text}\n".encode())
+        self.loss.update(learned.encode())
+        self.loss_chars += len(learned)
+        self.chars += len(formatted)
+
+    def row(self) -> tuple:
+        return self.turns, self.whole.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def digests(formatted: DataFrame, path: str) -> DataFrame:
-    """What :func:`format_chats` returned, read back from the ids and the mask, as digests."""
+    """The rows of :func:`format_chats`, as it returned them, read back from the ids and the mask: a row of digests for each conversation."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            for ids, mask, text in zip(batch.column("ids"), batch.column("loss_mask"), batch.column("formatted").to_pylist()):
-                turns, learned = read_back(
-                    ids.values.to_numpy().astype(np.uint32), ids_mask(mask), path
-                )
-                loss = "".join(learned)
-                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                rows.append(
-                    (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text))
-                )
-            columns = list(zip(*rows))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            names = ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["conv_id", *names]
-            )
+        def made(done: list[tuple], conv_type: pa.DataType) -> pa.RecordBatch:
+            kinds = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names)
 
-    def ids_mask(mask) -> np.ndarray:
-        return mask.values.to_numpy(zero_copy_only=False)
+        now, digest, conv_type = None, None, None
+        for batch in slices(batches):
+            conv_type, done = batch.schema.field("conv_id").type, []
+            ids = batch.column("ids").flatten().to_numpy().astype(np.uint32)
+            mask = batch.column("loss_mask").flatten().to_numpy(zero_copy_only=False)
+            turns, learned = read_back(ids, mask, path)
+            # A turn has one text under the mask, or none.
+            sums, ends = np.concatenate([[0], np.cumsum(mask)]), np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy())
+            counts, texts = np.diff(sums[ends], prepend=0).tolist(), iter(learned)
+            for conv, nth, (role, text), masked, form in zip(
+                batch.column("conv_id").to_pylist(), batch.column("nth").to_pylist(), turns, counts, batch.column("formatted").to_pylist()
+            ):
+                if nth == 0:
+                    if digest is not None:
+                        done.append((now, *digest.row()))
+                    now, digest = conv, _Digest()
+                digest.add(role, text, next(texts) if masked else "", form)
+            if done:
+                yield made(done, conv_type)
+        if digest is not None:
+            yield made([(now, *digest.row())], conv_type)
 
     return formatted.mapInArrow(
         run,

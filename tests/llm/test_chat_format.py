@@ -59,3 +59,14 @@ def test_awkward_rows(spark):
     got = cf.digests(cf.format_chats(turns, PATH), PATH).collect()
     assert {r["conv_id"]: tuple(r)[1:5] for r in got} == _expect(rows)
     assert cf.digests(cf.format_chats(turns.limit(0), PATH), PATH).count() == 0
+
+
+def test_conversation_longer_than_any_batch(spark):
+    rows = [(7, k // 2, ("user", "assistant")[k % 2], f"{NASTY[k % len(NASTY)]} {k}") for k in range(6000)] + [(8, 0, "assistant", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = cf.format_chats(turns, PATH)
+    assert {r["conv_id"]: tuple(r)[1:5] for r in cf.digests(formatted, PATH).collect()} == _expect(rows)
+    at = 0
+    for k, r in enumerate(formatted.where("conv_id = 7").select("nth", "begin", "ids").orderBy("nth").collect()):
+        assert (r["nth"], r["begin"]) == (k, at)
+        at += len(r["ids"])
