@@ -5,8 +5,8 @@ layer; gated attention (a tanh branch times a sigmoid branch) weighs the passage
 weights, those of the attention too, are learned from document labels alone.
 
 Edge cases: null and empty texts are one passage without words. Unlabelled documents and null labels are scored, not
-learned from; of several labels the smallest counts. Without labels of both kinds the score is the share of good
-labels (0.5 without labels). Repeated rows are scored one by one; texts of any length are read whole.
+learned from; of several labels the smallest counts, of several texts of an id the one whose vectors come first. Without
+labels of both kinds the score is the share of good labels (0.5 without labels). Repeated rows are scored one by one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -156,7 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = (
         known.select("doc_id", "quality", "text")
         .mapInArrow(measure, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, bag binary")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "quality")
+        .agg(F.min("bag").alias("bag"))  # of repeated ids always the same text
         .toPandas()
         .sort_values("doc_id")
     )
