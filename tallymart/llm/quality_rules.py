@@ -6,7 +6,7 @@ Documents covered by a rule leave, and the next rule is sought among the others.
 that becomes one Spark conditional expression.
 
 Edge cases: null and empty texts have no words and all counts zero. Documents without a label, or with a null one,
-are judged but not learned from; of several labels of a document the smallest counts. Without rejected examples the
+are judged but not learned from; of several labels of a document the smallest counts, of several texts of an id the one with the least shares. Without rejected examples the
 list is empty and the default verdict (keep) holds. Repeated rows are judged one by one.
 """
 
@@ -236,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     rows = (
         labelled_sample(docs, labels, max_labelled)
         .where(~base_failed())
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "quality", *SHARES)
+        .groupBy("doc_id", "quality")
+        .agg(F.min(F.struct(*SHARES)).alias("least"))  # of repeated ids always the same text
+        .select("doc_id", "quality", "least.*")
         .toPandas()
         .sort_values("doc_id")
     )
@@ -254,4 +255,8 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that no rule rejects, with all their columns."""
-    return with_stats(docs, *docs.columns).where(verdict(rules)).select(*docs.columns)
+    # Columns of the input may be called like the statistics, so they travel under names of their own.
+    own = {c: "text" if c == "text" else f"own_{k}_" for k, c in enumerate(docs.columns)}
+    held = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()])
+    kept = with_stats(held, *own.values()).where(verdict(rules))
+    return kept.select(*[F.col(name).alias(c) for c, name in own.items()])
