@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallymart.llm.common import stored
+from tallymart.llm.common import free_name, stored
 
 WORDS = 5
 CONTAINMENT = 0.8
-#: Rows that may be broadcast (ids and hashes, some tens of bytes each); more are joined by shuffle.
+#: Rows that may be broadcast (ids and hashes, some tens of bytes each), and bytes of item text; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -83,8 +84,11 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float
     suspects = docs.join(_small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     texts = suspects.select("doc_id", words_of(F.col("text")).alias("w")).select("doc_id", shingles("w", n).alias("d"))
     parts = items.select("item_id", words_of(F.col("text")).alias("w")).select("item_id", shingles("w", n).alias("i"))
+    # Shingles hold every word WORDS times, so their size follows from that of the texts.
+    bulk = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = F.broadcast(parts) if bulk <= BROADCAST_BYTES else parts
     parts, pairs = parts.alias("parts"), candidates.alias("pairs")
-    asked = pairs.join(_small(parts, sketch.count()), F.col("pairs.item_id").eqNullSafe(F.col("parts.item_id"))).select(
+    asked = pairs.join(parts, F.col("pairs.item_id").eqNullSafe(F.col("parts.item_id"))).select(
         F.col("pairs.doc_id").alias("asked_id"), "pairs.item_id", "i"
     )
     shared = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_id"))).select(
@@ -104,8 +108,9 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float
 
 def keep_clean(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """Documents that hold no test item, with all their columns."""
-    bad = stored(leaks(docs, items, n, containment).select(F.col("doc_id").alias("leaked_")).distinct(), "leaked")
-    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("leaked_")), "left_anti")
+    name = free_name(docs, "leaked_")
+    bad = stored(leaks(docs, items, n, containment).select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 ORACLE = r"""

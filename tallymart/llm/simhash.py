@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tallymart.llm.common import slices, stored, utf8
+from tallymart.llm.common import free_name, slices, stored, utf8
 from tallymart.llm.graph import components
 
 WORDS = 4
@@ -166,12 +166,12 @@ def keep_first(docs: DataFrame, words_each: int = WORDS, radius: int = RADIUS) -
     The rows are numbered by the scan, so ``docs`` must be read from files. Rows are chosen by number alone; only numbers are shuffled
     against the texts.
     """
-    numbered = docs.withColumn("row_", F.monotonically_increasing_id())
-    found = groups(
-        numbered.withColumn("h_", F.xxhash64("text")), "row_", "h_", words_each=words_each, radius=radius
-    )
+    row = free_name(docs, "row_")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    hashed = numbered.select("doc_id", "text", F.col(row).alias("row_"), F.xxhash64("text").alias("h_"))
+    found = groups(hashed, "row_", "h_", words_each=words_each, radius=radius)
     # Ordered minimum of a struct: combined before the shuffle, whatever the size of a group.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h_", "row_")
     root = F.coalesce(F.col("component_id").cast("string"), F.lit("none"))
-    chosen = found.groupBy(root.alias("g")).agg(F.min(rank).alias("best")).select(F.col("best.row_").alias("row_"))
-    return numbered.join(chosen, "row_", "left_semi").select(*docs.columns)
+    chosen = found.groupBy(root.alias("g")).agg(F.min(rank).alias("best")).select(F.col("best.row_").alias(row))
+    return numbered.join(chosen, row, "left_semi").select(*docs.columns)

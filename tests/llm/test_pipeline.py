@@ -68,3 +68,15 @@ def test_run_is_the_stages(spark):
     want = through(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)[-1]
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert got.select(key).exceptAll(want.select(key)).count() == 0 and got.count() == want.count()
+
+
+def test_columns_called_like_those_of_the_stages(spark, tmp_path):
+    names = ["n_words", "upper_share", "row_", "h_", "leaked_", "own_0_", "fp", "w", "component_id", "a column"]
+    some = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80")
+    some.selectExpr("*", *(f"concat('{n} ', doc_id) as `{n}`" for n in names)).write.parquet(str(tmp_path / "docs"))
+    some.write.parquet(str(tmp_path / "plain"))
+    got = through(spark, spark.read.parquet(str(tmp_path / "docs")), SF)
+    want = through(spark, spark.read.parquet(str(tmp_path / "plain")), SF)
+    for a, b in zip(got[:5], want[:5]):
+        assert pairs(a) == pairs(b)
+        assert all(r[n] == f"{n} {r['doc_id']}" for r in a.collect() for n in names)
