@@ -163,11 +163,11 @@ def groups(docs: DataFrame, *keep: str, words_each: int = WORDS, radius: int = R
 def keep_first(docs: DataFrame, words_each: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each group, with all its columns: the smallest doc_id, of repeated ids the smallest text hash.
 
-    The rows are numbered by the scan, so ``docs`` must be read from files. Rows are chosen by number alone; only numbers are shuffled
-    against the texts.
+    The rows are written with a number first, as a scan may be split otherwise after executors were lost. Rows are chosen by number
+    alone; only numbers are shuffled against the texts.
     """
     row = free_name(docs, "row_")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     hashed = numbered.select("doc_id", "text", F.col(row).alias("row_"), F.xxhash64("text").alias("h_"))
     found = groups(hashed, "row_", "h_", words_each=words_each, radius=radius)
     # Ordered minimum of a struct: combined before the shuffle, whatever the size of a group.
