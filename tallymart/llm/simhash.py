@@ -149,7 +149,8 @@ def links(fps: DataFrame, radius: int = RADIUS, strip: int = STRIP) -> DataFrame
 
 
 def groups(docs: DataFrame, *keep: str, words_each: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The columns named, ``fp`` and ``component_id`` (smallest doc_id that links reach) of every row."""
+    """The columns named, ``fp``, ``root`` (smallest fingerprint that links reach, one for each component) and ``component_id``
+    (smallest doc_id there, which components may share if ids are null or repeat) of every row."""
     hashed = stored(with_fingerprint(docs, *dict.fromkeys(["doc_id", *keep]), words_each=words_each), "fingerprints")
     first = stored(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(first.select("fp"), radius))
@@ -157,7 +158,7 @@ def groups(docs: DataFrame, *keep: str, words_each: int = WORDS, radius: int = R
         "root", F.coalesce("root", "fp")
     )
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return hashed.join(linked.join(least, "root").select("fp", "component_id"), "fp")
+    return hashed.join(linked.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def keep_first(docs: DataFrame, words_each: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -172,6 +173,5 @@ def keep_first(docs: DataFrame, words_each: int = WORDS, radius: int = RADIUS) -
     found = groups(hashed, "row_", "h_", words_each=words_each, radius=radius)
     # Ordered minimum of a struct: combined before the shuffle, whatever the size of a group.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h_", "row_")
-    root = F.coalesce(F.col("component_id").cast("string"), F.lit("none"))
-    chosen = found.groupBy(root.alias("g")).agg(F.min(rank).alias("best")).select(F.col("best.row_").alias(row))
+    chosen = found.groupBy("root").agg(F.min(rank).alias("best")).select(F.col("best.row_").alias(row))
     return numbered.join(chosen, row, "left_semi").select(*docs.columns)

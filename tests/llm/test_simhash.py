@@ -58,6 +58,17 @@ def test_keep_first_takes_one_row_of_each_group(spark, tmp_path):
     assert len(ids) == len(groups) and set(ids) == groups
 
 
+def test_keep_first_keeps_unlinked_texts_of_null_and_repeated_ids(spark, tmp_path):
+    texts = ["a b c d e f g h i", "quite another text without an id at all", "first words under one id here", "other things stand under it too"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3])]
+    fps = [plain_fingerprint(t) for t in texts]
+    assert all((a ^ b).bit_count() > 4 for k, a in enumerate(fps) for b in fps[:k])
+    documents(spark, rows).write.parquet(str(tmp_path / "docs"))
+    kept = simhash.keep_first(spark.read.parquet(str(tmp_path / "docs"))).collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3])]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(want, key=repr)
+
+
 def test_forest_keeps_every_component():
     random = np.random.default_rng(3)
     seeds = random.integers(0, 1 << 63, 60, dtype=np.uint64)
