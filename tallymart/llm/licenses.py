@@ -3,8 +3,10 @@
 Every word k-gram of a text is hashed by a rolling polynomial and joined in Spark to the positions of the templates' k-grams. A copy
 of a template puts its hits on one diagonal (position in the text less position in the template). Hits are aggregated by
 diagonal; a full diagonal is a copy as it stands, others are merged with their neighbours, which an inserted or
-missing word puts next to each other, and verified by the share of the template they cover. The join compares the words
-themselves besides the hash. k-grams with a word that no template has cannot match and are left out before the join.
+missing word puts next to each other, and verified by aligning the words around them with the template: a word may be inserted,
+missing or changed for every :data:`EDIT_EACH` words of the template, but never a word that tells licenses apart (numbers, and
+what one template has and a near one has not). Short templates are sought by pairs of words. The join compares the words
+themselves besides the hash. k-grams whose hash no template has cannot match and are left out before the join.
 
 Edge cases: null and empty texts have no words and no labels. Rows are numbered by the scan and judged one by one, so
 repeated rows and ids repeat in the result. Overlapping and repeated places all count. Empty tables give no rows.
@@ -40,10 +42,17 @@ OWN = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("reserved", "all rights reserved"),
 ]
-#: Longest k-gram; shorter templates use their own length where that is less.
+#: k-gram of templates of SHORT words and more, and of shorter ones (their own length where that is less).
 GRAM = 4
-#: Share of a template's k-grams that merged diagonals must hold.
+SHORT_GRAM = 2
+SHORT = 12
+#: Share of a template's words that merged diagonals must hold, and the words of a template for each edit (one edit at least).
 LEAST_COVER = 0.6
+EDIT_EACH = 4
+#: Templates of fewer words must hold all of them.
+LEAST_WORDS = 4
+#: Words that name another license beside a template's words, besides numbers and what the templates themselves differ in.
+VARIANTS = {"lesser", "library", "affero", "sharealike", "noncommercial", "noderivatives", "noderivs", "sa", "nc", "nd"}
 #: Diagonals this far apart belong together.
 NEIGHBOUR = 3
 
@@ -74,12 +83,75 @@ def _codes(templates: list[tuple[str, str]]) -> _Codes:
     return _Codes({w: xxhash.xxh64_intdigest(w) | 1 for _, t in templates for w in t.encode().split()})
 
 
+def gram_size(words: list) -> int:
+    return min(GRAM if len(words) >= SHORT else SHORT_GRAM, len(words))
+
+
+def fits(template: list, text: list, telling: set, most: int) -> list[tuple[int, int, int]]:
+    """start, end, edits of the places of a text that a template fits with ``most`` edits at most, best first, not overlapping.
+
+    Words in ``telling`` are neither inserted, missing nor changed; templates of few words miss and change none."""
+    n, far = len(template), most + 1
+    fixed = [n < LEAST_WORDS or w in telling for w in template]
+    column = [(0, 0)]
+    for i in range(n):
+        column.append((column[i][0] + (far if fixed[i] else 1), 0))
+    ends = []
+    for j, word in enumerate(text):
+        told = word in telling
+        now = [(0, j + 1)]
+        for i in range(n):
+            cost, start = column[i]
+            best = (cost if template[i] == word else cost + (far if fixed[i] or told else 1), start)
+            cost, start = column[i + 1]
+            best = min(best, (cost + (far if told else 1), start), key=lambda x: (x[0], -x[1]))
+            cost, start = now[i]
+            # Before the first word found, the text's own word stands in for the missing one.
+            lost = fixed[i] or (told and start == j + 1)
+            best = min(best, (cost + (far if lost else 1), start), key=lambda x: (x[0], -x[1]))
+            now.append(best)
+        column = now
+        if column[n][0] <= most:
+            ends.append((column[n][0], column[n][1], j + 1))
+    out: list[tuple[int, int, int]] = []
+    for edits, start, end in sorted(ends):
+        if all(end <= a or start >= b for a, b, _ in out):
+            out.append((start, end, edits))
+    return out
+
+
+def most_edits(words: list, least_cover: float) -> int:
+    return min(max(1, len(words) // EDIT_EACH), int(len(words) * (1 - least_cover) + 1e-9))
+
+
+def telling_words(templates: list[tuple[str, str]], least_cover: float = LEAST_COVER) -> set[str]:
+    """Numbers, variants, and the words without which a template would fit one of another label."""
+    told = VARIANTS | {w for _, t in templates for w in t.split() if any(c.isdigit() for c in w)}
+    for name, t in templates:
+        for other, u in templates:
+            one, two = t.split(), u.split()
+            if name != other and len(one) >= LEAST_WORDS and fits(one, two, told, most_edits(one, least_cover)):
+                told |= set(one) - set(two)
+    return told
+
+
+class _Ids(dict):
+    """Number of each word that a template has, -1 for other words that tell licenses apart, zero for the rest."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 if word.decode(errors="replace") in VARIANTS or any(48 <= b <= 57 for b in word) else 0
+
+
+def _ids(templates: list[tuple[str, str]]) -> _Ids:
+    return _Ids({w.encode(): k + 1 for k, w in enumerate(sorted({w for _, t in templates for w in t.split()}))})
+
+
 def template_grams(spark, templates: list[tuple[str, str]]) -> DataFrame:
     """A row for each template position: bounded by the templates' words."""
     code, rows = _codes(templates), []
     for number, (_, text) in enumerate(templates):
         words = text.encode().split()
-        k = min(GRAM, len(words))
+        k = gram_size(words)
         hashes = _gram_hashes(np.array([code[w] for w in words], np.uint64), k).view(np.int64)
         for at, h in enumerate(hashes.tolist()):
             rows.append((number, at, k, h, b" ".join(words[at : at + k]).decode(), len(hashes), len(words)))
@@ -89,9 +161,14 @@ def template_grams(spark, templates: list[tuple[str, str]]) -> DataFrame:
 
 
 def grams(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """A row for each document (``at`` null, n_words) and for each k-gram of template words."""
-    code = _codes(templates)
-    sizes = sorted({min(GRAM, len(t.split())) for _, t in templates})
+    """A row for each document (``at`` null, n_words, and if it has k-grams its words by template number) and for each k-gram
+    that a template has."""
+    code, ids = _codes(templates), _ids(templates)
+    wanted: dict[int, list] = defaultdict(list)
+    for _, t in templates:
+        w = t.encode().split()
+        wanted[gram_size(w)] += _gram_hashes(np.array([code[x] for x in w], np.uint64), gram_size(w)).tolist()
+    sizes = {k: np.unique(np.array(v, np.uint64)) for k, v in sorted(wanted.items())}
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,20 +180,24 @@ def grams(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
                 found = [(None, None, None, None)]
                 codes = np.fromiter(map(code.__getitem__, words), np.uint64, n)
                 known = codes != 0
-                for k in sizes:
+                for k, asked in sizes.items():
                     if n < k:
                         continue
                     all_known = known[: n - k + 1].copy()
                     for j in range(1, k):
                         all_known &= known[j : n - k + 1 + j]
                     at = np.flatnonzero(all_known)
+                    hashes = _gram_hashes(codes, k)[at]
+                    there = np.isin(hashes, asked)
+                    at, hashes = at[there], hashes[there].view(np.int64)
                     if len(at):
-                        hashes = _gram_hashes(codes, k).view(np.int64)[at]
                         found += [
                             (p, k, h, b" ".join(words[p : p + k]).decode()) for p, h in zip(at.tolist(), hashes.tolist())
                         ]
                 out["row"] += [row] * len(found)
                 out["n_words"] += [n] * len(found)
+                numbers = np.fromiter(map(ids.__getitem__, words), np.int32, n).tobytes() if len(found) > 1 else None
+                out["words"] += [numbers] + [None] * (len(found) - 1)
                 for name, values in zip(("at", "k", "hash", "gram"), zip(*found)):
                     out[name] += values
             taken = pa.array(out["row"], pa.int64())
@@ -129,23 +210,25 @@ def grams(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
                     pa.array(out["k"], pa.int32()),
                     pa.array(out["hash"], pa.int64()),
                     pa.array(out["gram"], pa.string()),
+                    pa.array(out["words"], pa.binary()),
                 ],
-                ["row_id", "doc_id", "n_words", "at", "k", "hash", "gram"],
+                ["row_id", "doc_id", "n_words", "at", "k", "hash", "gram", "words"],
             )
 
     return docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(
-        run, f"row_id long, doc_id {kind}, n_words long, at long, k int, hash long, gram string"
+        run, f"row_id long, doc_id {kind}, n_words long, at long, k int, hash long, gram string, words binary"
     )
 
 
-def spans(found: DataFrame, templates: list[tuple[str, str]], least_cover: float = LEAST_COVER) -> DataFrame:
-    """row_id, template, start, end (words, exclusive) and cover of every verified place."""
+def spans(found: DataFrame, templates: list[tuple[str, str]], least_cover: float = LEAST_COVER, exact: int = 0) -> DataFrame:
+    """row_id, template, start, end (words, exclusive) and cover of every verified place; the first ``exact`` templates are only
+    found as they stand."""
     # The templates are a parameter of a few hundred words.
     positions = F.broadcast(template_grams(found.sparkSession, templates))
     hits = found.where(F.col("at").isNotNull()).join(positions, ["k", "hash", "gram"])
     diagonals = hits.groupBy("row_id", "template", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(
         F.count("*").alias("n"), F.min("at").alias("start"), F.max(F.col("at") + F.col("k")).alias("end"),
-        F.first("t_grams").alias("t_grams"), F.first("t_words").alias("t_words"), F.collect_set("t_at").alias("t_ats"),
+        F.first("t_grams").alias("t_grams"), F.first("t_words").alias("t_words"),
     )
     full = diagonals.where("n = t_grams").select("row_id", "template", "start", "end", F.lit(1.0).alias("cover"))
     # What partly fills a diagonal; a place cannot be longer than its template by much, so groups stay short.
@@ -154,17 +237,49 @@ def spans(found: DataFrame, templates: list[tuple[str, str]], least_cover: float
         F.col("start") - F.lag("start").over(order) > F.col("t_words")
     )
     merged = (
-        diagonals.where("n < t_grams")
+        diagonals.where((F.col("n") < F.col("t_grams")) & (F.col("template") >= exact))
         .withColumn("group", F.sum(F.when(apart, 1).otherwise(0)).over(order))
         .groupBy("row_id", "template", "group")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"),
-            (F.size(F.array_distinct(F.flatten(F.collect_list("t_ats")))) / F.first("t_grams")).alias("cover"),
-        )
-        .where(F.col("cover") >= least_cover)
-        .select("row_id", "template", "start", "end", "cover")
-    )
-    return full.unionByName(merged)
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .select("row_id", "template", "start", "end")
+    )
+    return full.unionByName(_verified(found, full, merged, templates, least_cover))
+
+
+def _verified(found: DataFrame, full: DataFrame, merged: DataFrame, templates: list[tuple[str, str]], least_cover: float) -> DataFrame:
+    """Places that alignment finds around merged diagonals, other than copies as they stand."""
+    ids = _ids(templates)
+    told = {ids[w.encode()] for w in telling_words(templates, least_cover)} | {-1}
+    numbers = [[ids[w] for w in t.encode().split()] for _, t in templates]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for row in batch.to_pylist():
+                text = np.frombuffer(row["words"], np.int32)
+                whole, seen = {(w["template"], w["start"]) for w in row["whole"] or []}, set()
+                for c in row["asked"]:
+                    k = c["template"]
+                    n, first = len(numbers[k]), max(0, c["start"] - len(numbers[k]))
+                    window = text[first : c["end"] + n].tolist()
+                    if not {w for w in numbers[k] if w in told} <= set(window):
+                        continue
+                    for start, end, edits in fits(numbers[k], window, told, most_edits(numbers[k], least_cover)):
+                        start, end = start + first, end + first
+                        if any((k, at) in whole for at in range(start - n + 1, end)) or (k, start, end) in seen:
+                            continue
+                        seen.add((k, start, end))
+                        out.append((row["row_id"], k, start, end, 1 - edits / n))
+            made = list(zip(*out)) or [()] * 5
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(m, t) for m, t in zip(made, kinds)], ["row_id", "template", "start", "end", "cover"])
+
+    asked = merged.groupBy("row_id").agg(F.collect_list(F.struct("template", "start", "end")).alias("asked"))
+    whole = full.groupBy("row_id").agg(F.collect_list(F.struct("template", "start")).alias("whole"))
+    texts = found.where(F.col("at").isNull() & F.col("words").isNotNull()).select("row_id", "words")
+    return texts.join(asked, "row_id").join(whole, "row_id", "left").mapInArrow(
+        run, "row_id long, template int, start long, end long, cover double"
+    )
 
 
 def scan(docs: DataFrame, base=BASE, own=OWN, least_cover: float = LEAST_COVER) -> DataFrame:
@@ -174,7 +289,7 @@ def scan(docs: DataFrame, base=BASE, own=OWN, least_cover: float = LEAST_COVER)
     label = F.element_at(F.array(*[F.lit(name) for name, _ in templates]), F.col("template") + 1)
     is_base = (F.col("template") < len(base)) & (F.col("cover") == 1)
     places = (
-        spans(found, templates, least_cover)
+        spans(found, templates, least_cover, len(base))
         .withColumn("label", label)
         .groupBy("row_id")
         .agg(

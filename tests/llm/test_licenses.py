@@ -48,3 +48,31 @@ def test_awkward_rows(spark):
     got = licenses.scan(docs).collect()
     assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(((i, *plain(t)) for i, t in AWKWARD), key=repr)
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+SINGLE = [
+    ("GNU General Public License, version 3", "gpl,gpl-3"),
+    ("GNU General Public License, version 2", "gpl,gpl-2"),
+    ("GNU General Public License, the version 3", "gpl,gpl-3"),
+    ("GNU General Public License", "gpl"),
+    ("GNU Lesser General Public License, version 3", "gpl,lgpl"),
+    ("GNU Affero General Public License version 3", "agpl,gpl"),
+    ("Licensed under the Apache License, version 1.1", "apache"),
+    ("Licensed under the Apache License, a version 2.0", "apache,apache-2.0"),
+    ("Licensed under Apache License version 2.0", "apache,apache-2.0"),
+    ("Licensed under the CC BY 4.0", "cc-by"),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+    ("Licensed under a CC BY-NC 4.0", "cc-by-nc"),
+    ("Licensed under CC BY 3.0", ""),
+    ("Creative Commons Attribution-ShareAlike 4.0 International License", ""),
+    ("Creative Commons Attribution 4.0 international public license", "cc-by"),
+    ("All other rights reserved", "reserved"),
+    ("All rights waived", ""),
+    ("All rights reserved, all your rights reserved", "reserved"),
+]
+
+
+def test_single_notices_have_their_own_label_only(spark):
+    docs = documents(spark, [(k, t) for k, (t, _) in enumerate(SINGLE)])
+    got = {SINGLE[r["doc_id"]][0]: r["labels"] for r in licenses.scan(docs).collect()}
+    assert got == dict(SINGLE)
