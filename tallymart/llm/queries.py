@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import shutil
 import tempfile
+import zlib
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,6 +18,7 @@ from tallymart.llm import (
     mixing_lm,
     packing,
     passages,
+    periodic,
     pii,
     quality_rules,
     simhash,
@@ -122,6 +124,37 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _planted(doc_id, words: list[bytes]) -> list[bytes]:
+    """The words, in a tenth of the documents periodic from some word on; rows without an id stay as they are."""
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, digest and longest of the runs of every document, and a digest of the words that stay."""
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), "doc_id", rewrite=_planted)
+    # Greatest length first, then smallest start and period.
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: shipped(f)
     for f in (
@@ -135,6 +168,7 @@ QUERIES = {
         op8_pii,
         op9_packing,
         op10_quality_classifier,
+        op12_periodic_runs,
     )
 }
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op7_url_filters": url_filters.oracle()}
