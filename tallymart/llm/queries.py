@@ -16,6 +16,7 @@ from tallymart.llm import (
     decontaminate,
     licenses,
     mixing_lm,
+    mtree,
     packing,
     passages,
     periodic,
@@ -124,6 +125,27 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by integer inner product for every hundredth vector."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024))
+    vectors = table(spark, sf_dir, "embeddings").where(finite).select("vec_id", scaled.alias("vec"))
+    return mtree.Tree(vectors).search(vectors.where(F.col("vec_id") % 100 == 0))
+
+
+TOPK_ORACLE = """
+with v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.r <> c.r where q.vec_id % 100 = 0),
+k as (select *, row_number() over (partition by r order by score desc, vec_id nulls last) as rank from s)
+select query_id, rank::integer as rank, vec_id, score from k where rank <= 10
+"""
+
+
 def _planted(doc_id, words: list[bytes]) -> list[bytes]:
     """The words, in a tenth of the documents periodic from some word on; rows without an id stay as they are."""
     n, h = len(words), zlib.crc32(str(doc_id).encode())
@@ -168,7 +190,12 @@ QUERIES = {
         op8_pii,
         op9_packing,
         op10_quality_classifier,
+        op11_exact_topk,
         op12_periodic_runs,
     )
 }
-ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op7_url_filters": url_filters.oracle()}
+ORACLES = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op7_url_filters": url_filters.oracle(),
+    "op11_exact_topk": TOPK_ORACLE,
+}
