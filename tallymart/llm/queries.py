@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallymart.llm import (
     chat_format,
+    collocations,
     decontaminate,
     licenses,
     mixing_lm,
@@ -135,9 +136,9 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOPK_ORACLE = """
 with v as (
-  select row_number() over () as r, vec_id, list_transform(embedding, x -> floor(1024 * x::double)) as e
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score
   from v q join v c on q.r <> c.r where q.vec_id % 100 = 0),
@@ -177,6 +178,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 phrases of every language whose words attract each other most."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: shipped(f)
     for f in (
@@ -192,10 +198,12 @@ QUERIES = {
         op10_quality_classifier,
         op11_exact_topk,
         op12_periodic_runs,
+        op13_collocations,
     )
 }
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op7_url_filters": url_filters.oracle(),
     "op11_exact_topk": TOPK_ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
