@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions.dates import before
 from tallymart.functions.money import pct_change, stored_pct
-from tallymart.operators.upsert import first_per_key
+from tallymart.session import stored
 
 # Admission limits, thresholds in percent, and the texts clients see.
 TENANT_LIMIT = 100
@@ -27,7 +27,7 @@ NOT_POSITIVE = "Prices must be positive"
 OUT_OF_RANGE = "pct_change out of range"
 
 KEY_LIFETIME_HOURS = 24
-SALTS = 1024
+KEYS = ["tenant_id", "idempotency_key"]
 
 
 def arrival() -> list[Column]:
@@ -77,95 +77,113 @@ def price_error() -> Column:
     )
 
 
-def first_requests(events: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:
-    """The request that decides each (tenant, idempotency key); the others are replays of it.
+def admit_per_minute(attempts: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """Requests within both limits of their clock minute.
 
-    ``known_keys(tenant_id, idempotency_key, expires_at)`` holds recorded keys: until they expire
-    they answer every request.
+    The product limit is applied first and only admitted requests use up the tenant's quota, which
+    equals checking both counters one request at a time. Both ranks are bounded, so Spark keeps at
+    most that many rows of a group per map task before it shuffles. ``settled`` holds requests of these minutes that were
+    admitted earlier: they keep their places.
     """
-    keys = ["tenant_id", "idempotency_key"]
-    if known_keys is not None:
-        live = known_keys.groupBy(*keys).agg(F.max("expires_at").alias("expires_at"))
-        events = (
-            events.join(live, keys, "left")
-            .filter(F.col("expires_at").isNull() | (F.col("expires_at") < F.col("received_at")))
-            .drop("expires_at")
-        )
-    return first_per_key(events, keys, *arrival())
+    order = arrival()
+    if settled is not None:
+        attempts = attempts.withColumn("_new", F.lit(True)).unionByName(settled.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        order = ["_new", *order]
+    minute = F.date_trunc("minute", "received_at")
+    by_product = F.row_number().over(Window.partitionBy("product_id", minute).orderBy(*order))
+    by_tenant = F.row_number().over(Window.partitionBy("tenant_id", minute).orderBy(*order))
+    within = attempts.withColumn("_place", by_product).filter(F.col("_place") <= PRODUCT_LIMIT).drop("_place")
+    within = within.withColumn("_place", by_tenant).filter(F.col("_place") <= TENANT_LIMIT).drop("_place")
+    return within if settled is None else within.filter("_new").drop("_new")
 
 
-def answer_replays(events: DataFrame) -> DataFrame:
-    """Every request with its status and the event that answered it.
+def _winners(processed: DataFrame) -> DataFrame:
+    """The first stored request of each key; combined before the shuffle, whatever the key's share of the rows."""
+    return processed.filter("good").groupBy(*KEYS).agg(F.min(F.struct("received_at", "event_id")).alias("winner"))
 
-    The answer of a much-repeated key has to reach all its rows: it is looked up per key and salt, so
-    that they spread over tasks, and only salts that occur get a row.
-    """
-    keys = ["tenant_id", "idempotency_key"]
-    salted = events.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)))
-    per_salt = salted.groupBy(*keys, "_salt").agg(F.min(F.struct("received_at", "event_id")).alias("_first"))
-    # At most one row per salt and key.
-    first = F.min("_first").over(Window.partitionBy(*keys))
-    original = per_salt.select(*keys, "_salt", first["event_id"].alias("original_event_id"))
-    status = F.when(F.col("event_id") == F.col("original_event_id"), PROCESSED).otherwise(REPLAYED)
-    answered = salted.join(original, [*keys, "_salt"])
-    return answered.select("event_id", *keys, status.alias("status"), "original_event_id")
-
-
-def admit_per_minute(events: DataFrame) -> DataFrame:
-    """Requests within both limits of their clock minute.
 
-    The product limit is applied first and only admitted requests use up the tenant's quota, which
-    equals checking both counters one request at a time. Both ranks are bounded, so Spark keeps at
-    most that many rows of a group per map task before it shuffles.
+def settle(requests: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """Who is a replay and who is admitted, as if requests were answered one at a time.
+
+    ``requests`` (event_id, tenant_id, product_id, received_at, idempotency_key, good: could be stored if admitted) gains
+    ``answered_by`` (the event that a replay names) and ``admitted``. A key answers later requests once one of its requests was
+    stored; a request refused by a limit or for its prices leaves the key free, and its retry is counted and judged anew.
+
+    What a request meets depends on earlier requests only, so there is one consistent outcome. It is found in rounds: from the first
+    stored request of each key as known so far follows who attempts, from that who is admitted, from that the first
+    stored request. A round settles at least the earliest request still judged wrongly; the rounds end when nothing changes.
     """
-    minute = F.date_trunc("minute", "received_at")
-    by_product = F.row_number().over(Window.partitionBy("product_id", minute).orderBy(*arrival()))
-    by_tenant = F.row_number().over(Window.partitionBy("tenant_id", minute).orderBy(*arrival()))
-    within = events.withColumn("_place", by_product).filter(F.col("_place") <= PRODUCT_LIMIT).drop("_place")
-    return within.withColumn("_place", by_tenant).filter(F.col("_place") <= TENANT_LIMIT).drop("_place")
+    rows = stored(requests, "price-requests")
+    winners, was = _winners(rows), None
+    while True:
+        winners = stored(winners, "price-winners")
+        state = tuple(winners.agg(F.count("*"), F.sum(F.xxhash64(*KEYS, "winner").cast("decimal(38,0)"))).first())
+        judged = rows.join(winners, KEYS, "left")
+        attempts = F.col("winner").isNull() | (F.struct("received_at", "event_id") <= F.col("winner"))
+        admitted = admit_per_minute(judged.filter(attempts).drop("winner"), settled)
+        if state == was:
+            break
+        winners, was = _winners(admitted), state
+    return judged.join(admitted.select("event_id", F.lit(True).alias("admitted")), "event_id", "left").select(
+        *rows.columns, F.when(~attempts, F.col("winner.event_id")).alias("answered_by"), "admitted"
+    )
 
 
-def intake(events: DataFrame, products: DataFrame, known_keys: DataFrame | None = None) -> DataFrame:
+def intake(
+    events: DataFrame, products: DataFrame, known_keys: DataFrame | None = None, settled: DataFrame | None = None
+) -> DataFrame:
     """Every request with its outcome: product check, idempotency, admission, price check, classification.
 
-    The first request of a key decides for the whole batch. Decisions are brought back by the unique
-    event id, so no hot tenant, product or key is joined as a group.
+    ``known_keys`` (tenant_id, idempotency_key, expires_at, event_id) holds recorded keys: until they expire they answer
+    every request. ``settled`` are requests admitted earlier, whose minutes may go on. A replay names the event that answers it in
+    ``answered_by``. Decisions are made on narrow rows and brought back by the unique event id, so no hot
+    tenant, product or key is joined as a group.
     """
     listed = products.select("tenant_id", "product_id", F.lit(True).alias("listed"))
-    found = events.join(listed, ["tenant_id", "product_id"], "left")
-    eligible = (
-        found.filter(F.col("listed") & F.col("idempotency_key").isNotNull())
-        .select("event_id", "tenant_id", "product_id", "received_at", "idempotency_key")
-    )
-    first = first_requests(eligible, known_keys)
-    admitted = admit_per_minute(first)
-    decided = (
-        with_change(found)
-        .join(first.select("event_id", F.lit(True).alias("is_first")), "event_id", "left")
-        .join(admitted.select("event_id", F.lit(True).alias("is_admitted")), "event_id", "left")
+    found = with_change(events.join(listed, ["tenant_id", "product_id"], "left"))
+    eligible = found.filter(F.col("listed") & F.col("idempotency_key").isNotNull()).select(
+        "event_id", "tenant_id", "product_id", "received_at", "idempotency_key", price_error().isNull().alias("good")
     )
+    if known_keys is None:
+        decided = settle(eligible, settled)
+    else:
+        live = known_keys.groupBy(*KEYS).agg(F.max(F.struct("expires_at", "event_id")).alias("known"))
+        met = stored(eligible.join(live, KEYS, "left"), "price-known")
+        answered = F.coalesce(F.col("known.expires_at") >= F.col("received_at"), F.lit(False))
+        replays = met.filter(answered).withColumns({"answered_by": F.col("known.event_id"), "admitted": F.lit(None).cast("boolean")})
+        decided = settle(met.filter(~answered).drop("known"), settled).unionByName(replays.drop("known"))
+    decisions = decided.select("event_id", "answered_by", "admitted", F.lit(True).alias("eligible"))
+    replay = F.col("eligible").isNotNull() & F.col("admitted").isNull() & F.col("answered_by").isNotNull()
     error = (
         F.when(F.col("listed").isNull(), NO_PRODUCT)
         .when(F.col("idempotency_key").isNull(), NO_KEY)
-        .when(F.col("is_first").isNull(), None)
-        .when(F.col("is_admitted").isNull(), LIMITED)
+        .when(replay, None)
+        .when(F.col("admitted").isNull(), LIMITED)
         .otherwise(price_error())
     )
-    replay = F.col("listed").isNotNull() & F.col("idempotency_key").isNotNull() & F.col("is_first").isNull()
-    decided = decided.withColumn("error", error).withColumn(
-        "status", F.when(replay, REPLAYED).when(F.col("error").isNull(), PROCESSED).otherwise(REJECTED)
-    )
+    status = F.when(replay, REPLAYED).when(error.isNull(), PROCESSED).otherwise(REJECTED)
     ok = F.col("status") == PROCESSED
-    return decided.select(
-        *events.columns,
-        "status",
-        "error",
-        F.when(ok, F.col("pct_change")).alias("pct_change"),
-        (ok & F.col("anomaly_flag")).alias("anomaly_flag"),
-        F.when(ok, F.col("anomaly_reason")).alias("anomaly_reason"),
+    return (
+        found.join(decisions, "event_id", "left")
+        .withColumns({"error": error, "status": status})
+        .select(
+            *events.columns,
+            "status",
+            "error",
+            F.when(ok, F.col("pct_change")).alias("pct_change"),
+            (ok & F.col("anomaly_flag")).alias("anomaly_flag"),
+            F.when(ok, F.col("anomaly_reason")).alias("anomaly_reason"),
+            F.when(ok, F.col("event_id")).otherwise(F.col("answered_by")).alias("answered_by"),
+        )
     )
 
 
+def _metadata() -> Column:
+    """The request's metadata, a JSON text; unreadable text stays a text."""
+    read = F.try_parse_json("metadata")
+    return F.coalesce(read, F.to_variant_object(F.struct(F.col("metadata").alias("value"))))
+
+
 def stored_events(outcomes: DataFrame) -> DataFrame:
     """Rows of the price event table."""
     return outcomes.filter(F.col("status") == PROCESSED).select(
@@ -176,17 +194,18 @@ def stored_events(outcomes: DataFrame) -> DataFrame:
         "new_price",
         "pct_change",
         "anomaly_flag",
-        F.to_json(F.struct("source", "anomaly_reason")).alias("meta"),
+        F.to_json(F.struct("source", "anomaly_reason", F.when(F.col("metadata").isNotNull(), _metadata()).alias("metadata"))).alias("meta"),
         "received_at",
     )
 
 
 def idempotency_records(outcomes: DataFrame) -> DataFrame:
     """Rows of the idempotency key table, valid for a day."""
-    body = F.to_json(F.struct("new_price", "old_price", "source"))
+    given = F.when(F.col("metadata").isNotNull(), _metadata()).alias("metadata")
+    body = F.to_json(F.struct(given, "new_price", "old_price", "source"))  # in order of the names
     return outcomes.filter(F.col("status") == PROCESSED).select(
-        "tenant_id",
-        "idempotency_key",
+        *KEYS,
+        "event_id",
         F.sha2(body, 256).alias("request_hash"),
         F.to_json(F.struct("event_id", "anomaly_flag", "anomaly_reason", "status")).alias("response_summary"),
         F.lit("completed").alias("status"),
@@ -195,29 +214,32 @@ def idempotency_records(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def anomalies(price_events: DataFrame, as_of=None, hours: int | None = 24) -> DataFrame:
-    """Flagged events of the look-back window with the fields of the feed."""
-    flagged = price_events.filter("anomaly_flag")
+def anomalies(price_events: DataFrame, products: DataFrame, as_of=None, hours: int | None = 24) -> DataFrame:
+    """Flagged events of the look-back window with the fields of the feed; the events may be a stream."""
+    names = products.select("tenant_id", "product_id", F.col("name").alias("product_name"))
+    flagged = price_events.filter("anomaly_flag").join(names, ["tenant_id", "product_id"], "left")
     if as_of is not None and hours is not None:
         flagged = flagged.filter(F.col("received_at") >= before(as_of, hours=hours))
     return flagged.select(
         "event_id",
         "tenant_id",
         "product_id",
+        "product_name",
         F.col("old_price").cast("double").alias("old_price"),
         F.col("new_price").cast("double").alias("new_price"),
         F.col("pct_change").cast("double").alias("pct_change"),
         F.get_json_object("meta", "$.anomaly_reason").alias("anomaly_reason"),
         F.get_json_object("meta", "$.source").alias("source"),
+        F.get_json_object("meta", "$.metadata").alias("metadata"),
         "received_at",
     )
 
 
-def recent_anomalies(price_events: DataFrame, as_of, *, hours: int = 24, limit: int = 100) -> DataFrame:
+def recent_anomalies(price_events: DataFrame, products: DataFrame, as_of, *, hours: int = 24, limit: int = 100) -> DataFrame:
     """The newest ``limit`` anomalies of each product."""
     newest = Window.partitionBy("product_id").orderBy(F.desc("received_at"), F.desc("event_id"))
     return (
-        anomalies(price_events, as_of, hours)
+        anomalies(price_events, products, as_of, hours)
         .withColumn("_place", F.row_number().over(newest))
         .filter(F.col("_place") <= limit)
         .drop("_place")
@@ -227,7 +249,8 @@ def recent_anomalies(price_events: DataFrame, as_of, *, hours: int = 24, limit:
 
 def anomaly_summary(price_events: DataFrame, as_of, *, hours: int = 24) -> DataFrame:
     """The closing line of each product's feed: how many anomalies there were."""
-    per_product = anomalies(price_events, as_of, hours).groupBy("tenant_id", "product_id").count()
+    flagged = price_events.filter("anomaly_flag").filter(F.col("received_at") >= before(as_of, hours=hours))
+    per_product = flagged.groupBy("tenant_id", "product_id").count()
     return per_product.select(
         "tenant_id",
         "product_id",

@@ -72,7 +72,7 @@ VIEWS = {
                case when event_type = 'error' then cents * 2 * (k + 1)
                     when event_type = 'view' and k = 0 then 0
                     else cents * (50 + k) // 100 end as new_cents,
-               event_type as source
+               event_type as source, case when k % 3 > 0 then props end as metadata
         from e""",
 }
 
@@ -92,17 +92,6 @@ VIEWS["d_price_found"] = """
     select e.*, p.product_id is not null as listed
     from d_price_events e
     left join d_products p on p.product_id = e.product_id and p.tenant_id = e.tenant_id"""
-VIEWS["d_price_first"] = """
-    select * from d_price_found where listed
-    qualify row_number() over (partition by tenant_id, idempotency_key order by received_at, event_id) = 1"""
-VIEWS["d_price_by_product"] = """
-    select * from d_price_first
-    qualify row_number() over (partition by product_id, date_trunc('minute', received_at)
-                               order by received_at, event_id) <= 10"""
-VIEWS["d_price_admitted"] = """
-    select * from d_price_by_product
-    qualify row_number() over (partition by tenant_id, date_trunc('minute', received_at)
-                               order by received_at, event_id) <= 100"""
 VIEWS["d_price_pct"] = """
     select event_id, sign(new_cents - old_cents) as dir, abs(new_cents - old_cents) as gap, old_cents,
            gap * 1000000 // old_cents as q4, gap * 1000000 % old_cents as r4,
@@ -121,22 +110,51 @@ VIEWS["d_price_classes"] = """
                 when gap * 10 >= old_cents and old_cents > 10000
                 then 'Notable price change for high-value item: ' end as class
     from d_price_sizes"""
-VIEWS["d_price_outcomes"] = """
-    select f.*, case when not f.listed then 'rejected' when k.event_id is null then 'already_processed'
-                     when a.event_id is null or f.old_cents <= 0 or f.new_cents <= 0 or c.e4 >= 100000000
-                     then 'rejected' else 'processed' end as status,
-           case when not f.listed then 'Product not found' when k.event_id is null then null
-                when a.event_id is null then 'Rate limit exceeded'
-                when f.old_cents <= 0 or f.new_cents <= 0 then 'Prices must be positive'
-                when c.e4 >= 100000000 then 'pct_change out of range' end as error,
+VIEWS["d_price_checked"] = """
+    select f.*, date_trunc('minute', received_at) as minute, {'t': received_at, 'e': f.event_id} as place,
+           case when f.old_cents <= 0 or f.new_cents <= 0 then 'Prices must be positive'
+                when c.e4 >= 100000000 then 'pct_change out of range' end as fault,
            c.pct, concat(c.class, c.shown) as reason, c.class
-    from d_price_found f left join d_price_first k on k.event_id = f.event_id
+    from d_price_found f left join d_price_classes c on c.event_id = f.event_id"""
+# One rule after the other, again and again: who attempts (nobody behind the first stored request of the key),
+# who is within the product's and then the tenant's limit, and which request of a key is stored first.
+_ADMITTED = """
+    select * from (
+        select * from ({attempts})
+        qualify row_number() over (partition by product_id, minute order by received_at, event_id) <= 10)
+    qualify row_number() over (partition by tenant_id, minute order by received_at, event_id) <= 100"""
+VIEWS["d_price_rounds"] = f"""
+    select 0 as round, tenant_id, idempotency_key, min(place) as winner from d_price_checked
+    where listed and fault is null group by all
+    union all
+    select * from (
+        select round, tenant_id, idempotency_key, min(place) as winner from ({_ADMITTED.format(attempts="""
+            select r.*, n.round + 1 as round
+            from d_price_checked r cross join (select max(round) as round from d_price_rounds) n
+            left join d_price_rounds w using (tenant_id, idempotency_key)
+            where r.listed and (w.winner is null or r.place <= w.winner)""")})
+        where fault is null group by all)
+    where round <= 15"""
+VIEWS["d_price_winners"] = """
+    select tenant_id, idempotency_key, winner from d_price_rounds where round = (select max(round) from d_price_rounds)"""
+VIEWS["d_price_attempts"] = """
+    select r.* from d_price_checked r left join d_price_winners w using (tenant_id, idempotency_key)
+    where r.listed and (w.winner is null or r.place <= w.winner)"""
+VIEWS["d_price_admitted"] = _ADMITTED.format(attempts="select * from d_price_attempts")
+VIEWS["d_price_outcomes"] = """
+    select f.*, case when not f.listed then 'rejected' when t.event_id is null then 'already_processed'
+                     when a.event_id is null or f.fault is not null then 'rejected' else 'processed' end as status,
+           case when not f.listed then 'Product not found' when t.event_id is null then null
+                when a.event_id is null then 'Rate limit exceeded' else f.fault end as error,
+           case when not f.listed then null when t.event_id is null or (a.event_id is not null and f.fault is null)
+                then w.winner.e end as answered_by
+    from d_price_checked f left join d_price_attempts t on t.event_id = f.event_id
     left join d_price_admitted a on a.event_id = f.event_id
-    left join d_price_classes c on c.event_id = f.event_id"""
+    left join d_price_winners w on w.tenant_id = f.tenant_id and w.idempotency_key = f.idempotency_key"""
 VIEWS["d_price_stored"] = """
     select event_id, tenant_id, product_id, old_cents / 100 as old_price, new_cents / 100 as new_price,
            pct as pct_change, class is not null as anomaly_flag, case when class is not null then reason end
-           as anomaly_reason, source, received_at
+           as anomaly_reason, source, metadata, received_at
     from d_price_outcomes where status = 'processed'"""
 VIEWS["d_stock_levels"] = """
     select product_id, arg_max(level, seq) as available, max(event_time) as last_updated
@@ -144,13 +162,15 @@ VIEWS["d_stock_levels"] = """
 
 _NEEDS = {
     "d_price_found": ["d_price_events", "d_products"],
-    "d_price_first": ["d_price_found"],
-    "d_price_by_product": ["d_price_first"],
-    "d_price_admitted": ["d_price_by_product"],
     "d_price_pct": ["d_price_events"],
     "d_price_sizes": ["d_price_pct"],
     "d_price_classes": ["d_price_sizes"],
-    "d_price_outcomes": ["d_price_admitted", "d_price_classes"],
+    "d_price_checked": ["d_price_found", "d_price_classes"],
+    "d_price_rounds": ["d_price_checked"],
+    "d_price_winners": ["d_price_rounds"],
+    "d_price_attempts": ["d_price_winners"],
+    "d_price_admitted": ["d_price_attempts"],
+    "d_price_outcomes": ["d_price_admitted"],
     "d_price_stored": ["d_price_outcomes"],
     "d_stock_applied": ["d_stock_events"],
     "d_stock_sums": ["d_stock_applied"],
@@ -171,7 +191,7 @@ def with_views(names: str, body: str) -> str:
 
     for name in names.split():
         visit(name)
-    return "with " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in order) + "\n" + body
+    return "with recursive " + ",\n".join(f"{n} as ({VIEWS[n]})" for n in order) + "\n" + body
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -322,6 +342,7 @@ def price_requests(events: DataFrame) -> DataFrame:
         (cents / 100).cast("decimal(10,2)").alias("old_price"),
         (scaled / 100).cast("decimal(10,2)").alias("new_price"),
         kind.alias("source"),
+        F.when(k % 3 > 0, F.col("props")).alias("metadata"),
     )
 
 

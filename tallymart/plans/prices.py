@@ -10,16 +10,19 @@ from tallymart.plans.catalog import query
 from tallymart.plans.demo import AS_OF_PRICES
 
 
+def _outcomes(spark, sf):
+    return prices.intake(demo.price_events(spark, sf), demo.products(spark, sf))
+
+
 @query(
     "price_idempotent",
-    "d_price_events",
-    """select event_id, tenant_id, idempotency_key,
-              first_value(event_id) over w as original_event_id,
-              case when row_number() over w = 1 then 'processed' else 'already_processed' end as status
-       from d_price_events window w as (partition by tenant_id, idempotency_key order by received_at, event_id)""",
+    "d_price_outcomes",
+    """select event_id, tenant_id, idempotency_key, answered_by, status from d_price_outcomes where status <> 'rejected'""",
 )
 def _(spark, sf):
-    return prices.answer_replays(demo.price_events(spark, sf))
+    """Stored requests and the replays that they answer."""
+    answered = _outcomes(spark, sf).filter(F.col("status") != prices.REJECTED)
+    return answered.select("event_id", "tenant_id", "idempotency_key", "answered_by", "status")
 
 
 @query(
@@ -40,32 +43,33 @@ def _(spark, sf):
 @query(
     "price_events",
     "d_price_outcomes",
-    """select event_id, tenant_id, product_id, received_at, status, error,
+    """select event_id, tenant_id, product_id, received_at, status, error, answered_by,
               case when status = 'processed' then pct end as pct_change,
               status = 'processed' and class is not null as anomaly_flag,
               case when status = 'processed' and class is not null then reason end as anomaly_reason
        from d_price_outcomes""",
 )
 def _(spark, sf):
-    outcomes = prices.intake(demo.price_events(spark, sf), demo.products(spark, sf))
-    return outcomes.drop("idempotency_key", "old_price", "new_price", "source").withColumn(
-        "pct_change", F.col("pct_change").cast("double")
-    )
+    kept = _outcomes(spark, sf).drop("idempotency_key", "old_price", "new_price", "source", "metadata")
+    return kept.withColumn("pct_change", F.col("pct_change").cast("double"))
 
 
 @query(
     "price_idempotency_records",
     "d_price_outcomes",
-    """select tenant_id, idempotency_key, 'completed' as status, received_at as created_at,
+    """select tenant_id, idempotency_key, event_id, 'completed' as status, received_at as created_at,
               received_at + interval 24 hour as expires_at,
-              sha256(concat('{"new_price":', cast(cast(new_cents / 100 as decimal(10,2)) as varchar),
+              concat('{"event_id":', event_id, ',"anomaly_flag":', class is not null,
+                     case when class is null then '' else ',"anomaly_reason":"' || reason || '"' end,
+                     ',"status":"processed"}') as response_summary,
+              sha256(concat('{', coalesce('"metadata":' || replace(metadata, ' ', '') || ',', ''),
+                            '"new_price":', cast(cast(new_cents / 100 as decimal(10,2)) as varchar),
                             ',"old_price":', cast(cast(old_cents / 100 as decimal(10,2)) as varchar),
                             coalesce(',"source":"' || source || '"', ''), '}')) as request_hash
        from d_price_outcomes where status = 'processed'""",
 )
 def _(spark, sf):
-    outcomes = prices.intake(demo.price_events(spark, sf), demo.products(spark, sf))
-    return prices.idempotency_records(outcomes).drop("response_summary")
+    return prices.idempotency_records(_outcomes(spark, sf))
 
 
 _CHANGES = f"""
@@ -100,13 +104,15 @@ _WINDOW = f"anomaly_flag and received_at >= timestamp '{AS_OF_PRICES}' - interva
 
 @query(
     "recent_anomalies",
-    "d_price_stored",
-    f"""select event_id, tenant_id, product_id, old_price, new_price, pct_change, anomaly_reason, source, received_at
-        from d_price_stored where {_WINDOW}
-        qualify row_number() over (partition by product_id order by received_at desc, event_id desc) <= 5""",
+    "d_price_stored d_products",
+    f"""select event_id, e.tenant_id, e.product_id, p.name as product_name, old_price, new_price, pct_change, anomaly_reason,
+               source, replace(metadata, ' ', '') as metadata, received_at
+        from d_price_stored e left join d_products p on p.tenant_id = e.tenant_id and p.product_id = e.product_id
+        where {_WINDOW}
+        qualify row_number() over (partition by e.product_id order by received_at desc, event_id desc) <= 5""",
 )
 def _(spark, sf):
-    return prices.recent_anomalies(demo.stored_price_events(spark, sf), AS_OF_PRICES, limit=5)
+    return prices.recent_anomalies(demo.stored_price_events(spark, sf), demo.products(spark, sf), AS_OF_PRICES, limit=5)
 
 
 @query(

@@ -20,32 +20,34 @@ def _arriving(spark, sf, name, size=64 << 30):
 
 @query(
     "price_dedup_stream",
-    "d_price_events",
-    """select tenant_id, idempotency_key, event_id, received_at from d_price_events
-       qualify row_number() over (partition by tenant_id, idempotency_key order by received_at, event_id) = 1""",
+    "d_price_outcomes",
+    """select tenant_id, idempotency_key, event_id, answered_by, status, error, received_at from d_price_outcomes""",
 )
 def _(spark, sf):
+    """Requests answered as they arrive, against the keys and admissions of earlier micro-batches."""
     folder = fresh_dir(spark, "requests")
     requests = demo.price_requests(_arriving(spark, sf, "events"))
-    run.each_batch(requests, prices.keep_first(folder), fresh_dir(spark, "checkpoint"))
-    return prices.first_requests(spark, folder).select("tenant_id", "idempotency_key", "event_id", "received_at")
+    run.each_batch(requests, prices.intake_into(folder, demo.products(spark, sf)), fresh_dir(spark, "checkpoint"))
+    columns = ["tenant_id", "idempotency_key", "event_id", "answered_by", "status", "error", "received_at"]
+    return prices.outcomes(spark, folder).select(columns)
 
 
 @query(
     "anomaly_stream",
-    "d_price_stored",
-    "select event_id, tenant_id, product_id, pct_change, received_at from d_price_stored where anomaly_flag",
+    "d_price_stored d_products",
+    """select event_id, e.tenant_id, e.product_id, p.name as product_name, old_price, new_price, pct_change, anomaly_reason, source,
+              replace(metadata, ' ', '') as metadata, received_at
+       from d_price_stored e left join d_products p on p.tenant_id = e.tenant_id and p.product_id = e.product_id
+       where anomaly_flag""",
 )
 def _(spark, sf):
-    """Stored price events as a stream of files."""
-    folder = fresh_dir(spark, "price_events")
+    """Stored price events as a stream of files, joined to the products, written as JSON lines and read back."""
+    folder, lines = fresh_dir(spark, "price_events"), fresh_dir(spark, "feed")
     stored = demo.stored_price_events(spark, sf)
     stored.write.parquet(folder)
-    feed = prices.anomaly_feed(run.arriving(spark, folder, stored.schema))
-    return run.collected(
-        spark,
-        feed.select("event_id", "tenant_id", "product_id", F.col("pct_change").cast("double").alias("pct_change"), "received_at"),
-    )
+    feed = prices.anomaly_feed(run.arriving(spark, folder, stored.schema), demo.products(spark, sf))
+    run.to_table(prices.feed_lines(feed), lines, fresh_dir(spark, "checkpoint"), "text")
+    return spark.read.schema(feed.schema).json(lines)
 
 
 def _folded(spark, sf) -> TableStore:

@@ -19,10 +19,10 @@ def arriving(
     return reader.parquet(path)
 
 
-def to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append everything that is available to a Parquet folder, then stop."""
+def to_table(stream: DataFrame, path: str, checkpoint: str, format: str = "parquet") -> None:
+    """Append everything that is available to a folder, then stop."""
     query = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.format(format)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(path)

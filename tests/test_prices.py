@@ -1,3 +1,4 @@
+import hashlib
 import random
 from decimal import Decimal
 
@@ -11,7 +12,7 @@ from tallymart.streaming import run
 
 REQUEST = (
     "event_id bigint, tenant_id string, product_id string, received_at timestamp_ntz, idempotency_key string, "
-    "old_price decimal(10,2), new_price decimal(10,2), source string"
+    "old_price decimal(10,2), new_price decimal(10,2), source string, metadata string"
 )
 
 
@@ -50,14 +51,45 @@ def requests_of(spark, rows):
     for i, row in enumerate(rows):
         second, tenant, product, key, *pair = row
         old, new = pair or ("10", "11")
-        full.append((i, tenant, product, float(second), key, Decimal(old), Decimal(new), "api"))
+        full.append((i, tenant, product, float(second), key, Decimal(old), Decimal(new), "api", '{"b": [1, 2], "a": null}' if i % 2 else None))
     df = spark.createDataFrame(full, REQUEST.replace("received_at timestamp_ntz", "at double"))
     moment = F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint") + 1704067200000000).cast("timestamp_ntz")
     return df.withColumn("received_at", moment).drop("at")
 
 
 def products_of(spark, rows):
-    return spark.createDataFrame(sorted({(r[1], r[2]) for r in rows if r[2] != "ghost"}), "tenant_id string, product_id string")
+    listed = sorted({(r[1], r[2], f"name of {r[2]}") for r in rows if r[2] != "ghost"})
+    return spark.createDataFrame(listed, "tenant_id string, product_id string, name string")
+
+
+def answers_loop(rows, batch_of=lambda row: 0):
+    """Requests answered one at a time: (status, error, answering event). Keys are live for a day, but not looked up by age in their own batch."""
+    keys, counts, answers = {}, {}, {}
+    for i, row in sorted(enumerate(rows), key=lambda r: (batch_of(r[1]), r[1][0], r[0])):
+        second, tenant, product, key, *pair = row
+        old, new = (Decimal(x) for x in pair or ("10", "11"))
+        minute = int(second // 60)
+        if product == "ghost":
+            answers[i] = (prices.REJECTED, prices.NO_PRODUCT, None)
+        elif key is None:
+            answers[i] = (prices.REJECTED, prices.NO_KEY, None)
+        elif (tenant, key) in keys and (keys[tenant, key][2] == batch_of(row) or second <= keys[tenant, key][1] + 86400):
+            answers[i] = (prices.REPLAYED, None, keys[tenant, key][0])
+        elif counts.get((tenant, minute), 0) >= 100 or counts.get((product, minute), 0) >= 10:
+            answers[i] = (prices.REJECTED, prices.LIMITED, None)
+        else:
+            for counter in (tenant, product):
+                counts[counter, minute] = counts.get((counter, minute), 0) + 1
+            if old <= 0 or new <= 0:
+                answers[i] = (prices.REJECTED, prices.NOT_POSITIVE, None)
+            else:
+                answers[i] = (prices.PROCESSED, None, i)
+                keys[tenant, key] = (i, second, batch_of(row))
+    return answers
+
+
+def answers_of(outcomes):
+    return {r.event_id: (r.status, r.error, r.answered_by) for r in outcomes.collect()}
 
 
 def per_minute_loop(rows):
@@ -86,30 +118,109 @@ def test_admission_keeps_only_bounded_groups(spark):
     assert plan.count("WindowGroupLimit") == 4
 
 
-def test_streamed_dedup_equals_the_batch_twin(spark):
-    """Six files, the newest first, one for each micro-batch."""
-    rng = random.Random(4)
-    rows = [(second * 3600, rng.choice("TU"), "P", f"k{rng.randint(0, 400)}") for second in range(900)]
-    requests = requests_of(spark, rows)
+def retries(seed, n=1000, seconds=150):
+    """Requests that repeat keys, hit both limits and name bad prices."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        tenant = rng.choice("TTTU")
+        product = rng.choice([f"{tenant}{rng.randint(0, 3)}", f"{tenant}{rng.randint(0, 40)}", "ghost"])
+        key = rng.choice([None, "hot", f"k{rng.randint(0, 30)}", *[f"k{rng.randint(0, n // 2)}"] * 4])
+        rows.append((rng.randint(0, seconds), tenant, product, key, rng.choice(["0", "10"]), rng.choice(["-1", "11", "30"])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_retries_equal_the_loop(spark, seed):
+    rows = retries(seed)
+    want = answers_loop(rows)
+    assert answers_of(prices.intake(requests_of(spark, rows), products_of(spark, rows))) == want
+    kinds = {a[:2] for a in want.values()}
+    assert len(kinds) == 6  # every outcome occurs
+
+
+def test_a_refused_request_leaves_its_key_free(spark):
+    rows = [(0, "T", "P", "a", "0", "5"), (300, "T", "P", "a", "100", "150"), (600, "T", "P", "a", "100", "150")]
+    rows += [(1000 + n / 100, "T", "Q", f"q{n}") for n in range(12)] + [(1130, "T", "Q", "q11"), (1131, "T", "Q", "q0")]
+    got = answers_of(prices.intake(requests_of(spark, rows), products_of(spark, rows)))
+    assert [got[i] for i in range(3)] == [(prices.REJECTED, prices.NOT_POSITIVE, None), (prices.PROCESSED, None, 1), (prices.REPLAYED, None, 1)]
+    assert got[14] == (prices.REJECTED, prices.LIMITED, None) and got[15] == (prices.PROCESSED, None, 15) and got[16] == (prices.REPLAYED, None, 3)
+
+
+def test_a_hot_key_is_no_group_of_a_window(spark):
+    """Who attempts and who wins is decided by joins and combined minima; the only windows are those of the limits."""
+    plan = prices.settle(spark.createDataFrame([], "event_id long, tenant_id string, product_id string, received_at timestamp_ntz, idempotency_key string, good boolean"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert windows and not any("idempotency_key" in line.split("windowspec")[-1] for line in windows)
+
+
+def stream_of(spark, requests, cuts, products, tmp_folder):
+    """One file, and so one micro-batch, for each cut."""
     folder, kept = fresh_dir(spark, "requests"), fresh_dir(spark, "kept")
-    for part in reversed(range(6)):
-        piece = requests.filter((F.col("event_id") >= part * 150) & (F.col("event_id") < (part + 1) * 150))
-        piece.coalesce(1).write.mode("append").parquet(folder)
-    arriving = run.arriving(spark, folder, requests.schema, files=1)
-    run.each_batch(arriving, stream.keep_first(kept), fresh_dir(spark, "checkpoint"))
-    got = stream.first_requests(spark, kept)
-    want = prices.first_requests(requests)
-    assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in want.collect())
+    for k, piece in enumerate(cuts):
+        requests.filter(piece).coalesce(1).write.mode("append").parquet(folder)
+        arriving = run.arriving(spark, folder, requests.schema, files=1)
+        run.each_batch(arriving, stream.intake_into(kept, products), tmp_folder)
+    return kept
+
+
+def test_streamed_intake_equals_the_loop(spark):
+    """Micro-batches cut through minutes and keys; the third one is answered again after a failure."""
+    rows = retries(4, 400, 180)
+    requests, products = requests_of(spark, rows), products_of(spark, rows)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    second = F.timestamp_diff("SECOND", start, F.col("received_at"))
+    kept = stream_of(spark, requests, [(second >= 45 * k) & (second < 45 * k + 45) for k in range(5)], products, fresh_dir(spark, "checkpoint"))
+    assert answers_of(stream.outcomes(spark, kept)) == answers_loop(rows, lambda r: r[0] // 45)
+    stream.intake_into(kept, products)(requests.filter((second >= 90) & (second < 135)), 2)
+    assert answers_of(stream.outcomes(spark, kept)) == answers_loop(rows, lambda r: r[0] // 45)
+
+
+def test_a_long_stream_reads_few_folders(spark):
+    """A request a day and key over weeks: a batch looks only at folders that can hold its keys, and expired days go whole."""
+    day = 86400
+    rows = [(d * day + 3600 * h, "T", "P", f"k{(d + h) % 6}") for d in range(20) for h in (0, 20)]
+    requests, products = requests_of(spark, rows), products_of(spark, rows)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    days = F.floor(F.timestamp_diff("SECOND", start, F.col("received_at")) / day)
+    kept = stream_of(spark, requests, [days == d for d in range(20)], products, fresh_dir(spark, "checkpoint"))
+    assert answers_of(stream.outcomes(spark, kept)) == answers_loop(rows, lambda r: r[0] // day)
+    last = stream.recorded_keys(spark, kept, requests.filter(days == 19), 19)
+    read = {f.split("/keys/")[1].split("/bucket=")[0] for f in last.filter("true").select("_metadata.file_path").distinct().toPandas()["file_path"]}
+    assert read <= {"expires=2024-01-20", "expires=2024-01-21"}
+    assert "expires" in last._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    gone = stream.drop_expired(spark, kept, "2024-01-10")
+    assert gone and not any(f >= "keys/expires=2024-01-10" for f in gone if f.startswith("keys/"))
+    left = stream.recorded_keys(spark, kept, requests.filter(days == 0), 100)
+    assert left.agg(F.min("expires").cast("string")).first()[0] >= "2024-01-10"
+
+
+def test_metadata_and_product_reach_the_feed(spark):
+    rows = [(0, "T", "P", "a", "100", "150"), (1, "T", "P", "b", "100", "160"), (2, "T", "P", "c", "100", "101")]
+    products = products_of(spark, rows)
+    outcomes = prices.intake(requests_of(spark, rows), products)
+    feed = prices.recent_anomalies(prices.stored_events(outcomes), products, "2024-01-01 01:00:00").collect()
+    assert [(r.event_id, r.product_name, r.metadata) for r in feed] == [(1, "name of P", '{"a":null,"b":[1,2]}'), (0, "name of P", None)]
+    bodies = {
+        0: '{"new_price":150.00,"old_price":100.00,"source":"api"}',
+        1: '{"metadata":{"a":null,"b":[1,2]},"new_price":160.00,"old_price":100.00,"source":"api"}',
+    }
+    hashes = {r.event_id: r.request_hash for r in prices.idempotency_records(outcomes).collect()}
+    assert all(hashes[i] == hashlib.sha256(body.encode()).hexdigest() for i, body in bodies.items())
+    odd = requests_of(spark, rows[:1]).withColumn("metadata", F.lit("not json"))
+    stored = prices.stored_events(prices.intake(odd, products))
+    assert prices.anomalies(stored, products).first().metadata == '{"value":"not json"}'
 
 
 def test_the_latest_recorded_expiry_counts(spark):
     rows = [(3600, "T", "P", "a", "10", "12")]
     known = spark.sql(
-        """select 'T' as tenant_id, 'a' as idempotency_key, timestamp_ntz'2000-01-01 00:00:00' as expires_at
-           union all select 'T', 'a', timestamp_ntz'2999-01-01 00:00:00'"""
+        """select 'T' as tenant_id, 'a' as idempotency_key, timestamp_ntz'2000-01-01 00:00:00' as expires_at, 70L as event_id
+           union all select 'T', 'a', timestamp_ntz'2999-01-01 00:00:00', 71L"""
     )
     out = prices.intake(requests_of(spark, rows), products_of(spark, rows), known).first()
-    assert out.status == prices.REPLAYED
+    assert (out.status, out.answered_by) == (prices.REPLAYED, 71)
 
 
 def test_ten_products_share_the_tenant_limit(spark):
@@ -127,8 +238,8 @@ def test_fifteen_requests_on_one_product_admit_ten(spark):
 def test_known_keys_answer_until_they_expire(spark):
     rows = [(10, "T", "P", "old"), (10, "T", "P", "expired"), (10, "T", "P", None), (11, "T", "P", "new"), (12, "T", "P", "new")]
     known = spark.createDataFrame(
-        [("T", "old", "2024-01-01 06:00:00"), ("T", "expired", "2024-01-01 00:00:05")],
-        "tenant_id string, idempotency_key string, at string",
+        [("T", "old", "2024-01-01 06:00:00", 70), ("T", "expired", "2024-01-01 00:00:05", 71)],
+        "tenant_id string, idempotency_key string, at string, event_id long",
     ).withColumn("expires_at", F.col("at").cast("timestamp_ntz"))
     outcomes = prices.intake(requests_of(spark, rows), products_of(spark, rows), known).orderBy("event_id").collect()
     assert [(r.status, r.error) for r in outcomes] == [
@@ -142,8 +253,9 @@ def test_known_keys_answer_until_they_expire(spark):
 
 def test_stored_events_feed_the_anomaly_report(spark):
     rows = [(0, "T", "P", "a", "100", "150"), (1, "T", "P", "b", "100", "101"), (2, "T", "P", "c", "100", "20")]
-    stored = prices.stored_events(prices.intake(requests_of(spark, rows), products_of(spark, rows)))
-    feed = prices.recent_anomalies(stored, "2024-01-01 01:00:00").collect()
+    products = products_of(spark, rows)
+    stored = prices.stored_events(prices.intake(requests_of(spark, rows), products))
+    feed = prices.recent_anomalies(stored, products, "2024-01-01 01:00:00").collect()
     assert [r.anomaly_reason for r in feed] == ["Extreme price change: -80.0%", "Extreme price change: 50.0%"]
     assert prices.anomaly_summary(stored, "2024-01-01 01:00:00").first().total_anomalies == 2
-    assert prices.recent_anomalies(stored, "2024-01-03 01:00:00").count() == 0
+    assert prices.recent_anomalies(stored, products, "2024-01-03 01:00:00").count() == 0

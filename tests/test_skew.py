@@ -57,14 +57,12 @@ def test_limits_hold_for_a_hot_tenant(spark):
 
 
 def test_replays_of_a_hot_key_are_spread(spark):
-    events = hot_rows(spark).select(
-        F.col("seq").alias("event_id"), F.lit("t").alias("tenant_id"), F.col("product_id").alias("idempotency_key"),
-        F.timestamp_seconds(N - F.col("seq")).cast("timestamp_ntz").alias("received_at"),
+    requests = hot_rows(spark).select(
+        F.col("seq").alias("event_id"), F.lit("t").alias("tenant_id"), F.lit("p").alias("product_id"),
+        F.col("product_id").alias("idempotency_key"), F.lit(True).alias("good"),
+        F.timestamp_seconds((N - F.col("seq")) * 60).cast("timestamp_ntz").alias("received_at"),
     )
-    answers = prices.answer_replays(events)
-    hot = answers.filter("idempotency_key = '0'").groupBy("status", "original_event_id").count().collect()
-    assert {(r.status, r.original_event_id, r["count"]) for r in hot} == {
-        (prices.PROCESSED, N - 3, 1),
-        (prices.REPLAYED, N - 3, N // 3 - 1),
-    }
+    answers = prices.settle(requests)
+    hot = answers.filter("idempotency_key = '0'").groupBy("admitted", "answered_by").count().collect()
+    assert {(r.admitted, r.answered_by, r["count"]) for r in hot} == {(True, None, 1), (None, N - 3, N // 3 - 1)}
     assert answers.count() == N
