@@ -37,12 +37,12 @@ LEAST = 10
 EXPLAINED = 50
 TOP = 2000
 #: Words a task counts before it hands on, and distinct words of a language.
-BATCH_WORDS = 4_000_000
+BATCH_WORDS = 2_000_000
 BATCH_DISTINCT = 1_000_000
 #: Three word numbers below this fit into 63 bits.
 CUBE = 1 << 21
-#: Bytes of text to a partition of edges.
-PART_BYTES = 16 << 20
+#: Bytes of text to a partition of edges, as one task sums them.
+PART_BYTES = 8 << 20
 #: Sampled bytes to tell frequent words, the least share that counts as frequent, and into how many parts their edges go.
 SAMPLE_BYTES = 8 << 20
 FREQUENT = 1e-4
@@ -52,7 +52,7 @@ PIECE = 256
 
 _END = b"\xff"  # never part of UTF-8
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + _END * 10)
-_COUNTED = "node string, next string, n long, part int, spread boolean"
+_EDGES = pa.schema([("node", pa.string()), ("next", pa.string()), ("n", pa.int64()), ("spread", pa.bool_())])
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -60,8 +60,8 @@ def tokens(text: bytes) -> list[bytes]:
     return (text.translate(_FOLD) + _END).replace(_END, b" \xff ").split()
 
 
-def _edges(lang: str, names: list[bytes], stream: np.ndarray, frequent: frozenset[bytes]) -> pa.RecordBatch:
-    """Distinct edges of a stream of word numbers (the end mark is 0) with their counts, in order of their words."""
+def _edges(lang: str, names: list[bytes], stream: np.ndarray, frequent: frozenset[bytes], parts: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Distinct edges of a stream of word numbers (the end mark is 0) with their counts: for each part, in order of their words."""
     words = pa.array(names, pa.binary())
     order = pc.array_sort_indices(words).to_numpy()  # the end mark is taken as empty, so it stays first
     rank = np.empty(len(names), np.int64)
@@ -90,17 +90,29 @@ def _edges(lang: str, names: list[bytes], stream: np.ndarray, frequent: frozense
     part = digest[one] * np.uint64(0x9E3779B1) + digest[two] * np.uint64(0x85EBCA77) + np.uint64(xxhash.xxh32_intdigest(lang))
     spread = (often[one] & often[two])[at]
     part = part[at] + np.where(spread, (digest[three] % np.uint64(SPREAD) + np.uint64(1)) * np.uint64(0xC2B2AE3D), np.uint64(0))
-    columns = [
-        nodes.take(pa.array(at)).cast(pa.string()),
-        words.take(pa.array(three)).cast(pa.string()),
-        pa.array(n.astype(np.int64)),
-        pa.array((part & np.uint64(0x7FFFFFFF)).astype(np.int32)),
-        pa.array(spread),
-    ]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _COUNTED.split(", ")])
+    part = (part % np.uint64(parts)).astype(np.int64)
+    dealt = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[dealt], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        mine = dealt[cuts[p] : cuts[p + 1]]
+        columns = [nodes.take(pa.array(at[mine])), words.take(pa.array(three[mine])), pa.array(n[mine].astype(np.int64)), pa.array(spread[mine])]
+        yield int(p), pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _EDGES.types)], schema=_EDGES)
 
 
-def _counting(frequent: frozenset[bytes]):
+def _packed(edges: pa.RecordBatch) -> bytes:
+    """Neighbours in the order of their words share most of their text, so a block of edges takes a third of its rows' space."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _EDGES, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(edges)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    with pa.ipc.open_stream(block) as reader:
+        return reader.read_all()
+
+
+def _counting(frequent: frozenset[bytes], parts: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh() -> defaultdict:
             names: defaultdict = defaultdict(count().__next__)
@@ -112,12 +124,10 @@ def _counting(frequent: frozenset[bytes]):
         words = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            for lang, parts in streams.items():
-                names = [b"", *list(numbers[lang])[1:]]
-                edges = _edges(lang, names, np.concatenate(parts), frequent)
-                yield from (edges.slice(a, 50_000) for a in range(0, edges.num_rows, 50_000))
-            numbers.clear()
-            streams.clear()
+            for lang in list(streams):
+                names, stream = [b"", *list(numbers.pop(lang))[1:]], np.concatenate(streams.pop(lang))
+                for part, edges in _edges(lang, names, stream, frequent, parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(edges)])], ["part", "edges"])
 
         for batch in slices(batches):
             for lang, text in zip(strings(batch, "lang"), utf8(batch)):
@@ -136,11 +146,7 @@ def _summing(least: int):
     """All edges of a partition to frequent edges, flows of nodes, and what they add to their first words."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        received = [b for b in batches if b.num_rows]
-        if not received:
-            return
-        table = pa.Table.from_batches(received)
-        del received
+        table = pa.concat_tables([_unpacked(x) for b in batches for x in b.column("edges").to_pylist()] or [_EDGES.empty_table()])
         edges = table.group_by(["node", "next", "spread"]).aggregate([("n", "sum")]).rename_columns(["node", "next", "spread", "n"])
         del table
         nodes = edges.group_by(["node", "spread"]).aggregate([("n", "sum")]).rename_columns(["node", "spread", "n"])
@@ -177,7 +183,7 @@ class Graph:
         total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(1, -(-total // PART_BYTES))
         frequent = frequent_words(texts, max(FREQUENT, 1 / (4 * parts)), total)
-        counted = texts.mapInArrow(_counting(frequent), _COUNTED).repartition(parts, "part")
+        counted = texts.mapInArrow(_counting(frequent, parts), "part int, edges binary").repartitionById(parts, "part")
         self.least = least
         self.counts = stored(counted.mapInArrow(_summing(least), "kind string, node string, next string, n long"), "graph")
 
