@@ -37,8 +37,8 @@ LEAST = 10
 EXPLAINED = 50
 TOP = 2000
 #: Words a task counts before it hands on, and distinct words of a language.
-BATCH_WORDS = 2_000_000
-BATCH_DISTINCT = 1_000_000
+BATCH_WORDS = 1_000_000
+BATCH_DISTINCT = 500_000
 #: Three word numbers below this fit into 63 bits.
 CUBE = 1 << 21
 #: Bytes of text to a partition of edges, as one task sums them.
