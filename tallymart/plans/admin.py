@@ -10,6 +10,7 @@ from tallymart.plans import demo
 from tallymart.plans.catalog import query
 from tallymart.plans.demo import AS_OF_EVENTS, AS_OF_ORDERS, table
 from tallymart.session import fresh_dir
+from tallymart.sources.store import TableStore
 
 CLEANUP_AT = "1998-01-01 00:00:00"
 
@@ -61,17 +62,15 @@ def _(spark, sf):
 
 @query(
     "retention_staging",
-    sql=f"""select l_orderkey, l_linenumber, case when l_linestatus = 'O' then null else l_shipdate end as processed_at
-            from lineitem
-            where l_linestatus = 'O' or l_shipdate >= timestamp '{CLEANUP_AT}' - interval 24 hour""",
+    sql="""select event_id, ts from events where cast(ts as date) >= date '2024-01-20'""",
 )
 def _(spark, sf):
-    staging = table(spark, sf, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        F.when(F.col("l_linestatus") != "O", F.col("l_shipdate")).alias("processed_at"),
-    )
-    return loading.staging_to_keep(staging, CLEANUP_AT)
+    """Staged rows by day of loading; days that ended over a day ago go as whole folders."""
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    events = table(spark, sf, "events").select("event_id", "ts", F.to_date("ts").alias("loaded"))
+    events.repartition("loaded").write.partitionBy("loaded").parquet(f"{store.root}/_staging/kind=events")
+    loading.drop_staging(store, "2024-01-21 06:00:00")
+    return spark.read.parquet(f"{store.root}/_staging/kind=events").drop("loaded")
 
 
 @query(

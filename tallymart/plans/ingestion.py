@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from tallymart.plans import demo
 from tallymart.plans.catalog import query
 from tallymart.schemas import LOAD_ORDER
 from tallymart.session import fresh_dir
-from tallymart.sources import files
+from tallymart.sources import csv, files
 from tallymart.sources.export import RECORDS_PER_CHUNK, write_chunks
 from tallymart.sources.store import TableStore
 
@@ -33,20 +33,11 @@ def sql_uuid(key: str) -> str:
     )
 
 
-_RECEIVED: dict[tuple[str, str, str], str] = {}
-
-
-def received(spark, sf: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The lines as a written table, so that making them up is no part of the job that reads them.
-
-    They are written once per session and test scale.
-    """
-    at = (spark.sparkContext.applicationId, sf, name)
-    if at not in _RECEIVED:
-        folder = fresh_dir(spark, name)
-        make().write.option("maxRecordsPerFile", RECORDS_PER_CHUNK).parquet(folder)
-        _RECEIVED[at] = folder
-    return spark.read.parquet(_RECEIVED[at])
+def received(spark, name: str, made: DataFrame) -> DataFrame:
+    """The lines as a written table, so that making them up is no part of the job that reads them."""
+    folder = fresh_dir(spark, name)
+    made.write.option("maxRecordsPerFile", RECORDS_PER_CHUNK).parquet(folder)
+    return spark.read.schema(made.schema).parquet(folder)
 
 
 def member(name: str, value: Column, quoted: bool = True) -> Column:
@@ -118,7 +109,7 @@ _CHECKED_ORDERS = f"""
 
 
 def _checked_orders(spark, sf) -> DataFrame:
-    lines = files.records(received(spark, sf, "order-lines", lambda: order_lines(demo.orders(spark, sf))))
+    lines = files.records(received(spark, "order-lines", order_lines(demo.orders(spark, sf))))
     return validate.validate(validate.from_json(lines, "orders"), "orders", TENANT, AS_OF).drop("value")
 
 
@@ -206,7 +197,7 @@ _CUSTOMER_COLUMNS = ["customer_id", "name", "email", "metadata", "created_at"]
 
 @query("validate_customers", "d_customers", _sql_whole_or_reason(_CUSTOMERS, *_CUSTOMER_COLUMNS))
 def _(spark, sf):
-    lines = received(spark, sf, "customer-lines", lambda: customer_lines(demo.customers(spark, sf)))
+    lines = received(spark, "customer-lines", customer_lines(demo.customers(spark, sf)))
     fields = validate.from_json(lines, "customers")
     return _whole_or_reason(validate.validate(fields, "customers", TENANT, AS_OF), *_CUSTOMER_COLUMNS)
 
@@ -248,7 +239,7 @@ def _typed_products(checked: DataFrame) -> DataFrame:
 
 @query("validate_products", "d_products", _sql_whole_or_reason(_PRODUCTS, *_PRODUCT_COLUMNS))
 def _(spark, sf):
-    rows = received(spark, sf, "product-rows", lambda: product_records(demo.products(spark, sf)))
+    rows = received(spark, "product-rows", product_records(demo.products(spark, sf)))
     fields = validate.from_csv(rows, "products")
     return _typed_products(validate.validate(fields, "products", TENANT, AS_OF))
 
@@ -259,7 +250,9 @@ def _(spark, sf):
     folder = fresh_dir(spark, "csv")
     rows = product_records(demo.products(spark, sf))
     write_chunks(rows, f"{folder}/products_{TENANT}.csv", "csv", compress=True)
-    fields = validate.from_csv(files.scan_csv(spark, f"{folder}/products_*"), "products")
+    found = csv.scan(spark, f"{folder}/products_*")
+    key = F.element_at("cells", F.array_position("header", "line_key").cast("int")).alias("line_key")
+    fields = validate.from_cells(found.select(key, "header", "cells"), "products")
     return _typed_products(validate.validate(fields, "products", TENANT, AS_OF))
 
 
@@ -304,7 +297,7 @@ _ITEMS = f"""
 
 
 def _checked_items(spark, sf) -> DataFrame:
-    lines = received(spark, sf, "item-lines", lambda: item_lines(demo.table(spark, sf, "lineitem")))
+    lines = received(spark, "item-lines", item_lines(demo.table(spark, sf, "lineitem")))
     fields = validate.from_json(lines, "order_items")
     return validate.validate(fields, "order_items", TENANT, AS_OF).drop("value")
 
@@ -585,32 +578,131 @@ def _(spark, sf):
     )
 
 
+_CONTENT = {
+    "customers": ["customer_id", "name", "email", "metadata", "created_at"],
+    "products": ["product_id", "sku", "name", "price", "category_id", "active"],
+    "orders": [
+        "order_id", "external_order_id", "customer_id", "customer_name_snapshot", "customer_email_snapshot", "total_amount",
+        "currency", "order_status", "order_date", "raw_payload",
+    ],
+    "order_items": ["order_item_id", "order_id", "product_id", "quantity", "unit_price", "line_total"],
+}
+
+
+def content(store: TableStore, *kinds: str) -> DataFrame:
+    """All rows of some tables as (table_name, row_text)."""
+    parts = []
+    for kind in kinds:
+        texts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in _CONTENT[kind]]
+        parts.append(store.read(kind).select(F.lit(kind).alias("table_name"), F.concat_ws("|", *texts).alias("row_text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sql_content(kind: str, rows: str) -> str:
+    money = {"price": "10,2", "unit_price": "10,2", "total_amount": "12,2", "line_total": "12,2"}
+    texts = [f"cast({c} as decimal({money[c]}))" if c in money else c for c in _CONTENT[kind]]
+    shown = ", ".join(f"coalesce(cast({t} as varchar), '~')" for t in texts)
+    return f"select '{kind}' as table_name, concat_ws('|', {shown}) as row_text from ({rows}) t where reason is null"
+
+
+_CUSTOMER_CONTENT = _sql_content("customers", _CUSTOMERS)
+_PRODUCT_CONTENT = _sql_content("products", _PRODUCTS)
+_ORDER_CONTENT = _sql_content(
+    "orders",
+    f"""select * from ({_CHECKED_ORDERS}) c where reason is null
+        qualify row_number() over (partition by external_order_id order by line_key desc) = 1""",
+)
+_ITEM_CONTENT = _sql_content(
+    "order_items",
+    f"""select *, {sql_uuid("l_orderkey")} as order_id from ({_ITEMS}) i where reason is null
+        qualify row_number() over (partition by order_item_id order by {", ".join(f"{c} desc" for c in _WRITE_ORDER)}) = 1""",
+)
+
+
+@query("ingest_all", "d_orders d_customers d_products", " union all ".join([_CUSTOMER_CONTENT, _PRODUCT_CONTENT, _ORDER_CONTENT, _ITEM_CONTENT]))
+def _(spark, sf):
+    """A whole upload folder, NDJSON and CSV, partly gzipped, loaded parents first; all rows of all tables."""
+    folder = fresh_dir(spark, "upload")
+    items = item_lines(demo.table(spark, sf, "lineitem")).orderBy(_WRITE_ORDER)
+    write_chunks(customer_lines(demo.customers(spark, sf)).select("value"), f"{folder}/customers_{TENANT}.ndjson", compress=True)
+    write_chunks(product_records(demo.products(spark, sf)).drop("line_key"), f"{folder}/products_{TENANT}.csv", "csv", compress=True)
+    write_chunks(order_lines(demo.orders(spark, sf)).orderBy("line_key").select("value"), f"{folder}/orders_{TENANT}.ndjson")
+    write_chunks(items.select("value"), f"{folder}/order_items_{TENANT}.ndjson")
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    loading.load_all(store, folder, TENANT, AS_OF, batch=1)
+    return content(store, *LOAD_ORDER)
+
+
+@query(
+    "ingest_progress",
+    "d_orders d_products",
+    f"""select 'orders' as kind, cast(1 + line_key % 4 // 2 as bigint) as batch, 'chunk ' || line_key % 4 as upload,
+               count(*) as rows_received, count(*) filter (where reason is null) as rows_inserted,
+               count(*) filter (where reason is not null) as rows_failed
+        from ({_CHECKED_ORDERS}) t group by all
+        union all
+        select 'products', cast(1 + cast(line_key as bigint) % 4 // 2 as bigint), 'chunk ' || cast(line_key as bigint) % 4, count(*),
+               count(*) filter (where reason is null), count(*) filter (where reason is not null)
+        from ({_PRODUCTS}) t group by all""",
+)
+def _(spark, sf):
+    """Two loads of two uploads of each type; what became of the rows of each upload."""
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    orders, products = order_lines(demo.orders(spark, sf)), product_records(demo.products(spark, sf))
+    for batch in (1, 2):
+        folder = fresh_dir(spark, "upload")
+        for chunk in (2 * batch - 2, 2 * batch - 1):
+            write_chunks(orders.filter(F.col("line_key") % 4 == chunk).select("value"), f"{folder}/orders_{TENANT}_chunk_{chunk}.ndjson")
+            mine = products.filter(F.col("line_key").cast("bigint") % 4 == chunk).drop("line_key")
+            write_chunks(mine, f"{folder}/products_{TENANT}_chunk_{chunk}.csv", "csv")
+        loading.load_all(store, folder, TENANT, AS_OF, batch=batch)
+    counts = [F.sum(c).alias(c) for c in ("rows_received", "rows_inserted", "rows_failed")]
+    upload = F.concat(F.lit("chunk "), F.regexp_extract("file", r"_chunk_(\d+)\.", 1)).alias("upload")
+    return loading.progress(store).groupBy("kind", F.col("batch").cast("bigint").alias("batch"), upload).agg(*counts)
+
+
 @query(
-    "ingest_all",
-    "d_orders d_customers d_products",
-    f"""select 'customers' as table_name, count(*) as row_count from ({_CUSTOMERS}) t where reason is null
-        union all select 'products', count(*) from ({_PRODUCTS}) t where reason is null
-        union all select 'orders', count(distinct external_order_id) from ({_CHECKED_ORDERS}) t where reason is null
-        union all select 'order_items', count(distinct order_item_id) from ({_ITEMS}) t where reason is null""",
+    "promotion_marks",
+    "d_customers",
+    f"""select coalesce(case when reason is null then email end, '') as email, reason,
+               case when reason is null and not (line_key % 50 = 12 and exists (
+                        select 1 from d_customers n where n.customer_id = c.line_key + 1)) then timestamp '{AS_OF}' end as processed_at
+        from ({_CUSTOMERS}) c""",
 )
 def _(spark, sf):
-    """A whole upload folder, NDJSON and CSV, partly gzipped, loaded parents first, then counted."""
+    """Rejected customers, and those that claim their neighbour's id, stay without a time of processing."""
     folder = fresh_dir(spark, "upload")
-    out = {
-        "customers": customer_lines(demo.customers(spark, sf)),
-        "products": product_records(demo.products(spark, sf)).drop("line_key"),
-        "orders": order_lines(demo.orders(spark, sf)),
-        "order_items": item_lines(demo.table(spark, sf, "lineitem")),
-    }
-    for kind, rows in out.items():
-        if kind == "products":
-            write_chunks(rows, f"{folder}/{kind}_{TENANT}.csv", "csv", compress=True)
-        else:
-            write_chunks(rows.select("value"), f"{folder}/{kind}_{TENANT}.ndjson", compress=kind == "customers")
+    key = F.col("customer_id")
+    customers = demo.customers(spark, sf).orderBy("customer_id")
+    claimed = customer_lines(customers.withColumn("customer_id", F.when(key % 50 == 12, key + 1).otherwise(key)))
+    write_chunks(claimed.select("value"), f"{folder}/customers_{TENANT}.ndjson")
     store = TableStore(spark, fresh_dir(spark, "store"))
     loading.load_all(store, folder, TENANT, AS_OF, batch=1)
-    counted = None
-    for kind in LOAD_ORDER:
-        one = store.read(kind).agg(F.lit(kind).alias("table_name"), F.count("*").alias("row_count"))
-        counted = one if counted is None else counted.unionByName(one)
-    return counted
+    staged = loading.staging(store, "customers", AS_OF, 1, loading.source_of(folder, TENANT))
+    email = F.when(F.col("reason").isNull(), F.col("email"))
+    return staged.select(F.coalesce(email, F.lit("")).alias("email"), "reason", "processed_at")
+
+
+@query(
+    "csv_headers",
+    "d_products",
+    f"""select sku, name, cast(price as varchar) as price from (
+            select product_id, sku, case when product_id % 7 = 0 then concat('two', chr(10), 'lines, "', name, '"') else name end as name,
+                   case when product_id % 3 < 2 then price end as price
+            from d_products) t""",
+)
+def _(spark, sf):
+    """Uploads of three header orders, one without prices, with line breaks in quotes, read in one scan."""
+    folder = fresh_dir(spark, "csv")
+    name = F.when(F.col("product_id") % 7 == 0, F.concat(F.lit("two\nlines, \""), "name", F.lit('"'))).otherwise(F.col("name"))
+    rows = demo.products(spark, sf).select("product_id", "sku", name.alias("name"), F.col("price").cast("string").alias("price"))
+    for k, columns in enumerate((["sku", "name", "price"], ["price", "name", "sku"], ["name", "sku"])):
+        mine = rows.filter(F.col("product_id") % 3 == k).select(columns)
+        write_chunks(mine, f"{folder}/products_{TENANT}_chunk_{k}.csv", "csv")
+    found = csv.scan(spark, f"{folder}/products_*")
+
+    def cell(column):
+        place = F.array_position("header", column).cast("int")
+        return F.try_element_at("cells", F.when(place > 0, place)).alias(column)
+
+    return found.select(cell("sku"), cell("name"), cell("price"))

@@ -16,13 +16,15 @@ def apply_to(
 ) -> Callable[[DataFrame, int], None]:
     """A micro-batch handler that folds movements onto the stored levels.
 
-    Folding batch after batch gives the same levels as folding everything at once. A batch reads the
-    levels of earlier batches only, so running it again after a failure gives the same result.
+    Folding batch after batch gives the same levels as folding everything at once. A batch reads only the partitions of levels
+    that its products fall into. Until it has changed them, running it again after a failure folds from the same levels.
     """
 
     def apply(movements: DataFrame, batch: int) -> None:
+        if store.is_done("stock_levels", batch, source):
+            return
         touched = movements.select(F.col("product_id").cast("string").alias("product_id"))
-        levels = store.read("stock_levels", before=batch, only=touched, source=source)
+        levels = store.read("stock_levels", only=touched)
         fold = stock.fold(movements, products, block=block(), levels=levels)
         events = stock.applied_events(fold).select(
             F.col("seq").alias("stock_event_id"),
@@ -35,6 +37,6 @@ def apply_to(
             F.lit("{}").alias("meta"),
         )
         store.append("stock_events", events, batch, source)
-        store.append("stock_levels", stock.final_levels(fold), batch, source)
+        store.upsert("stock_levels", stock.final_levels(fold), ["product_id"], batch, source)
 
     return apply

@@ -1,11 +1,15 @@
+import io
 import json
+import os
+import random
+from csv import reader
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallymart.operators import loading, uploads, upsert, validate
 from tallymart.session import fresh_dir
-from tallymart.sources import files
+from tallymart.sources import csv, files
 from tallymart.sources.store import TableStore
 from tallymart.streaming import ingest, run
 
@@ -130,10 +134,70 @@ def test_csv_with_quoted_line_breaks(spark):
     path = fresh_dir(spark, "csv")
     header = "product_id,sku,name,price,category_id,active\n"
     spark.createDataFrame([(header + f'{UUID},S1,"two\nlines, ""q""",3.5,,False',)], "value string").coalesce(1).write.text(path)
-    row = validate.validate(validate.from_csv(files.scan_csv(spark, path), "products"), "products", "t", AS_OF).first()
+    row = validate.validate(validate.from_cells(csv.scan(spark, path), "products"), "products", "t", AS_OF).first()
     assert (row.reason, row.name, row.active, row.category_id) == (None, 'two\nlines, "q"', False, None)
 
 
+def write_bytes(folder, name, text):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "wb") as out:
+        out.write(text.encode())
+
+
+@pytest.fixture
+def small_splits(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key in settings:
+        spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_split_csv_equals_the_csv_module(spark, tmp_path, small_splits, seed):
+    """Line breaks, quotes and commas in quotes, blank lines, short and long rows, cut into splits of 700 bytes."""
+    rng = random.Random(seed)
+    pieces = ["a", ",", '""', "\n", "\r\n", "é", " ", "\n\n", "x" * 40]
+    text, end = "", rng.choice(["\n", "\r\n"])
+    rows = [["id", 'the "name"', "note"]] + [[str(i)] + ["".join(rng.choices(pieces, k=rng.choice([0, 3, 30]))) for _ in range(rng.choice([1, 2, 3]))] for i in range(300)]
+    rows[7][1] = "line\n" * 400  # a record over many splits
+    for row in rows:
+        cells = [c.replace('""', '"') for c in row]
+        text += ",".join(f'"{c.replace(chr(34), chr(34) * 2)}"' if set(c) & set('",\n\r') or rng.random() < 0.2 else c for c in cells) + end
+        text += rng.choice(["", "", end])
+    write_bytes(str(tmp_path), "c.csv", text)
+    found = csv.scan(spark, str(tmp_path))
+    assert csv.lines(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+    want = [r for r in reader(io.StringIO(text, newline="")) if r]
+    got = {r.cells[0]: r for r in found.collect()}
+    assert len(got) == found.count() == len(want) - 1 and all(r.header == want[0] for r in got.values())
+    for row in want[1:]:
+        cells = got[row[0]].cells
+        assert [c or "" for c in cells[: len(row)]] == row[: len(cells)], row
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv, "RECORD_LENGTH", 100)
+    write_bytes(str(tmp_path), "c.csv", 'sku,name\n1,a\n2,"b\n' + "x" * 120 + "\n3,c\n")
+    got = csv.scan(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.cells and r.cells[0] for r in got] == ["1", None]
+
+
+def test_a_thousand_uploads_of_three_headers_are_one_scan(spark, tmp_path):
+    headers = [["sku", "name", "price"], ["price", "sku", "name"], ["name", "sku"]]
+    for k in range(1000):
+        values = {"sku": f"S{k}", "name": f"n,{k}", "price": f"{k}.5"}
+        line = ",".join(f'"{values[c]}"' for c in headers[k % 3])
+        write_bytes(str(tmp_path), f"products_t_chunk_{k}.csv", ("\ufeff" if k % 5 == 0 else "") + ",".join(headers[k % 3]) + f"\n{line}\n")
+    found = csv.scan(spark, [str(tmp_path / f"products_t_chunk_{k}.csv") for k in range(1000)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 8  # lines, borders and headers, whatever the number of files
+    fields = validate.from_cells(found, "products")
+    got = {(r._text_sku, r._text_name, r._text_price, r._has_price) for r in fields.collect()}
+    assert got == {(f"S{k}", f"n,{k}", f"{k}.5" if k % 3 < 2 else None, k % 3 < 2) for k in range(1000)}
+
+
 def test_line_numbers_over_many_splits(spark):
     path = fresh_dir(spark, "lines")
     body = "\n".join("" if i % 13 == 0 else f"line {i}" for i in range(1, 3001))
@@ -257,7 +321,6 @@ def test_streamed_files_upsert_across_batches(spark):
     assert rows == {"E1": "shipped", "E2": "pending"}
     rejected = spark.read.parquet(f"{store.root}/_rejects/orders")
     assert rejected.count() == 1
-    assert store.compact("orders", fresh_dir(spark, "compact")).read("orders").count() == 2
 
 
 def test_status_words(spark):
@@ -312,11 +375,90 @@ def test_loads_of_different_sources_keep_each_other(spark):
         run.each_batch(ingest.arriving_lines(spark, folder), ingest.apply_to(store, tenant, AS_OF), fresh_dir(spark, "checkpoint"))
     assert sorted(r.tenant_id for r in store.read("orders").collect()) == ["a", "b", "c", "d"]
     refused = spark.read.parquet(f"{store.root}/_rejects/unknown").groupBy("reason").count().collect()
-    assert {r.reason: r["count"] for r in refused} == {ingest.CSV_IN_STREAM: 2, files.UNKNOWN_KIND: 2}
-    staged = spark.read.parquet(f"{store.root}/_staging/orders")
+    assert {r.reason: r["count"] for r in refused} == {files.UNKNOWN_KIND: 2}
+    assert {r.reason for r in spark.read.parquet(f"{store.root}/_rejects/customers").collect()} == {"Missing required field: customer_id"}
+    staged = loading.staging(store, "orders", AS_OF, 0, "stream-c")
     assert staged.filter("reason is null and processed_at is null").count() == 0
 
 
+def order(number, **changes):
+    return {**ORDER, "order_id": UUID[:-4] + f"{number:04x}", "external_order_id": f"E{number}", **changes}
+
+
+def test_an_upsert_rewrites_only_touched_partitions(spark):
+    store = TableStore(spark, fresh_dir(spark, "store"), parts=64)
+
+    def put(batch, *orders):
+        folder = fresh_dir(spark, "in")
+        write_orders(spark, folder, "orders_t.ndjson", orders)
+        return loading.load_files(store, "orders", f"{folder}/*", "t", AS_OF, batch)
+
+    def files_of():
+        return {r.f for r in spark.read.parquet(f"{store.root}/orders").select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+
+    put(1, *(order(k) for k in range(300)))
+    before = files_of()
+    put(2, *(order(k, order_status="shipped") for k in range(5)), order(500))
+    assert len(before - files_of()) <= 6 and len(before) > 50
+    states = {r.external_order_id: r.order_status for r in store.read("orders").collect()}
+    assert states == {f"E{k}": "shipped" if k < 5 else "pending" for k in [*range(300), 500]}
+    few = store.read("orders", only=spark.createDataFrame([("t", "E7")], "tenant_id string, external_order_id string"))
+    assert "PartitionFilters: [isnotnull(part" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ids_move_between_keys_and_batches(spark):
+    store = TableStore(spark, fresh_dir(spark, "store"))
+
+    def put(batch, *orders):
+        folder = fresh_dir(spark, "in")
+        write_orders(spark, folder, "orders_t.ndjson", orders)
+        done = loading.load_files(store, "orders", f"{folder}/*", "t", AS_OF, batch)
+        return sorted(r.line for r in done.rejected.collect()), {r.external_order_id: int(r.order_id[-4:], 16) for r in store.read("orders").collect()}
+
+    named = lambda key, number: {**order(number), "external_order_id": key}
+    assert put(1, named("a", 1), named("b", 2)) == ([], {"a": 1, "b": 2})
+    assert put(2, named("c", 1), named("a", 9)) == ([1], {"a": 9, "b": 2})  # 1 is held until the batch is over
+    assert put(3, named("c", 1), named("d", 9)) == ([2], {"a": 9, "b": 2, "c": 1})
+    assert put(4, named("e", 5), named("f", 5), named("b", 2)) == ([1], {"a": 9, "b": 2, "c": 1, "f": 5})
+
+
+def test_a_load_that_failed_half_way_is_completed(spark, monkeypatch):
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    folder = fresh_dir(spark, "in")
+    write_orders(spark, folder, "customers_t.ndjson", [CUSTOMER])
+    write_orders(spark, folder, "orders_t.ndjson", [ORDER, order(7)])
+    copy, calls = TableStore._copy, []
+
+    def failing(self, name, change):
+        if name == "orders" and not calls:
+            calls.append(name)
+            raise RuntimeError("executor lost")
+        copy(self, name, change)
+
+    monkeypatch.setattr(TableStore, "_copy", failing)
+    with pytest.raises(RuntimeError):
+        loading.load_all(store, folder, "t", AS_OF, 1)
+    assert store.read("customers").count() == 1 and store.read("orders").count() == 0
+    late = fresh_dir(spark, "in")
+    write_orders(spark, late, "orders_t.ndjson", [order(7, order_status="shipped")])
+    loading.load_all(store, late, "t", AS_OF, 1)
+    loading.load_all(store, folder, "t", AS_OF, 1)
+    assert {r.external_order_id: r.order_status for r in store.read("orders").collect()} == {"E1": "pending", "E7": "shipped"}
+    assert loading.progress(store).filter("kind = 'orders'").count() == 2
+
+
+def test_old_staging_days_go_whole(spark):
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    folder = fresh_dir(spark, "in")
+    write_orders(spark, folder, "orders_t.ndjson", [ORDER, "not json"])
+    for batch, day in enumerate(["2024-01-01", "2024-01-02", "2024-01-03"]):
+        loading.load_all(store, folder, "t", f"{day} 10:00:00", batch)
+    gone = loading.drop_staging(store, "2024-01-03 11:00:00")
+    assert sorted(gone) == ["_progress/kind=orders/loaded=2024-01-01", "_staging/kind=orders/loaded=2024-01-01"]
+    left = spark.read.parquet(f"{store.root}/_staging/kind=orders").select(F.col("loaded").cast("string")).distinct().collect()
+    assert sorted(r.loaded for r in left) == ["2024-01-02", "2024-01-03"]
+
+
 def test_streamed_hours_do_not_depend_on_file_order(spark):
     from tallymart.streaming import metrics
 

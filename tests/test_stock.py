@@ -112,7 +112,7 @@ def test_folding_batches_equals_folding_at_once(spark):
     # One file per micro-batch, in the order in which they were written.
     run.each_batch(arriving, handler, fresh_dir(spark, "checkpoint"))
     want, final = loop(rows, {})
-    got = store.read("stock_events").select(F.col("stock_event_id").cast("bigint").alias("seq"), "product_id", "resulting_level")
+    got = store.log("stock_events").select(F.col("stock_event_id").cast("bigint").alias("seq"), "product_id", "resulting_level")
     assert [tuple(r) for r in got.orderBy("seq").collect()] == want
     assert {r.product_id: r.available for r in store.read("stock_levels").collect()} == final
 
