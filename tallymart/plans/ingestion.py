@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from tallymart.operators.prefix import number_rows
 from tallymart.plans import demo
 from tallymart.plans.catalog import query
 from tallymart.schemas import LOAD_ORDER
-from tallymart.session import fresh_dir
+from tallymart.session import fingerprint, fresh_dir
 from tallymart.sources import csv, files
 from tallymart.sources.export import RECORDS_PER_CHUNK, write_chunks
 from tallymart.sources.store import TableStore
@@ -33,11 +34,21 @@ def sql_uuid(key: str) -> str:
     )
 
 
-def received(spark, name: str, made: DataFrame) -> DataFrame:
-    """The lines as a written table, so that making them up is no part of the job that reads them."""
-    folder = fresh_dir(spark, name)
-    made.write.option("maxRecordsPerFile", RECORDS_PER_CHUNK).parquet(folder)
-    return spark.read.schema(made.schema).parquet(folder)
+_RECEIVED: dict[tuple[str, ...], str] = {}
+
+
+def received(spark, sf: str, name: str, make: Callable[[], DataFrame], *tables: str) -> DataFrame:
+    """The lines as a written table, so that making them up is no part of the job that reads them.
+
+    They are written once per session, and again when a file that they are made of has changed.
+    """
+    inputs = [fingerprint(spark, f"{sf}/{t}.parquet") for t in tables]
+    at = (spark.sparkContext.applicationId, name, *inputs)
+    if at not in _RECEIVED:
+        folder = fresh_dir(spark, name)
+        make().write.option("maxRecordsPerFile", RECORDS_PER_CHUNK).parquet(folder)
+        _RECEIVED[at] = folder
+    return spark.read.parquet(_RECEIVED[at])
 
 
 def member(name: str, value: Column, quoted: bool = True) -> Column:
@@ -109,7 +120,7 @@ _CHECKED_ORDERS = f"""
 
 
 def _checked_orders(spark, sf) -> DataFrame:
-    lines = files.records(received(spark, "order-lines", order_lines(demo.orders(spark, sf))))
+    lines = files.records(received(spark, sf, "order-lines", lambda: order_lines(demo.orders(spark, sf)), "orders", "customer"))
     return validate.validate(validate.from_json(lines, "orders"), "orders", TENANT, AS_OF).drop("value")
 
 
@@ -197,7 +208,7 @@ _CUSTOMER_COLUMNS = ["customer_id", "name", "email", "metadata", "created_at"]
 
 @query("validate_customers", "d_customers", _sql_whole_or_reason(_CUSTOMERS, *_CUSTOMER_COLUMNS))
 def _(spark, sf):
-    lines = received(spark, "customer-lines", customer_lines(demo.customers(spark, sf)))
+    lines = received(spark, sf, "customer-lines", lambda: customer_lines(demo.customers(spark, sf)), "customer")
     fields = validate.from_json(lines, "customers")
     return _whole_or_reason(validate.validate(fields, "customers", TENANT, AS_OF), *_CUSTOMER_COLUMNS)
 
@@ -239,7 +250,7 @@ def _typed_products(checked: DataFrame) -> DataFrame:
 
 @query("validate_products", "d_products", _sql_whole_or_reason(_PRODUCTS, *_PRODUCT_COLUMNS))
 def _(spark, sf):
-    rows = received(spark, "product-rows", product_records(demo.products(spark, sf)))
+    rows = received(spark, sf, "product-rows", lambda: product_records(demo.products(spark, sf)), "part")
     fields = validate.from_csv(rows, "products")
     return _typed_products(validate.validate(fields, "products", TENANT, AS_OF))
 
@@ -297,7 +308,7 @@ _ITEMS = f"""
 
 
 def _checked_items(spark, sf) -> DataFrame:
-    lines = received(spark, "item-lines", item_lines(demo.table(spark, sf, "lineitem")))
+    lines = received(spark, sf, "item-lines", lambda: item_lines(demo.table(spark, sf, "lineitem")), "lineitem")
     fields = validate.from_json(lines, "order_items")
     return validate.validate(fields, "order_items", TENANT, AS_OF).drop("value")
 
@@ -623,10 +634,10 @@ _ITEM_CONTENT = _sql_content(
 def _(spark, sf):
     """A whole upload folder, NDJSON and CSV, partly gzipped, loaded parents first; all rows of all tables."""
     folder = fresh_dir(spark, "upload")
-    items = item_lines(demo.table(spark, sf, "lineitem")).orderBy(_WRITE_ORDER)
+    items = item_lines(demo.table(spark, sf, "lineitem").orderBy(_WRITE_ORDER))
     write_chunks(customer_lines(demo.customers(spark, sf)).select("value"), f"{folder}/customers_{TENANT}.ndjson", compress=True)
     write_chunks(product_records(demo.products(spark, sf)).drop("line_key"), f"{folder}/products_{TENANT}.csv", "csv", compress=True)
-    write_chunks(order_lines(demo.orders(spark, sf)).orderBy("line_key").select("value"), f"{folder}/orders_{TENANT}.ndjson")
+    write_chunks(order_lines(demo.orders(spark, sf).orderBy("order_id")).select("value"), f"{folder}/orders_{TENANT}.ndjson")
     write_chunks(items.select("value"), f"{folder}/order_items_{TENANT}.ndjson")
     store = TableStore(spark, fresh_dir(spark, "store"))
     loading.load_all(store, folder, TENANT, AS_OF, batch=1)

@@ -107,7 +107,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Uploads of three types, one of them CSV, as they arrive; all rows of the tables."""
     folder = fresh_dir(spark, "arrivals")
-    lines = ingestion.order_lines(demo.orders(spark, sf)).orderBy("line_key").select("value")
+    lines = ingestion.order_lines(demo.orders(spark, sf).orderBy("order_id")).select("value")
     write_chunks(lines, f"{folder}/orders_{ingestion.TENANT}.ndjson")
     lines = ingestion.customer_lines(demo.customers(spark, sf)).select("value")
     write_chunks(lines, f"{folder}/customers_{ingestion.TENANT}.ndjson")

@@ -74,3 +74,15 @@ def folders(spark: SparkSession, path: str) -> list[str]:
 def drop_folder(spark: SparkSession, path: str) -> None:
     system, place = _file_system(spark, path)
     system.delete(place, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.mkdirs(place)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of change of a table's files: another one after every change."""
+    system, place = _file_system(spark, path)
+    files = system.listStatus(place)
+    return "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
