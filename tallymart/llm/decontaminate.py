@@ -3,13 +3,15 @@
 A test item is short, a document may be long, so the Jaccard similarity of the two is tiny however much of the item the
 document holds; what counts is containment, the share of the item's word shingles found in the document. Items are
 partitioned by size (powers of two). An item's sketch is the bottom of its shingles in hash order, one more than may be missing
-at the threshold: a document that contains enough of the item holds at least one of them. A partition's ceiling is the
-greatest hash in its sketches; document shingles above all ceilings are dropped before the join. Documents that share a
+at the threshold: a document that contains enough of the item holds at least one of them. Document shingles pass a bit filter of
+all sketch hashes, of bounded size, where they are made. What passes is probed only in partitions whose ceiling, the greatest hash in their
+sketches, it does not exceed: partition and hash are the key of the join. Documents that share a
 sketch hash are candidates, and candidates are verified by exact containment of the shingles themselves.
 
 Edge cases: null and empty texts have no shingles and match nothing. Texts of fewer words than a shingle are one shingle
 of another kind, which only an equal short text shares. Repeated items or documents of one id count once, with their greatest
-containment. Null ids are carried like any other value. Empty tables give no rows.
+containment. Null ids are carried like any other value. ``keep_clean`` judges rows by a number of their own: rows of one id, or without an id,
+stay or go by their own text, and equal rows alike. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ CONTAINMENT = 0.8
 #: Rows that may be broadcast (ids and hashes, some tens of bytes each), and bytes of item text; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 16 << 20
+#: Bits of the filter of sketch hashes, a power of two; with more hashes it lets more through and nothing is lost.
+FILTER_BITS = 1 << 20
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -71,14 +75,41 @@ def sketches(items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT)
     ).distinct()
 
 
+def _bit(hash_: Column) -> tuple[Column, Column]:
+    """Word and bit of the filter for a hash: its middle bits, as the sketches hold the smallest hashes."""
+    place = F.shiftrightunsigned(hash_, 20).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return F.shiftright(place, 6).cast("int"), place.bitwiseAND(F.lit(63)).cast("int")
+
+
+def probes(docs: DataFrame, sketch: DataFrame, n: int = WORDS) -> DataFrame:
+    """doc_id, size_class, hash of the document shingles that may be in a sketch of that class."""
+    ceilings = {r["size_class"]: r["top"] for r in sketch.groupBy("size_class").agg(F.max("hash").alias("top")).collect()}
+    word, bit = _bit(F.col("hash"))
+    # FILTER_BITS / 64 rows at most.
+    filled = sketch.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).collect()
+    words = [0] * (FILTER_BITS // 64)
+    for r in filled:
+        words[r["word"]] = r["bits"]
+    bits = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
+
+    def passes(h: Column) -> Column:
+        word, bit = _bit(h)
+        return F.getbit(F.get(bits, word), bit) == 1
+
+    top = F.lit(max(ceilings.values(), default=-(1 << 63)))
+    classes = F.array(*[F.struct(F.lit(c).alias("size_class"), F.lit(t).alias("top")) for c, t in sorted(ceilings.items())])
+    through = _hashed(docs, n).select("doc_id", F.explode(F.filter("h", lambda h: (h <= top) & passes(h))).alias("hash"))
+    if not ceilings:
+        return through.select("doc_id", F.lit(0).alias("size_class"), "hash")
+    below = F.filter(classes, lambda c: F.col("hash") <= c["top"])
+    return through.select("doc_id", "hash", F.explode(below).alias("c")).select("doc_id", "c.size_class", "hash")
+
+
 def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment of every document that holds at least that share of an item."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").distinct()
     sketch = stored(sketches(items, n, containment), "sketch")
-    ceilings = {r["size_class"]: r["top"] for r in sketch.groupBy("size_class").agg(F.max("hash").alias("top")).collect()}
-    top = max(ceilings.values(), default=-(1 << 63))
-    probes = _hashed(docs, n).select("doc_id", F.explode(F.filter("h", lambda h: h <= F.lit(top))).alias("hash"))
-    found = probes.join(_small(sketch.select("hash", "item_id"), sketch.count()), "hash").select("doc_id", "item_id").distinct()
+    found = probes(docs, sketch, n).join(_small(sketch, sketch.count()), ["size_class", "hash"]).select("doc_id", "item_id").distinct()
     candidates = stored(found, "candidates")
     ids = candidates.select(F.col("doc_id").alias("id")).distinct()
     suspects = docs.join(_small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
@@ -108,9 +139,11 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float
 
 def keep_clean(docs: DataFrame, items: DataFrame, n: int = WORDS, containment: float = CONTAINMENT) -> DataFrame:
     """Documents that hold no test item, with all their columns."""
-    name = free_name(docs, "leaked_")
-    bad = stored(leaks(docs, items, n, containment).select(F.col("doc_id").alias(name)).distinct(), "leaked")
-    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    row = free_name(docs, "row_")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = leaks(numbered.select(F.col(row).alias("doc_id"), "text"), items, n, containment)
+    bad = stored(found.select(F.col("doc_id").alias(row)).distinct(), "leaked")
+    return numbered.join(_small(bad, bad.count()), row, "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

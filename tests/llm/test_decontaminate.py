@@ -39,8 +39,31 @@ def test_against_brute_force(spark, monkeypatch, limit):
     assert {(20, 1), (21, 1), (None, 1), (None, None), (23, 6)} <= {(d, i) for d, i, *_ in got}
     clean = dc.keep_clean(docs, items)
     assert clean.columns == docs.columns
-    bad = {d for d, *_ in got}
-    assert sorted(map(str, (r["doc_id"] for r in clean.collect()))) == sorted(str(d) for d, _ in DOCS if d not in bad)
+    # Each row by its own text, whatever its id.
+    want = [(d, t) for d, t in DOCS if not plain([(0, t)], ITEMS)]
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_clean_rows_beside_leaked_ones_of_their_id_stay(spark):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(None, f"x {ITEM}"), (None, "a clean text without an id"), (5, f"{ITEM} y"), (5, "a clean text under the same id"), (6, "clean")]
+    clean = dc.keep_clean(documents(spark, rows), items).collect()
+    assert sorted((r["text"] for r in clean)) == ["a clean text under the same id", "a clean text without an id", "clean"]
+
+
+def test_probes_are_few_and_by_size_class(spark):
+    """A shingle is probed only in classes whose ceiling it does not exceed, and hardly ever without being in a sketch."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    sketch = dc.sketches(items).cache()
+    tops = {r["size_class"]: r["m"] for r in sketch.groupBy("size_class").agg({"hash": "max"}).withColumnRenamed("max(hash)", "m").collect()}
+    found = dc.probes(docs, sketch)
+    assert all(r["hash"] <= tops[r["size_class"]] for r in found.collect())
+    every = dc._hashed(docs, dc.WORDS).selectExpr("explode(filter(h, x -> x is not null)) as hash")
+    below = every.where(f"hash <= {max(tops.values())}").count()
+    hits = every.join(sketch.select("hash").distinct(), "hash").count()
+    # Before: all below the greatest ceiling. Now: the hits, and what the filter lets through, once for each class.
+    assert hits <= found.count() <= len(tops) * (hits + 0.02 * below) and found.count() < 0.1 * below
 
 
 def test_empty_tables(spark):
