@@ -7,12 +7,13 @@ hot customer, product or tenant is folded map-side and never travels as raw rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions.dates import before, whole_days_between
 from tallymart.functions.money import amount, mean
 from tallymart.schemas import FULFILLED
+from tallymart.session import drop_folder, folders, stored
 
 
 def scoped(df: DataFrame, tenant_id=None) -> DataFrame:
@@ -91,6 +92,35 @@ def tenant_daily_metrics(orders: DataFrame) -> DataFrame:
     )
 
 
+def refresh_daily(orders: DataFrame, changed: DataFrame, folder: str, layout: str = "day") -> list[str]:
+    """Bring a stored ``tenant_daily_metrics`` up to date after a load; the periods (days, or months) that were written anew.
+
+    ``changed`` holds the orders that the load touched, as they were and as they are, since an order may have moved to another day.
+    Only their periods are computed and only these periods' files replaced; a period that has no order left goes. ``layout`` is
+    fixed for a folder: days suit a table that is refreshed daily, months one that takes late rows over years.
+    """
+    spark = orders.sparkSession
+    period = F.to_date(F.date_trunc(layout, "order_date"))
+    found = changed.select(period.alias("period")).distinct().collect()  # calendar periods
+    touched = {r["period"] for r in found if r["period"] is not None}
+    if not touched:
+        return []
+    some = spark.createDataFrame([(d,) for d in touched], "period date")
+    mine = orders.withColumn("period", period).join(some, "period", "left_semi").drop("period")
+    fresh = stored(tenant_daily_metrics(mine).withColumn("period", F.to_date(F.date_trunc(layout, "metric_date"))), "daily")
+    filled = {f"period={r['period']}" for r in fresh.select("period").distinct().collect()}
+    before = {f for f in folders(spark, folder) if f.removeprefix("period=") in {str(d) for d in touched}}
+    writer = fresh.repartition("period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("period").parquet(folder)
+    for gone in sorted(before - filled):
+        drop_folder(spark, f"{folder}/{gone}")
+    return sorted(str(d) for d in touched)
+
+
+def stored_daily(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).drop("period")
+
+
 def tenant_rollup(tenants: DataFrame, orders: DataFrame, as_of, days: int | None = 30) -> DataFrame:
     """One row per tenant, tenants without orders included."""
     totals = (

@@ -9,7 +9,9 @@ from tallymart.operators import loading, maintenance, prices, quality, tenants
 from tallymart.plans import demo
 from tallymart.plans.catalog import query
 from tallymart.plans.demo import AS_OF_EVENTS, AS_OF_ORDERS, table
+from tallymart.plans.ingestion import sql_uuid, uuid_of
 from tallymart.session import fresh_dir
+from tallymart.sources.export import write_chunks
 from tallymart.sources.store import TableStore
 
 CLEANUP_AT = "1998-01-01 00:00:00"
@@ -210,6 +212,42 @@ def _(spark, sf):
     return tenants.apply_plan(known, tenants.load_plan(known, incoming))
 
 
+@query(
+    "tenant_file_load",
+    """d_customers""",
+    f"""select pass, given_id, reason, case when reason is not null then 'error' when pass = 2 then 'updated'
+               when known or nth > 1 then 'skipped' else 'created' end as outcome
+        from (select *, row_number() over (partition by pass, given_id, reason is null order by customer_id) as nth from (
+            select customer_id, tenant_id % 2 = 0 as known,
+                   case when customer_id % 10 = 7 then 'no uuid' else {sql_uuid("tenant_id")} end as given_id,
+                   case when customer_id % 10 = 7 then 'Invalid tenant_id format: no uuid'
+                        when customer_id % 10 = 8 then 'Invalid created_at format: soon' end as reason
+            from d_customers) f, (select unnest([1, 2])::bigint as pass) p) t""",
+)
+def _(spark, sf):
+    """A file that names tenants again and again, some rows unreadable: first without, then with overwriting."""
+    key = F.col("customer_id")
+    rows = demo.customers(spark, sf).orderBy("customer_id").select(
+        F.when(key % 10 == 7, "no uuid").otherwise(uuid_of(F.col("tenant_id"))).alias("tenant_id"),
+        "name",
+        ids.api_key_digest(F.col("name")).alias("api_key_hash"),
+        F.when(key % 10 == 8, "soon").otherwise("2024-01-01T10:00:00").alias("created_at"),
+    )
+    folder = fresh_dir(spark, "tenants")
+    write_chunks(rows.coalesce(1), f"{folder}/tenants.csv", "csv", records=0)
+    known = demo.tenants(spark, sf).filter("tenant_id % 2 = 0").select(
+        uuid_of(F.col("tenant_id")).alias("tenant_id"),
+        "name",
+        ids.api_key_digest(F.col("name")).alias("api_key_hash"),
+        dates.at("2020-01-01 00:00:00").alias("created_at"),
+    )
+    found = tenants.read_file(spark, f"{folder}/tenants.csv")
+    first, table_now = tenants.load_file(known, found)
+    second, _ = tenants.load_file(table_now, found, overwrite=True)
+    columns = ["given_id", "reason", "outcome"]
+    return first.select(F.lit(1).cast("bigint").alias("pass"), *columns).unionByName(second.select(F.lit(2).cast("bigint").alias("pass"), *columns))
+
+
 @query(
     "resolve_tenant",
     sql="""with t as (select n_nationkey as tenant_id, sha256(concat('api_key_', cast(n_nationkey as varchar))) as h

@@ -97,25 +97,50 @@ def _(spark, sf):
     ).labelled()
 
 
-@query("sales_router_sketch")
+def _within(estimated, exact):
+    """Whether an estimate is within four standard errors of a sketch of 2^12 registers, or off by one at most."""
+    return F.abs(estimated - exact) <= F.greatest(F.lit(1.0), exact * F.lit(4 * 1.04 / 64))
+
+
+@query(
+    "sales_router_sketch",
+    "d_orders d_order_items",
+    f"""select tenant_id, group_key, sum_sales, num_orders, true as within_bound from ({_by_product("o.total_amount")}) t""",
+)
 def _(spark, sf):
-    """Distinct customers are estimated, so the oracle cannot match; tests check the error bound."""
-    return metrics.sales_metrics(
-        "product", "approx", orders=demo.orders(spark, sf), items=demo.order_items(spark, sf)
-    ).labelled()
+    """Sums are exact; distinct customers are estimated, and held against the exact count."""
+    given = {"orders": demo.orders(spark, sf), "items": demo.order_items(spark, sf)}
+    rough = metrics.sales_metrics("product", "approx", **given).labelled()
+    exact = metrics.sales_metrics("product", "exact", **given).data.select("tenant_id", "group_key", F.col("unique_customers_est").alias("exact"))
+    return rough.join(exact, ["tenant_id", "group_key"]).select("tenant_id", "group_key", "sum_sales", "num_orders", _within(F.col("unique_customers_est"), F.col("exact")).alias("within_bound"))
+
+
+_SKETCHED = """select tenant_id, {key}, cast(sum(total_amount) as double) as sum_sales, count(*) as num_orders, true as within_bound
+               from d_orders group by 1, 2"""
+
+
+def _held(spark, sf, key, name: str):
+    """Merged day sketches with their exact columns, and whether the estimate is within the bound."""
+    orders = demo.orders(spark, sf)
+    sketches = metrics.customer_sketches(orders)
+    rough = metrics.merge_sketches(sketches, F.col("tenant_id"), key.alias(name))
+    day = F.date_format("order_date", "yyyy-MM-dd").alias("group_key")
+    counted = orders.select("tenant_id", day, "customer_id").withColumn(name, key)
+    unknown = F.max(F.col("customer_id").isNull().cast("int"))
+    exact = counted.groupBy("tenant_id", name).agg((F.countDistinct("customer_id") + unknown).alias("exact"))
+    held = rough.join(exact, ["tenant_id", name])
+    return held.select("tenant_id", name, "sum_sales", "num_orders", _within(F.col("unique_customers_est"), F.col("exact")).alias("within_bound"))
 
 
-@query("sales_by_day_hll")
+@query("sales_by_day_hll", "d_orders", _SKETCHED.format(key="strftime(order_date, '%Y-%m-%d') as group_key"))
 def _(spark, sf):
-    sketches = metrics.customer_sketches(demo.orders(spark, sf))
-    return metrics.merge_sketches(sketches, F.col("tenant_id"), F.col("group_key"))
+    return _held(spark, sf, F.col("group_key"), "group_key")
 
 
-@query("sales_by_month_hll")
+@query("sales_by_month_hll", "d_orders", _SKETCHED.format(key="strftime(order_date, '%Y-%m') as month"))
 def _(spark, sf):
     """Months from the stored day sketches, without going back to the orders."""
-    sketches = metrics.customer_sketches(demo.orders(spark, sf))
-    return metrics.merge_sketches(sketches, F.col("tenant_id"), F.substring("group_key", 1, 7).alias("month"))
+    return _held(spark, sf, F.substring("group_key", 1, 7), "month")
 
 
 def _preagg(grain: str, since: str | None, as_of: str, where: str = "") -> str:

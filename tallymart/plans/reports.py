@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallymart.operators import quality, reports
 from tallymart.plans import demo
 from tallymart.plans.catalog import query
 from tallymart.plans.demo import AS_OF_EVENTS, AS_OF_ORDERS
+from tallymart.session import fresh_dir
 
 _DAILY = """
 select tenant_id, cast(order_date as date) as order_day, count(*) as total_orders,
@@ -55,6 +58,28 @@ def _(spark, sf):
     return reports.tenant_daily_metrics(demo.orders(spark, sf))
 
 
+@query(
+    "tenant_daily_refresh",
+    "d_orders",
+    """select tenant_id, cast(order_date as date) as metric_date, count(*) as order_count,
+              cast(sum(total_amount) as double) as total_revenue,
+              cast(sum(total_amount) as double) / count(*) as avg_order_value,
+              count(distinct customer_id) as unique_customers
+       from d_orders where order_status in ('delivered', 'shipped') and order_id % 11 <> 0 group by 1, 2""",
+)
+def _(spark, sf):
+    """The stored table after two loads: late orders come in, and some that were delivered are cancelled."""
+    folder = fresh_dir(spark, "daily")
+    orders = demo.orders(spark, sf)
+    first = orders.filter(F.col("order_id") % 5 != 0)
+    reports.refresh_daily(first, first, folder, "month")
+    status = F.when(F.col("order_id") % 11 == 0, "cancelled").otherwise(F.col("order_status"))
+    now = orders.withColumn("order_status", status)
+    changed = orders.filter((F.col("order_id") % 5 == 0) | (F.col("order_id") % 11 == 0))
+    reports.refresh_daily(now, changed, folder, "month")
+    return reports.stored_daily(spark, folder)
+
+
 @query(
     "tenant_rollup",
     "d_tenants d_orders",

@@ -124,6 +124,16 @@ for _fmt in export.EXPORT_FORMATS:
     query(f"export_{_fmt}", "d_orders", _EXPORT)(_written(_fmt))
 
 
+@query("export_resumed", "d_orders", _EXPORT)
+def _(spark, sf):
+    """Written in waves of ranges, ended early twice, and finished by a third call."""
+    path = fresh_dir(spark, "export")
+    rows = export.export_rows(demo.orders(spark, sf))
+    for waves in (1, 2, None):
+        export.export_ranges(rows, path, ranges=12, wave=3, waves=waves)
+    return export.read_export(spark, f"{path}/data").drop("range")
+
+
 @query("export_filtered", "d_orders", f"{_EXPORT} where order_status in ('pending', 'shipped') and tenant_id = 3")
 def _(spark, sf):
     return export.export_rows(demo.orders(spark, sf), tenant_id=3, order_status=["pending", "shipped"])

@@ -218,3 +218,69 @@ def test_a_page_beyond_the_maximum_is_an_error(spark):
         search.page(spark.createDataFrame([], "order_id string, order_date timestamp_ntz"), limit=search.MAX_LIMIT + 1, fields=["order_id"])
     cursor = search.Cursor(dt.datetime(2024, 1, 2, 3, 4, 5, 6), "a~b")
     assert search.Cursor.decode(cursor.encode()) == cursor
+
+
+def test_daily_refresh_rewrites_only_touched_days(spark):
+    def orders(*rows):
+        made = [(i, t, f"c{i}", 10.0 * i, status, f"{day} 10:00:00") for i, t, status, day in rows]
+        df = spark.createDataFrame(made, "order_id int, tenant_id string, customer_id string, amount double, order_status string, at string")
+        return df.withColumns({"total_amount": F.col("amount").cast("decimal(12,2)"), "order_date": F.col("at").cast("timestamp_ntz")})
+
+    folder = fresh_dir(spark, "daily")
+    first = [(k, "t", "shipped", f"2024-01-{1 + k % 5:02d}") for k in range(20)]
+    assert len(reports.refresh_daily(orders(*first), orders(*first), folder)) == 5
+
+    def files():
+        found = spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("f"), "period").distinct().collect()
+        return {r.f: str(r.period) for r in found}
+
+    before = files()
+    late = [(100, "u", "delivered", "2024-01-02"), (101, "u", "shipped", "2024-01-09")]
+    now = [(k, t, "cancelled" if day == "2024-01-03" else s, day) for k, t, s, day in first] + late
+    changed = orders(*late, *(r for r in first if r[3] == "2024-01-03"))
+    assert reports.refresh_daily(orders(*now), changed, folder) == ["2024-01-02", "2024-01-03", "2024-01-09"]
+    after = files()
+    assert sorted(set(after.values())) == ["2024-01-01", "2024-01-02", "2024-01-04", "2024-01-05", "2024-01-09"]
+    assert {after[f] for f in after.keys() - before.keys()} == {"2024-01-02", "2024-01-09"}
+    stored, whole = reports.stored_daily(spark, folder), reports.tenant_daily_metrics(orders(*now))
+    assert stored.exceptAll(whole).count() == 0 and stored.count() == whole.count()
+
+
+def test_an_export_that_was_cut_short_goes_on(spark, monkeypatch):
+    path = fresh_dir(spark, "export")
+    rows = spark.range(500).select(F.col("id").cast("string").alias("order_id"), F.lit("c").alias("customer"), F.lit("1.00").alias("total_amount"), F.lit("").alias("order_date"))
+    assert export.export_ranges(rows, path, ranges=8, wave=2, waves=2) == 4
+    kept = {r.f for r in export.read_export(spark, f"{path}/data").select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    # The next wave is written, but its manifest is not.
+    real = export.read_export
+    monkeypatch.setattr(export, "read_export", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        export.export_ranges(rows, path, ranges=8, wave=2)
+    monkeypatch.setattr(export, "read_export", real)
+    assert export.export_ranges(rows, path, ranges=8, wave=2) == 4 and export.export_ranges(rows, path, ranges=8) == 0
+    got = export.read_export(spark, f"{path}/data")
+    key = lambda r: (r.order_id, r.customer, r.total_amount, r.order_date or "")
+    assert sorted(map(key, got.collect())) == sorted(map(key, rows.collect()))
+    assert kept <= {r.f for r in got.select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    done = export.ranges_done(spark, path).collect()
+    assert sorted(r.range for r in done) == list(range(8)) and sum(r.rows for r in done) == 500
+    with pytest.raises(ValueError):
+        export.export_ranges(rows, path, ranges=9)
+
+
+def test_tenant_file_outcomes(spark, tmp_path):
+    ids = [f"00000000-0000-0000-0000-00000000000{k}" for k in range(4)]
+    lines = ["tenant_id,name,api_key_hash,created_at", f"{ids[0]},new,h,2024-01-01", f'{ids[1].upper()},"two\nlines",h,2024-01-01', f"{ids[0]},again,h,2024-01-02", "nope,x,h,2024-01-01", f"{ids[2]},x,h,never", f"{ids[3]},x"]
+    (tmp_path / "tenants.csv").write_text("\n".join(lines) + "\n")
+    known = spark.sql(f"select '{ids[1]}' as tenant_id, 'old' as name, 'k' as api_key_hash, timestamp_ntz'2020-01-01 00:00:00' as created_at")
+    rows = tenants.read_file(spark, str(tmp_path / "tenants.csv"))
+    outcomes, table_now = tenants.load_file(known, rows)
+    assert [(r.outcome, r.reason) for r in outcomes.orderBy("pos").collect()] == [
+        ("created", None), ("skipped", None), ("skipped", None), ("error", "Invalid tenant_id format: nope"),
+        ("error", "Invalid created_at format: never"), ("error", "Missing required field: api_key_hash"),
+    ]
+    assert {r.tenant_id: r.name for r in table_now.collect()} == {ids[0]: "new", ids[1]: "old"}
+    outcomes, table_now = tenants.load_file(known, rows, overwrite=True)
+    assert [r.outcome for r in outcomes.orderBy("pos").collect()] == ["created", "updated", "updated", "error", "error", "error"]
+    got = {r.tenant_id: (r.name, str(r.created_at)) for r in table_now.collect()}
+    assert got == {ids[0]: ("again", "2024-01-02 00:00:00"), ids[1]: ("two\nlines", "2024-01-01 00:00:00")}
