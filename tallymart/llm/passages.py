@@ -27,7 +27,6 @@ THRESHOLD = 0.7
 HIDDEN, ATTENTION = 16, 8
 
 _CLASSES = [b"#*$%&|<>", b"!?", b".,;:", b"0123456789", b"|", bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(0x80, 0xC0))]
-_END = b".,;:!?"
 
 
 def passage_vectors(text: bytes, size: int = PASSAGE) -> np.ndarray:
