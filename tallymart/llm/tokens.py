@@ -6,14 +6,34 @@ import array
 import functools
 import json
 import re
+from collections.abc import Callable
 
 import public_tokenizers
 import tiktoken
 
 #: Words whose ids a worker keeps, at most; the first ones seen, so that frequent words are among them.
-MEMO = 250_000
-#: A single space next to other white space, or any white space but space and newline: such texts are not cut into words.
-_JOINED = re.compile(r" \s|\s |[^\S \n]")
+MEMO = 500_000
+#: White space but space and newline.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def _joined(text: str) -> bool:
+    """Whether a space stands next to other white space, or there is white space but space and newline: such texts are not cut into words."""
+    return "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text) is not None
+
+
+class _Memo(dict):
+    """Ids of words behind a space."""
+
+    def __init__(self, whole: Callable[[str], bytes]):
+        super().__init__()
+        self._whole = whole
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._whole(" " + word)
+        if len(self) < MEMO and len(word) < 64:
+            self[word] = ids
+        return ids
 
 
 def _byte_of() -> dict[str, int]:
@@ -39,26 +59,17 @@ class ByteBpe:
         }
         self.size = max(spec["model"]["vocab"].values()) + 1
         self._bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._memo: dict[str, bytes] = {}
+        self._memo = _Memo(self._whole)
 
     def _whole(self, text: str) -> bytes:
         return array.array("I", self._bpe.encode_ordinary(text)).tobytes()
 
     def encode(self, text: str) -> bytes:
         # No piece of the pattern spans a lone space, but for starting with it, so words can be encoded one by one.
-        if _JOINED.search(text):
+        if _joined(text):
             return self._whole(text)
         first, *words = text.split(" ")
-        memo, out = self._memo, [self._whole(first)]
-        get = memo.get
-        for word in words:
-            ids = get(word)
-            if ids is None:
-                ids = self._whole(" " + word)
-                if len(memo) < MEMO and len(word) < 64:
-                    memo[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self._whole(first) + b"".join(map(self._memo.__getitem__, words))
 
     def decode(self, ids: list[int]) -> str:
         return self._bpe.decode_bytes(ids).decode("utf-8")
