@@ -556,12 +556,21 @@ def _(spark, sf):
     )
 
 
-@query("file_checksums")
+@query(
+    "file_checksums",
+    sql="""select cast(o_orderkey % 8 as int) as chunk, cast(sum(strlen(line) + 1) as bigint) as bytes,
+                  sha256(string_agg(line || chr(10), '' order by o_orderkey)) as checksum
+           from (select o_orderkey, concat(o_orderkey, ',', o_orderstatus, ',', o_orderpriority) as line from orders) t group by 1""",
+)
 def _(spark, sf):
-    """Checksums of files written by Spark; gzip headers vary, so there is no oracle."""
+    """Checksums of plain text files, one for each chunk of the orders."""
     folder = fresh_dir(spark, "chunks")
-    write_chunks(order_lines(demo.orders(spark, sf)).select("value"), f"{folder}/orders_{TENANT}.ndjson")
-    return files.checksums(spark, folder).select("bytes", "checksum")
+    text = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority").alias("value")
+    lines = demo.table(spark, sf, "orders").select((F.col("o_orderkey") % 8).cast("int").alias("chunk"), "o_orderkey", text)
+    dealt = lines.repartition("chunk").sortWithinPartitions("chunk", "o_orderkey").drop("o_orderkey")
+    dealt.write.partitionBy("chunk").text(folder)
+    number = F.regexp_extract("file", r"/chunk=(\d+)/", 1).cast("int").alias("chunk")
+    return files.checksums(spark, folder).select(number, "bytes", "checksum")
 
 
 @query(
