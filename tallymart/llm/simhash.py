@@ -1,9 +1,10 @@
 """SimHash near duplicates: 64-bit fingerprints, compared exactly in tiles.
 
-A fingerprint bit is one if it is set in over half the hashes of the text's word shingles. Distinct fingerprints are
-grouped by population count and cut into strips of bounded size. Two fingerprints within the radius differ by
-no more than the radius in population count, so only strips that near each other meet; inside a pair of strips, tiles
-sorted by the counts of their four 16-bit quarters are skipped by the same argument. What is left is compared by
+A fingerprint bit is one if it is set in over half the hashes of the text's word shingles. Two fingerprints within the radius
+differ by no more than the radius in population count, and so do the counts of their four 16-bit quarters, added up. Distinct
+fingerprints are therefore cut into boxes by these counts, halved where they spread most until a strip is small; only boxes no
+further apart than the radius meet (one set of four counts that holds more than a strip is cut by hash). Inside a pair of strips,
+tiles sorted by the quarter counts are skipped by the same argument. What is left is compared by
 numpy exclusive-or and bit counts. A task returns a spanning forest of its links, not all pairs.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other. Texts of fewer words than a
@@ -111,41 +112,76 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return nodes[moved], nodes[root[moved]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, strip: int = STRIP) -> DataFrame:
-    """Distinct ``fp`` to links ``a``, ``b`` whose components are those of all pairs within the radius."""
-    counted = fps.select("fp", F.bit_count("fp").alias("p"))
-    many = {r["p"]: r["n"] for r in counted.groupBy("p").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
-    cuts = F.array(*[F.lit(-(-many.get(p, 0) // strip)) for p in range(65)])
+def _boxes(cells: np.ndarray, many: np.ndarray, strip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Box of each cell; of each box the least and greatest counts (whole fingerprint, quarters) and how many strips it has.
+
+    A box of more than ``strip`` fingerprints is halved where its counts spread most, until it holds one cell."""
+    quarters = cells[:, None] // 17 ** np.arange(4) % 17
+    counts = np.column_stack([quarters.sum(1), quarters])
+    box, low, high, cuts = np.zeros(len(cells), np.int64), [], [], []
+    open_ = [np.arange(len(cells))] if len(cells) else []
+    while open_:
+        at = open_.pop()
+        held, mine = many[at], counts[at]
+        if held.sum() <= strip or len(at) == 1:
+            box[at] = len(low)
+            low.append(mine.min(0))
+            high.append(mine.max(0))
+            cuts.append(-(-int(held.sum()) // strip))
+            continue
+        mean = np.average(mine, axis=0, weights=held)
+        value = mine[:, np.average((mine - mean) ** 2, axis=0, weights=held).argmax()]
+        below = np.cumsum(np.bincount(value, held))
+        found = np.unique(value)
+        edge = found[np.abs(below[found[:-1]] - held.sum() / 2).argmin()]
+        open_ += [at[value <= edge], at[value > edge]]
+    return box, np.array(low, np.int8).reshape(-1, 5), np.array(high, np.int8).reshape(-1, 5), np.array(cuts, np.int64)
+
+
+def _near(low: np.ndarray, high: np.ndarray, one: int, radius: int) -> np.ndarray:
+    """Boxes that may hold fingerprints within the radius of those of a box."""
+    gap = np.maximum(np.maximum(low - high[one], low[one] - high), 0)
+    return np.flatnonzero((gap[:, 0] <= radius) & (gap[:, 1:].sum(1) <= radius))
+
+
+def strips_met(fps: DataFrame, radius: int = RADIUS, strip: int = STRIP) -> DataFrame:
+    """one, two (numbers of strips that may hold links between them) and ``fps`` of one of them; a strip meets itself in one row."""
+    cell = sum((F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)) * 17**k for k in range(4)), F.lit(0))
+    counted = fps.select("fp", cell.alias("cell"))
+    # 17^4 cells at most, whatever the corpus.
+    found = counted.groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").toPandas()
+    box, low, high, cuts = _boxes(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64), strip)
+    first = np.cumsum(cuts) - cuts
+    dealt = pd.DataFrame({"cell": found["cell"], "box": box, "first": first[box], "cuts": cuts[box]})
+    kinds = "cell int, box long, first long, cuts long"
+
+    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        near = _near(low, high, int(rows["box"].iloc[0]), radius)
+        others = np.concatenate([np.arange(first[b], first[b] + cuts[b]) for b in near])
+        return pd.DataFrame({"me": [key[0]], "fps": [np.sort(rows["fp"].to_numpy(np.int64)).tobytes()], "others": [others]})
+
     strips = (
-        counted.withColumn("s", F.pmod(F.xxhash64("fp"), F.element_at(cuts, F.col("p") + 1)).cast("int"))
-        .groupBy("p", "s")
-        .applyInPandas(
-            lambda key, rows: pd.DataFrame(
-                {"p": [key[0]], "s": [key[1]], "fps": [np.sort(rows["fp"].to_numpy(np.int64)).tobytes()]}
-            ),
-            "p int, s int, fps binary",
-        )
-    )
-    partners = F.flatten(
-        F.transform(
-            F.sequence(F.greatest(F.col("p") - radius, F.lit(0)), F.least(F.col("p") + radius, F.lit(64))),
-            lambda q: F.transform(
-                F.filter(F.sequence(F.lit(0), F.element_at(cuts, q + 1)), lambda c: c < F.element_at(cuts, q + 1)),
-                lambda c: F.struct(q.alias("p"), c.alias("s")),
-            ),
-        )
+        counted.join(F.broadcast(fps.sparkSession.createDataFrame(dealt, kinds)), "cell")
+        .select("fp", "box", (F.col("first") + F.pmod(F.xxhash64("fp"), "cuts")).alias("me"))
+        .groupBy("me")
+        .applyInPandas(gather, "me long, fps binary, others array<long>")
     )
-    me = F.struct("p", "s")
-    pairs = strips.select("p", "s", "fps", F.explode(partners).alias("other")).select(
-        F.least(me, "other").alias("one"), F.greatest(me, "other").alias("two"), "fps"
+    return strips.select("me", "fps", F.explode("others").alias("other")).select(
+        F.least("me", "other").alias("one"), F.greatest("me", "other").alias("two"), "fps"
     )
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+
+def links(fps: DataFrame, radius: int = RADIUS, strip: int = STRIP) -> DataFrame:
+    """Distinct ``fp`` to links ``a``, ``b`` whose components are those of all pairs within the radius."""
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in rows["fps"]]
+        if len(sets) == 1 and key[0] != key[1]:  # a cut by hash left the other strip empty
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         a, b = forest(sets[0], sets[1] if len(sets) > 1 else None, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return pairs.groupBy("one", "two").applyInPandas(compare, "a long, b long")
+    return strips_met(fps, radius, strip).groupBy("one", "two").applyInPandas(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, *keep: str, words_each: int = WORDS, radius: int = RADIUS) -> DataFrame:

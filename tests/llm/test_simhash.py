@@ -106,3 +106,35 @@ def test_strips_of_one_popcount_meet(spark):
 
     roots = components(simhash.links(df, 4, strip=16)).collect()
     assert len(roots) == len(fps) and len({r["root"] for r in roots}) == 1
+
+
+def test_boxes_part_fingerprints_by_their_counts(spark):
+    """Every pair within the radius meets in some pair of strips, and what is sent grows slower than the square."""
+    rng = np.random.default_rng(3)
+
+    def sent(n):
+        fps = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        near = np.unique(np.concatenate([fps, fps[: n // 10] ^ np.uint64(0b1011 << 14)]))
+        df = spark.createDataFrame([(x,) for x in near.view(np.int64).tolist()], "fp long")
+        met = simhash.strips_met(df, 4, strip=64).toPandas()
+        at = {}
+        for one, two, x in met.itertuples(index=False):
+            for f in np.frombuffer(x, np.uint64).tolist():
+                at.setdefault(f, set()).add((one, two))
+        there = set(near.tolist())
+        pairs = [(f, f ^ 0b1011 << 14) for f in near.tolist() if f ^ 0b1011 << 14 in there]
+        assert len(pairs) >= n // 10 and all(at[a] & at[b] for a, b in pairs)
+        return sum(map(len, met["fps"]))
+
+    few, many = sent(3000), sent(12_000)
+    assert many < 16 * few * 0.75
+
+
+def test_boxes_hold_their_cells():
+    cells = np.array([0, 8, 8 + 17 * 8, 8 + 17 * 9, 16 + 17 * 16 + 289 * 16 + 4913 * 16])
+    box, low, high, cuts = simhash._boxes(cells, np.array([1, 2, 100, 3, 1]), 10)
+    counts = np.column_stack([(q := cells[:, None] // 17 ** np.arange(4) % 17).sum(1), q])
+    assert (low[box] <= counts).all() and (counts <= high[box]).all()
+    assert cuts[box[2]] == 10 and (box == box[2]).sum() == 1
+    assert box[0] not in simhash._near(low, high, box[4], 4) and box[3] in simhash._near(low, high, box[2], 4)
+    assert [len(x) for x in simhash._boxes(cells[:0], cells[:0], 10)] == [0] * 4
