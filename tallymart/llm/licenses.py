@@ -4,8 +4,8 @@ Every word k-gram of a text is hashed by a rolling polynomial and joined in Spar
 of a template puts its hits on one diagonal (position in the text less position in the template). Hits are aggregated by
 diagonal; a full diagonal is a copy as it stands, others are merged with their neighbours, which an inserted or
 missing word puts next to each other, and verified by aligning the words around them with the template: a word may be inserted,
-missing or changed for every :data:`EDIT_EACH` words of the template, but never a word that tells licenses apart (numbers, and
-what one template has and a near one has not). Short templates are sought by pairs of words. The join compares the words
+missing or changed for every :data:`EDIT_EACH` words of the template, but never a word that tells licenses apart (numbers in notices,
+and what one template has and a near one has not). Templates are notices and whole licenses, and may be given as a table. Short templates are sought by pairs of words. The join compares the words
 themselves besides the hash. k-grams whose hash no template has cannot match and are left out before the join.
 
 Edge cases: null and empty texts have no words and no labels. Rows are numbered by the scan and judged one by one, so
@@ -14,7 +14,7 @@ repeated rows and ids repeat in the result. Overlapping and repeated places all
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +42,46 @@ OWN = [
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("reserved", "all rights reserved"),
 ]
+# Texts of whole licenses, as published.
+_BSD_2 = """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+_MIT = """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_ISC = """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+WHOLE = [("bsd-2", _BSD_2 + _BSD_END), ("bsd-3", _BSD_2 + _BSD_3 + _BSD_END), ("mit-text", _MIT), ("isc", _ISC)]
 #: k-gram of templates of SHORT words and more, and of shorter ones (their own length where that is less).
 GRAM = 4
 SHORT_GRAM = 2
@@ -53,8 +93,12 @@ EDIT_EACH = 4
 LEAST_WORDS = 4
 #: Words that name another license beside a template's words, besides numbers and what the templates themselves differ in.
 VARIANTS = {"lesser", "library", "affero", "sharealike", "noncommercial", "noderivatives", "noderivs", "sa", "nc", "nd"}
-#: Diagonals this far apart belong together.
+#: Diagonals this far apart belong together, or as far as the template's edits may shift them.
 NEIGHBOUR = 3
+#: Templates of so many words are whole licenses, whose numbering may differ.
+LONG = 60
+#: Bytes of templates, which every task holds.
+MAX_TEMPLATES = 16 << 20
 
 _BREAKS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 _PRIME = 1_000_003
@@ -91,28 +135,29 @@ def fits(template: list, text: list, telling: set, most: int) -> list[tuple[int,
     """start, end, edits of the places of a text that a template fits with ``most`` edits at most, best first, not overlapping.
 
     Words in ``telling`` are neither inserted, missing nor changed; templates of few words miss and change none."""
-    n, far = len(template), most + 1
-    fixed = [n < LEAST_WORDS or w in telling for w in template]
-    column = [(0, 0)]
-    for i in range(n):
-        column.append((column[i][0] + (far if fixed[i] else 1), 0))
-    ends = []
+    n, far, unit = len(template), most + 1, len(text) + 2
+    fixed = np.array([n < LEAST_WORDS or w in telling for w in template], bool)
+    code = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    mine = np.array([code[w] for w in template], np.int64)
+    # Fewest edits first, then the latest start: edits and start in one number, by place in the template.
+    lost = np.concatenate([[0], np.cumsum(np.where(fixed, far, 1))]) * unit
+    swap = np.where(fixed, far, 1) * unit
+    never = unit * far * (n + 2)
+    column, ends = lost.copy(), []
     for j, word in enumerate(text):
         told = word in telling
-        now = [(0, j + 1)]
-        for i in range(n):
-            cost, start = column[i]
-            best = (cost if template[i] == word else cost + (far if fixed[i] or told else 1), start)
-            cost, start = column[i + 1]
-            best = min(best, (cost + (far if told else 1), start), key=lambda x: (x[0], -x[1]))
-            cost, start = now[i]
-            # Before the first word found, the text's own word stands in for the missing one.
-            lost = fixed[i] or (told and start == j + 1)
-            best = min(best, (cost + (far if lost else 1), start), key=lambda x: (x[0], -x[1]))
-            now.append(best)
+        # A word of the text more, the same word or another one, then words of the template that are missing.
+        now = column + (far if told else 1) * unit
+        other = np.full(n, far * unit) if told else swap
+        now[1:] = np.minimum(now[1:], column[:-1] + np.where(mine == code.get(word, -1), 0, other))
+        # Before the first word found, the text's own word stands in for the missing one.
+        now[0] = never if told else -(j + 1)
+        now = np.minimum.accumulate(now - lost) + lost
+        now[0] = -(j + 1)
         column = now
-        if column[n][0] <= most:
-            ends.append((column[n][0], column[n][1], j + 1))
+        edits = -(-int(now[n]) // unit)
+        if edits <= most:
+            ends.append((edits, edits * unit - int(now[n]), j + 1))
     out: list[tuple[int, int, int]] = []
     for edits, start, end in sorted(ends):
         if all(end <= a or start >= b for a, b, _ in out):
@@ -124,22 +169,33 @@ def most_edits(words: list, least_cover: float) -> int:
     return min(max(1, len(words) // EDIT_EACH), int(len(words) * (1 - least_cover) + 1e-9))
 
 
-def telling_words(templates: list[tuple[str, str]], least_cover: float = LEAST_COVER) -> set[str]:
-    """Numbers, variants, and the words without which a template would fit one of another label."""
-    told = VARIANTS | {w for _, t in templates for w in t.split() if any(c.isdigit() for c in w)}
-    for name, t in templates:
-        for other, u in templates:
-            one, two = t.split(), u.split()
-            if name != other and len(one) >= LEAST_WORDS and fits(one, two, told, most_edits(one, least_cover)):
-                told |= set(one) - set(two)
-    return told
+def _may_fit(template: list, text: list, most: int) -> bool:
+    """Whether a text has enough of the template's words, wherever they stand."""
+    return (Counter(template) & Counter(text)).total() >= len(template) - most
+
+
+def telling_words(templates: list[tuple[str, str]], least_cover: float = LEAST_COVER) -> list[set[str]]:
+    """For each template: variants, numbers (templates of LONG words and more may be numbered otherwise), and the words without which
+    it would fit a template of another label, or that one it."""
+    words = [t.split() for _, t in templates]
+    numbers = {w for t in words for w in t if any(c.isdigit() for c in w)}
+    told = [VARIANTS | (numbers if len(t) < LONG else set()) for t in words]
+    found = [set(t) for t in told]
+    for i, (name, _) in enumerate(templates):
+        most = most_edits(words[i], least_cover)
+        for j, (other, _) in enumerate(templates):
+            if name != other and len(words[i]) >= LEAST_WORDS and _may_fit(words[i], words[j], most):
+                if fits(words[i], words[j], told[i], most):
+                    found[i] |= set(words[i]) - set(words[j])
+                    found[j] |= set(words[i]) - set(words[j])
+    return found
 
 
 class _Ids(dict):
-    """Number of each word that a template has, -1 for other words that tell licenses apart, zero for the rest."""
+    """Number of each word that a template has; of other words -1 for numbers, -2 for variants, zero for the rest."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1 if word.decode(errors="replace") in VARIANTS or any(48 <= b <= 57 for b in word) else 0
+        return -2 if word.decode(errors="replace") in VARIANTS else -1 if any(48 <= b <= 57 for b in word) else 0
 
 
 def _ids(templates: list[tuple[str, str]]) -> _Ids:
@@ -233,7 +289,8 @@ def spans(found: DataFrame, templates: list[tuple[str, str]], least_cover: float
     full = diagonals.where("n = t_grams").select("row_id", "template", "start", "end", F.lit(1.0).alias("cover"))
     # What partly fills a diagonal; a place cannot be longer than its template by much, so groups stay short.
     order = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOUR) | (
+    near = F.greatest(F.lit(NEIGHBOUR), F.floor(F.col("t_words") / EDIT_EACH))
+    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > near) | (
         F.col("start") - F.lag("start").over(order) > F.col("t_words")
     )
     merged = (
@@ -249,8 +306,12 @@ def spans(found: DataFrame, templates: list[tuple[str, str]], least_cover: float
 def _verified(found: DataFrame, full: DataFrame, merged: DataFrame, templates: list[tuple[str, str]], least_cover: float) -> DataFrame:
     """Places that alignment finds around merged diagonals, other than copies as they stand."""
     ids = _ids(templates)
-    told = {ids[w.encode()] for w in telling_words(templates, least_cover)} | {-1}
     numbers = [[ids[w] for w in t.encode().split()] for _, t in templates]
+    told = [
+        {ids[w.encode()] for w in found} | ({-1, -2} if len(mine) < LONG else {-2})
+        for found, mine in zip(telling_words(templates, least_cover), numbers)
+    ]
+    edits_of = [most_edits(mine, least_cover) for mine in numbers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -262,9 +323,9 @@ def _verified(found: DataFrame, full: DataFrame, merged: DataFrame, templates: l
                     k = c["template"]
                     n, first = len(numbers[k]), max(0, c["start"] - len(numbers[k]))
                     window = text[first : c["end"] + n].tolist()
-                    if not {w for w in numbers[k] if w in told} <= set(window):
+                    if not {w for w in numbers[k] if w in told[k]} <= set(window) or not _may_fit(numbers[k], window, edits_of[k]):
                         continue
-                    for start, end, edits in fits(numbers[k], window, told, most_edits(numbers[k], least_cover)):
+                    for start, end, edits in fits(numbers[k], window, told[k], edits_of[k]):
                         start, end = start + first, end + first
                         if any((k, at) in whole for at in range(start - n + 1, end)) or (k, start, end) in seen:
                             continue
@@ -282,9 +343,29 @@ def _verified(found: DataFrame, full: DataFrame, merged: DataFrame, templates: l
     )
 
 
-def scan(docs: DataFrame, base=BASE, own=OWN, least_cover: float = LEAST_COVER) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and places."""
-    templates = [*base, *own]
+def templates_of(table: DataFrame) -> list[tuple[str, str]]:
+    """Templates from a table of label and text (such as license files); rows without label or words are none, repeated rows one.
+
+    Templates are a parameter that every task holds, so a table of more than MAX_TEMPLATES bytes is an error."""
+    rows = table.where("label IS NOT NULL AND text IS NOT NULL").select("label", "text").distinct()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > MAX_TEMPLATES:
+        raise ValueError(f"templates have {size} bytes, more than {MAX_TEMPLATES}")
+    return [(r["label"], r["text"]) for r in rows.orderBy("label", "text").collect()]
+
+
+def _plain(templates) -> list[tuple[str, str]]:
+    """Templates as words, those without words left out."""
+    made = [(name, b" ".join(words_of(text.encode())).decode()) for name, text in templates]
+    return [(name, text) for name, text in made if text]
+
+
+def scan(docs: DataFrame, base=BASE, own=(*OWN, *WHOLE), least_cover: float = LEAST_COVER) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and places.
+
+    ``own`` lists (label, text) or is a table of them."""
+    base = _plain(base)
+    templates = [*base, *_plain(templates_of(own) if isinstance(own, DataFrame) else own)]
     found = stored(grams(docs, templates), "grams")
     label = F.element_at(F.array(*[F.lit(name) for name, _ in templates]), F.col("template") + 1)
     is_base = (F.col("template") < len(base)) & (F.col("cover") == 1)
