@@ -4,7 +4,7 @@ The patterns give the labelled spans. Windows of characters around them, and aro
 tagger (embedding, one LSTM in each direction, emissions, transitions between tags). They are drawn for each kind apart, so a rare
 kind is learned however large the corpus. What the tagger adds are spellings that no pattern matches: addresses with words or brackets
 for their signs, groups parted in other ways, phone numbers without plus. Such spellings are written into the windows that it learns
-from. It reads all surroundings of such characters, in overlapping windows, and nothing else. A character's tag comes from
+from. It reads every text whole, in overlapping windows. A character's tag comes from
 the window in which it lies deepest; spans are then read off the whole text, across windows. A span of the tagger counts
 where no pattern span lies, where its mean tag probability is high, and if its digits or parts can be of that kind (check digits,
 numbers up to 255, 8 to 15 digits, a name and a host).
@@ -28,6 +28,8 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Windows that the tagger is trained on, at most: distinct ones, by hash order, a share for each kind and for windows without spans.
 MAX_WINDOWS = 4_000
 WINDOW, STRIDE = 80, 40
+#: Characters that the tagger reads at once; neighbours share STRIDE of them.
+READ = 240
 #: Characters around a digit or at-sign that belong to its surroundings.
 CONTEXT, GAP = 24, 40
 CONFIDENCE = 0.95
@@ -96,8 +98,8 @@ def surroundings(text: str) -> list[tuple[int, int]]:
     return [(max(0, a - CONTEXT), min(len(text), b + 1 + CONTEXT)) for a, b in zip(first.tolist(), last.tolist())]
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over the surroundings."""
+def anchored(text: str) -> list[tuple[int, int]]:
+    """Overlapping windows over the surroundings, which the training windows are drawn from."""
     out = []
     for a, b in surroundings(text):
         starts = range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
@@ -105,6 +107,14 @@ def windows(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def windows(size: int) -> list[tuple[int, int]]:
+    """Overlapping windows over a whole text of a size: of READ characters, or of WINDOW and less if it has fewer."""
+    length = READ if size >= READ else WINDOW
+    starts = range(0, max(1, size - STRIDE), length - STRIDE)
+    # The last window of a long text is whole, too.
+    return [(min(s, max(0, size - length)), min(s + length, size)) for s in starts] if size else []
+
+
 #: Characters that read alike: brackets, and what people part groups of digits with.
 _ALIKE = str.maketrans({**dict.fromkeys("[{<", "("), **dict.fromkeys("]}>", ")"), **dict.fromkeys("_|~=*#\\^;:", "/")})
 
@@ -118,6 +128,21 @@ def encode(texts: list[str]) -> np.ndarray:
     return out
 
 
+#: Symbol of each ASCII character.
+_SYMBOL = np.array([ord(chr(c).translate(_ALIKE)) for c in range(128)], np.uint8)
+
+
+def symbols_of(text: str) -> np.ndarray:
+    """The numbers that :func:`encode` gives to the characters of a text."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _SYMBOL[np.minimum(code, 127)]
+    far = np.flatnonzero(code > 127)
+    if len(far):
+        kinds, which = np.unique(code[far], return_inverse=True)
+        out[far] = np.array([128 + (not chr(c).isalpha()) for c in kinds.tolist()], np.uint8)[which]
+    return out
+
+
 def tags_of(spans: list[Span], start: int, end: int) -> np.ndarray:
     """Tags of a window: 0, or 2k+1 for the first character of kind k and 2k+2 for the rest."""
     out = np.zeros(WINDOW, np.int64)
@@ -155,6 +180,33 @@ class Lstm:
             h[k + 1] = o * np.tanh(c[k + 1])
         return h, c, gates
 
+    @staticmethod
+    def read(symbols: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What :meth:`forward` gives out, from symbols (time, batch) and their embedding; nothing else is kept."""
+        t, n = symbols.shape
+        d, h_size = e.shape[1], w.shape[1] // 4
+
+        def by_gate(x: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray(x.reshape(-1, 4, h_size).transpose(1, 0, 2))
+
+        # Sigmoid gates are halved, so that one hyperbolic tangent serves all.
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], e.dtype), h_size)
+        given, recurrent = by_gate((e @ w[:d] + b) * half), by_gate(w[d:] * half)
+        h, c = np.zeros((n, h_size), e.dtype), np.zeros((n, h_size), e.dtype)
+        z, x, out = np.empty((4, n, h_size), e.dtype), np.empty((4, n, h_size), e.dtype), np.empty((t, n, h_size), e.dtype)
+        for k in range(t):
+            np.matmul(h, recurrent, out=z)
+            z += np.take(given, symbols[k], axis=1, out=x, mode="clip")
+            np.tanh(z, out=z)
+            z[:3] += 1
+            z[:3] *= 0.5
+            c *= z[1]
+            z[0] *= z[3]
+            c += z[0]
+            h = np.tanh(c, out=out[k])
+            h *= z[2]
+        return out
+
     @staticmethod
     def backward(x, w, state, dh_out):
         h, c, gates = state
@@ -240,8 +292,40 @@ class Tagger:
 
     def decode(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best tag path of each window (batch, time) and the probability of each of its tags."""
-        e, _ = self.emissions(symbols)
-        q, _, _ = self.posteriors(e)
+        return self.paths(self.read(symbols).transpose(1, 2, 0))
+
+    def paths(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`decode` of emissions (time, batch, tags); without a tag, a path's probabilities are left at zero."""
+        path = self.best_path(e)
+        tagged = path.any(0)
+        sure = np.zeros(path.shape, e.dtype)
+        q, _, _ = self.posteriors(e[:, tagged])
+        sure[:, tagged] = np.take_along_axis(q, path[:, tagged, None], 2)[..., 0]
+        return path.T, sure.T
+
+    def maybe_tagged(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and emissions of the windows whose best path may have a tag; that of the others has none."""
+        e = self.read(symbols)
+        a, s = self.p["a"], self.p["s"]
+        stay, into, out_of, begin = a[1:, 1:].max(), a[0, 1:].max(), a[1:, 0].max(), s[1:].max() - s[0]
+        # A tagged stretch gains at most (lead + step) a character and what its ends bring. Where no character gains that much, the path
+        # without tags is best.
+        step = stay - a[0, 0]
+        ends = max(into + out_of - stay - a[0, 0], begin + out_of - stay, into - stay, begin - stay + a[0, 0], 0)
+        lead = (e[1:].max(0) - e[0]).max(0)
+        some = np.flatnonzero(lead + step + ends >= -1e-3)
+        return some, e[:, :, some].transpose(1, 2, 0)
+
+    def read(self, symbols: np.ndarray) -> np.ndarray:
+        """Emissions (tags, time, batch), without what training needs."""
+        p, x = self.p, np.ascontiguousarray(symbols.T, np.intp)
+        ahead = Lstm.read(x, p["e"], p["fw"], p["fb"])
+        back = Lstm.read(x[::-1], p["e"], p["bw"], p["bb"])[::-1]
+        e = p["u"][:HIDDEN].T @ ahead.reshape(-1, HIDDEN).T
+        e += p["u"][HIDDEN:].T @ back.reshape(-1, HIDDEN).T
+        return (e + p["c"][:, None]).reshape(TAGS, *x.shape)
+
+    def best_path(self, e: np.ndarray) -> np.ndarray:
         t, n, k = e.shape
         best, back = self.p["s"] + e[0], np.empty((t, n, k), np.int8)
         for j in range(1, t):
@@ -252,7 +336,7 @@ class Tagger:
         path[-1] = best.argmax(1)
         for j in reversed(range(1, t)):
             path[j - 1] = back[j][np.arange(n), path[j]]
-        return path.T, np.take_along_axis(q, path[..., None], 2)[..., 0].T
+        return path
 
 
 _NAMES = "anna.berg j.smith info sales luca_rossi m.dupont office pat42 k.meyer support team hello dr.wu".split()
@@ -344,22 +428,42 @@ def train(rows: list[tuple[str, list[Span]]], steps: int = 560, batch: int = 64,
 
 def tagged_spans(model: Tagger, texts: list[str], confidence: float = CONFIDENCE, batch: int = 512) -> list[list[Span]]:
     """Spans that the tagger finds in each text; windows of one text are reconciled over the whole of it."""
-    where = [(k, a, b) for k, t in enumerate(texts) for a, b in windows(t)]
+    symbols = [symbols_of(t) for t in texts]
+    where = [(k, a, b) for k, t in enumerate(texts) for a, b in windows(len(t))]
     out: list[list[Span]] = [[] for _ in texts]
-    tags, sure, deep = {}, {}, {}
-    for at in range(0, len(where), batch):
-        part = where[at : at + batch]
-        paths, probabilities = model.decode(encode([texts[k][a:b] for k, a, b in part]))
-        for (k, a, b), path, q in zip(part, paths, probabilities):
-            if not path[: b - a].any() and k not in tags:
-                continue
-            if k not in tags:
-                tags[k], sure[k], deep[k] = np.zeros(len(texts[k]), np.int8), np.zeros(len(texts[k]), np.float32), np.full(len(texts[k]), -1, np.int16)
-            inside = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1))
+    found: dict[int, dict] = {}
+
+    def settle(held: list) -> None:
+        for (k, a, b), path, q in zip([w for w, _ in held], *model.paths(np.stack([e for _, e in held], 1))):
+            if path.any():
+                found.setdefault(k, {})[a, b] = path, q
+        held.clear()
+
+    for length, mine in ((READ, [w for w in where if w[2] - w[1] == READ]), (WINDOW, [w for w in where if w[2] - w[1] <= WINDOW])):
+        held: list = []
+        for at in range(0, len(mine), batch):
+            part = mine[at : at + batch]
+            read = np.zeros((len(part), length), np.uint8)
+            for row, (k, a, b) in zip(read, part):
+                row[: b - a] = symbols[k][a:b]
+            some, e = model.maybe_tagged(read)
+            held += [(part[n], e[:, k]) for k, n in enumerate(some.tolist())]
+            if len(held) >= batch:
+                settle(held)
+        if held:
+            settle(held)
+    tags, sure = {}, {}
+    for k, read in found.items():
+        size = len(texts[k])
+        tags[k], sure[k], deep = np.zeros(size, np.int8), np.zeros(size, np.float32), np.full(size, -1, np.int16)
+        for a, b in windows(size):
+            place = np.arange(b - a)
+            inside = np.minimum(place + 1, b - a - place)
             # The beginning and the end of a text are no window's edge.
-            inside = np.where((a == 0) & (np.arange(b - a) < STRIDE), WINDOW, inside)
-            better = inside > deep[k][a:b]
-            for stored_, new in ((tags[k], path), (sure[k], q), (deep[k], inside)):
+            inside = np.where((a == 0) & (place < STRIDE), READ, inside)
+            better = inside > deep[a:b]
+            path, q = read.get((a, b), (np.zeros(b - a, np.int64), np.zeros(b - a)))
+            for stored_, new in ((tags[k], path), (sure[k], q), (deep, inside)):
                 stored_[a:b][better] = new[: b - a][better]
     for k, row in tags.items():
         text = texts[k]
@@ -420,7 +524,7 @@ def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Tagger | None:
             for text in strings(batch):
                 spans = pattern_spans(text)
                 # Prose, too, for values to be written into; one window of a text.
-                for a, b in [*windows(text), (0, min(WINDOW, len(text)))]:
+                for a, b in [*anchored(text), (0, min(WINDOW, len(text)))]:
                     inside = [(k, s - a, e - a) for k, s, e in spans if s >= a and e <= b]
                     crossing = any(s < b and e > a and not (s >= a and e <= b) for _, s, e in spans)
                     if not crossing:

@@ -89,6 +89,55 @@ def test_decode_is_the_best_path():
         assert max(itertools.product(range(pii.TAGS), repeat=3), key=worth) == tuple(paths[n])
 
 
+def test_reading_without_training_state_gives_the_same():
+    model = pii.Tagger(2, np.float64)
+    symbols = np.random.default_rng(3).integers(0, pii.SYMBOLS, (40, 30))
+    assert np.allclose(model.read(symbols).transpose(1, 2, 0), model.emissions(symbols)[0])
+    for lead in np.linspace(0, 12, 25):  # so that more and more windows have no tag
+        model.p["c"][0] = lead
+        path, sure = model.decode(symbols)
+        some, e = model.maybe_tagged(symbols)
+        assert set(np.flatnonzero(path.any(1))) <= set(some)
+        q = model.posteriors(model.emissions(symbols)[0])[0]
+        want = np.take_along_axis(q, path.T[..., None], 2)[..., 0].T
+        assert np.allclose(sure[path.any(1)], want[path.any(1)])
+    assert len(some) == 0
+
+
+def test_symbols_of_a_text_are_those_of_its_windows():
+    for text in filter(None, TEXTS):
+        want = np.concatenate([pii.encode([text[k : k + pii.WINDOW]])[0][: len(text) - k] for k in range(0, len(text), pii.WINDOW)])
+        assert (pii.symbols_of(text) == want).all()
+
+
+class Marks:
+    """Tags every "anna at example.com" that lies whole in a window."""
+
+    def maybe_tagged(self, symbols):
+        some = [k for k, row in enumerate(symbols) if "anna at example.com" in "".join(map(chr, row))]
+        return np.array(some, int), symbols[some].T[..., None]
+
+    def paths(self, e):
+        symbols = e[..., 0].T
+        paths = np.zeros(symbols.shape, np.int64)
+        for row, path in zip(symbols, paths):
+            at = "".join(map(chr, row)).find("anna at example.com")
+            path[at : at + 19] = [1] + 18 * [2]
+        return paths, np.ones(paths.shape)
+
+
+@pytest.mark.parametrize("before", [0, 3, 50, 61, 79, 80, 200, 239, 240, 500, 1000, 5000])
+@pytest.mark.parametrize("after", [0, 1, 60, 300, 3000])
+def test_every_place_of_a_text_is_read(before, after):
+    """Also where no digit, at-sign or dot is written near."""
+    text = ("so " * before)[2 * before :] + "anna at example.com" + (" it" * after)[:after]
+    assert pii.tagged_spans(Marks(), [text]) == [[("email", before, before + 19)]]
+    covered = np.zeros(len(text), bool)
+    for a, b in pii.windows(len(text)):
+        covered[a:b] = True
+    assert covered.all() and not pii.windows(0)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
