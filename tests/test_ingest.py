@@ -473,3 +473,22 @@ def test_streamed_hours_do_not_depend_on_file_order(spark):
     run.each_batch(run.arriving(spark, folder, rows.schema, files=1), metrics.add_to(kept), fresh_dir(spark, "checkpoint"))
     got, want = metrics.read(spark, kept), metrics.hourly(metrics.partials(rows))
     assert got.count() == 1200 and got.exceptAll(want).count() == 0
+
+
+def test_manifest_sends_files_once_and_keeps_ties_and_drops_nulls(spark, capsys):
+    rows = [(1, "a", 5, "x"), (1, "a", 5, "y"), (1, "a", 7, "z"), (1, "b", 6, "x"), (1, None, 1, "x"), (None, "a", 1, "x"), (2, "c", None, "x"), (2, "k", 3, "x")]
+    made = spark.createDataFrame(rows, "upload_id long, checksum string, file long, note string")
+    existing = spark.createDataFrame([(2, "k", 4)], "upload_id long, checksum string, chunk_index long")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        got = uploads.chunk_manifest(made, existing, block=F.col("file"))
+        got.explain()
+        found = sorted((r["upload_id"], r["checksum"], r["file"], r["note"]) for r in got.collect())
+    finally:
+        spark.conf.set(limit, before)
+    assert found == [(1, "a", 5, "x"), (1, "a", 5, "y"), (1, "b", 6, "x")]
+    # Rows are sorted and limited by checksum, and met with the known ones, after one exchange; none is by the order, too.
+    assert "hashpartitioning(upload_id" in (plan := capsys.readouterr().out)
+    assert not any(", file#" in line.split("hashpartitioning")[1] for line in plan.splitlines() if "hashpartitioning" in line)
