@@ -2,7 +2,8 @@
 
 The patterns give the labelled spans. Windows of characters around them, and around other digits, at-signs and spelled-out dots, train the
 tagger (embedding, one LSTM in each direction, emissions, transitions between tags). They are drawn for each kind apart, so a rare
-kind is learned however large the corpus. What the tagger adds are spellings that no pattern matches: addresses with words or brackets
+kind is learned however large the corpus. Its gates are hard sigmoids and its values are squashed by roots, since exponentials were most
+of the time of reading. What the tagger adds are spellings that no pattern matches: addresses with words or brackets
 for their signs, groups parted in other ways, phone numbers without plus. Such spellings are written into the windows that it learns
 from. It reads every text whole, in overlapping windows. A character's tag comes from
 the window in which it lies deepest; spans are then read off the whole text, across windows. A span of the tagger counts
@@ -39,7 +40,13 @@ SYMBOLS = 130
 
 Span = tuple[str, int, int]
 
-_ANCHOR = re.compile(r"[0-9@]|(?<![a-z])dot(?![a-z])|(?<=[\[({<])at(?=[\])}>])", re.IGNORECASE)
+#: A digit, an at-sign, "dot" between other characters than letters, "at" in brackets. What a match can begin with stands first, since
+#: the search then leaps to it; the four letters beside ASCII are those that differ from one of its letters in case alone.
+_ANCHOR = re.compile(
+    r"[0-9@DdAa](?:(?<=[0-9@])|(?<=[Dd])(?<![A-Za-z\u0130\u0131\u017f\u212a].)[Oo][Tt](?![A-Za-z\u0130\u0131\u017f\u212a])"
+    r"|(?<=[\[({<][Aa])[Tt](?=[\])}>]))",
+    re.DOTALL,
+)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 # A match fails or ends with the whole run of digits it begins in, so only beginnings of runs need a try.
@@ -155,8 +162,23 @@ def tags_of(spans: list[Span], start: int, end: int) -> np.ndarray:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gate(x: np.ndarray) -> np.ndarray:
+    """Hard sigmoid, which takes no exponential."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
+
+
+def _gate_slope(y: np.ndarray) -> np.ndarray:
+    return 0.25 * ((y > 0) & (y < 1))
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    """Between -1 and 1, like a hyperbolic tangent but of plain arithmetic."""
+    return x / np.sqrt(1 + x * x)
+
+
+def _squash_slope(y: np.ndarray) -> np.ndarray:
+    rest = np.maximum(1 - y * y, 0)
+    return rest * np.sqrt(rest)
 
 
 class Lstm:
@@ -172,41 +194,14 @@ class Lstm:
         recurrent = w[d:]
         for k in range(t):
             z = pre[k] + h[k] @ recurrent
-            z[:, : 3 * h_size] = _sigmoid(z[:, : 3 * h_size])
-            z[:, 3 * h_size :] = np.tanh(z[:, 3 * h_size :])
+            z[:, : 3 * h_size] = _gate(z[:, : 3 * h_size])
+            z[:, 3 * h_size :] = _squash(z[:, 3 * h_size :])
             gates[k] = z
             i, f, o, g = np.split(z, 4, 1)
             c[k + 1] = f * c[k] + i * g
-            h[k + 1] = o * np.tanh(c[k + 1])
+            h[k + 1] = o * _squash(c[k + 1])
         return h, c, gates
 
-    @staticmethod
-    def read(symbols: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """What :meth:`forward` gives out, from symbols (time, batch) and their embedding; nothing else is kept."""
-        t, n = symbols.shape
-        d, h_size = e.shape[1], w.shape[1] // 4
-
-        def by_gate(x: np.ndarray) -> np.ndarray:
-            return np.ascontiguousarray(x.reshape(-1, 4, h_size).transpose(1, 0, 2))
-
-        # Sigmoid gates are halved, so that one hyperbolic tangent serves all.
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1], e.dtype), h_size)
-        given, recurrent = by_gate((e @ w[:d] + b) * half), by_gate(w[d:] * half)
-        h, c = np.zeros((n, h_size), e.dtype), np.zeros((n, h_size), e.dtype)
-        z, x, out = np.empty((4, n, h_size), e.dtype), np.empty((4, n, h_size), e.dtype), np.empty((t, n, h_size), e.dtype)
-        for k in range(t):
-            np.matmul(h, recurrent, out=z)
-            z += np.take(given, symbols[k], axis=1, out=x, mode="clip")
-            np.tanh(z, out=z)
-            z[:3] += 1
-            z[:3] *= 0.5
-            c *= z[1]
-            z[0] *= z[3]
-            c += z[0]
-            h = np.tanh(c, out=out[k])
-            h *= z[2]
-        return out
-
     @staticmethod
     def backward(x, w, state, dh_out):
         h, c, gates = state
@@ -217,9 +212,11 @@ class Lstm:
         for k in reversed(range(t)):
             i, f, o, g = np.split(gates[k], 4, 1)
             dh = dh + dh_out[k]
-            tc = np.tanh(c[k + 1])
-            dc = dc + dh * o * (1 - tc * tc)
-            dz[k] = np.concatenate([dc * g * i * (1 - i), dc * c[k] * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
+            tc = _squash(c[k + 1])
+            dc = dc + dh * o * _squash_slope(tc)
+            own = _gate_slope(gates[k, :, : 3 * h_size])
+            dz[k] = np.concatenate([dc * g, dc * c[k], dh * tc, dc * i * _squash_slope(g)], 1)
+            dz[k, :, : 3 * h_size] *= own
             dc = dc * f
             dh = dz[k] @ w[d:].T
         flat = dz.reshape(-1, 4 * h_size)
@@ -317,13 +314,48 @@ class Tagger:
         return some, e[:, :, some].transpose(1, 2, 0)
 
     def read(self, symbols: np.ndarray) -> np.ndarray:
-        """Emissions (tags, time, batch), without what training needs."""
-        p, x = self.p, np.ascontiguousarray(symbols.T, np.intp)
-        ahead = Lstm.read(x, p["e"], p["fw"], p["fb"])
-        back = Lstm.read(x[::-1], p["e"], p["bw"], p["bb"])[::-1]
-        e = p["u"][:HIDDEN].T @ ahead.reshape(-1, HIDDEN).T
-        e += p["u"][HIDDEN:].T @ back.reshape(-1, HIDDEN).T
-        return (e + p["c"][:, None]).reshape(TAGS, *x.shape)
+        """Emissions (tags, time, batch), without what training needs. Both directions go through their steps side by side."""
+        p, (n, t) = self.p, symbols.shape
+        kind = p["c"].dtype
+        # The line of the hard sigmoid is part of the weights, so that only its ends are left to cut.
+        line, lift = (np.repeat(np.array([v, v, v, last], kind), HIDDEN) for v, last in ((0.25, 1), (0.5, 0)))
+        weights = np.stack([
+            np.concatenate([w[EMBEDDING:] * line, w[:EMBEDDING] * line, [b * line + lift]]).T
+            for w, b in ((p["fw"], p["fb"]), (p["bw"], p["bb"]))
+        ])
+        u, embedded = np.ascontiguousarray(p["u"].reshape(2, HIDDEN, TAGS).transpose(0, 2, 1)), np.ascontiguousarray(p["e"].T)
+        ahead = np.ascontiguousarray(symbols.T, np.intp)
+        both = np.concatenate([ahead, ahead[::-1]], 1)
+        # What a step reads lies together: the values before it, its embedded symbol, and a one; columns are windows, once for each direction.
+        read = np.zeros((HIDDEN + EMBEDDING + 1, 2 * n), kind)
+        read[-1] = 1
+        h, given = read[:HIDDEN], read[HIDDEN:-1]
+        z, c, r = np.empty((4 * HIDDEN, 2 * n), kind), np.zeros_like(h), np.empty_like(h)
+        gates, (i, f, o, g) = z[: 3 * HIDDEN], z.reshape(4, HIDDEN, 2 * n)
+        read_, z_, h_ = (x.reshape(len(x), 2, n).transpose(1, 0, 2) for x in (read, z, h))
+        out, emitted = np.empty((t, TAGS, n), kind), np.empty((2, TAGS, n), kind)
+        out[:] = p["c"][:, None]
+
+        def squash(v: np.ndarray, out: np.ndarray) -> None:
+            np.multiply(v, v, out=r)
+            np.add(r, 1, out=r)
+            np.sqrt(r, out=r)
+            np.divide(v, r, out=out)
+
+        for k in range(t):
+            np.take(embedded, both[k], axis=1, out=given, mode="clip")
+            np.matmul(weights, read_, out=z_)
+            np.clip(gates, 0, 1, out=gates)
+            squash(g, g)
+            c *= f
+            i *= g
+            c += i
+            squash(c, h)
+            h *= o
+            np.matmul(u, h_, out=emitted)
+            out[k] += emitted[0]
+            out[-1 - k] += emitted[1]
+        return out.transpose(1, 0, 2)
 
     def best_path(self, e: np.ndarray) -> np.ndarray:
         t, n, k = e.shape

@@ -104,6 +104,20 @@ def test_reading_without_training_state_gives_the_same():
     assert len(some) == 0
 
 
+def test_reading_takes_plain_arithmetic_only(monkeypatch):
+    """No exponential for each character and gate, which were most of its time; the same as in training, also where gates are cut."""
+    model = pii.Tagger(4, np.float64)
+    for name in ("fw", "bw"):
+        model.p[name] *= 3
+    symbols = np.random.default_rng(5).integers(0, pii.SYMBOLS, (30, 50))
+    want, (_, forward, _, _) = model.emissions(symbols)
+    gates = forward[2][..., : 3 * pii.HIDDEN]
+    assert (gates == 0).any() and (gates == 1).any() and ((gates > 0) & (gates < 1)).any()
+    for name in ("tanh", "exp"):
+        monkeypatch.setattr(np, name, None)
+    assert np.allclose(model.read(symbols).transpose(1, 2, 0), want)
+
+
 def test_symbols_of_a_text_are_those_of_its_windows():
     for text in filter(None, TEXTS):
         want = np.concatenate([pii.encode([text[k : k + pii.WINDOW]])[0][: len(text) - k] for k in range(0, len(text), pii.WINDOW)])
@@ -138,6 +152,15 @@ def test_every_place_of_a_text_is_read(before, after):
     assert covered.all() and not pii.windows(0)
 
 
+def test_anchors():
+    plain_anchor = re.compile(r"[0-9@]|(?<![a-z])dot(?![a-z])|(?<=[\[({<])at(?=[\])}>])", re.IGNORECASE)
+    random = np.random.default_rng(6)
+    signs = [*"dDoOtTaA[](){}<>1@ \nxz", "dot", "[at]", "\u0130", "\u0131", "\u017f", "\u212a"]
+    for _ in range(5000):
+        text = "".join(random.choice(signs, random.integers(0, 12)))
+        assert [m.start() for m in pii._ANCHOR.finditer(text)] == [m.start() for m in plain_anchor.finditer(text)], text
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
