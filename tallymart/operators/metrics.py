@@ -23,7 +23,6 @@ BOUND_SKETCH = "~5-10% relative error (streaming sketch)"
 GROUPINGS = ["day", "hour", "product", "category"]
 
 SKETCH_LG_K = 12  # 2^12 registers: about 1.6 % standard error
-SKETCH_RSD = 0.02
 
 
 def between(orders: DataFrame, since=None, until=None) -> DataFrame:
@@ -145,9 +144,12 @@ def _has_null(column: str) -> Column:
 
 
 def _sales(rows: DataFrame, value: str, *keys: Column, sketch: bool = False) -> DataFrame:
-    """Sum, row count and customers per key. Orders without a customer count as one customer."""
+    """Sum, row count and customers per key. Orders without a customer count as one customer.
+
+    A sketch lists the customers of a small group and takes its registers only for a large one, so that many groups stay small.
+    """
     if sketch:
-        customers = F.approx_count_distinct("customer_id", SKETCH_RSD)
+        customers = F.hll_sketch_estimate(F.hll_sketch_agg("customer_id", SKETCH_LG_K))
     else:
         customers = F.countDistinct("customer_id")
     return (

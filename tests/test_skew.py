@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallymart.operators import prices, stock, upsert
+from tallymart.operators import metrics, prices, stock, upsert
 from tallymart.operators.prefix import number_rows
 
 N = 120_000
@@ -66,3 +66,23 @@ def test_replays_of_a_hot_key_are_spread(spark):
     hot = answers.filter("idempotency_key = '0'").groupBy("admitted", "answered_by").count().collect()
     assert {(r.admitted, r.answered_by, r["count"]) for r in hot} == {(True, None, 1), (None, N - 3, N // 3 - 1)}
     assert answers.count() == N
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_small_groups_have_small_sketches(spark):
+    """An empty set of registers takes as much as a full one, so groups of a few customers list them instead."""
+    orders = spark.range(0, 3000).select(
+        F.col("id").alias("order_id"),
+        F.lit(1).alias("tenant_id"),
+        F.when(F.col("id") % 10 > 0, F.col("id") % 30).alias("customer_id"),
+        F.lit(2).cast("decimal(12,2)").alias("total_amount"),
+        F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")).alias("order_date"),
+    )
+    items = orders.select("order_id", (F.col("order_id") % 7).alias("product_id"))
+    rough = metrics.sales_by_product(orders, items, sketch=True)
+    assert "approx_count_distinct" not in executed(rough) and "hll_sketch_agg" in executed(rough)
+    exact = metrics.sales_by_product(orders, items)
+    assert rough.count() == 7 and rough.exceptAll(exact.select(rough.columns)).count() == 0
