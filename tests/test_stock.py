@@ -168,3 +168,17 @@ def test_upload_lines(spark):
     fold = stock.fold_lines(read, products_of(spark, "a", "b", "c"))
     assert [r.resulting_level for r in stock.applied_events(fold).orderBy("pos").collect()] == [5, 12, 10]
     assert {r.product_id for r in stock.conflicts(fold).collect()} == {"b", "c"}
+
+
+def test_lines_travel_with_the_number_of_their_split(spark):
+    """Paths and padded paths would be most of a movement's bytes in every sort; numbers in names count as numbers."""
+    rows = [("f/10.json", 0, 1, -1), ("f/9.json", 0, 2, 4), ("f/9.json", 64, 9, 2), ("f/10.json", 0, 3, 5), ("f/9.json", 64, 5, -9)]
+    read = spark.createDataFrame(rows, "file string, block long, pos long, delta long").withColumns(
+        {"product_id": F.lit("a"), "event_time": F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))}
+    )
+    fold = stock.fold_lines(read, products_of(spark, "a"))
+    assert fold.movements.schema["fold_block"].dataType.simpleString() == "int"
+    levels = {(r.file, r.block, r.pos): r.resulting_level for r in stock.applied_events(fold).collect()}
+    assert levels == {
+        ("f/9.json", 0, 2): 4, ("f/9.json", 64, 5): 0, ("f/9.json", 64, 9): 2, ("f/10.json", 0, 1): 1, ("f/10.json", 0, 3): 6
+    }
