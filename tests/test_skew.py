@@ -1,8 +1,10 @@
 """One key with a third of all rows: groups stay bounded and results whole."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from tallymart.operators import metrics, prices, stock, upsert
+from tallymart.operators import metrics, prices, reports, stock, upsert
 from tallymart.operators.prefix import number_rows
 
 N = 120_000
@@ -86,3 +88,14 @@ def test_many_small_groups_have_small_sketches(spark):
     assert "approx_count_distinct" not in executed(rough) and "hll_sketch_agg" in executed(rough)
     exact = metrics.sales_by_product(orders, items)
     assert rough.count() == 7 and rough.exceptAll(exact.select(rough.columns)).count() == 0
+
+
+def test_sums_are_not_held_for_each_order_and_product(spark):
+    orders = spark.createDataFrame([(1, "delivered"), (2, "shipped"), (3, "pending"), (None, "shipped")], "order_id long, order_status string")
+    rows = [(1, 7), (1, 7), (1, 8), (2, 7), (2, None), (2, None), (3, 7), (None, 7)]
+    items = spark.createDataFrame(rows, "order_id long, product_id long").withColumns(
+        {"quantity": F.lit(1), "line_total": F.lit(3).cast("decimal(12,2)"), "unit_price": F.lit(3).cast("decimal(10,2)")}
+    )
+    sales = reports.product_sales(items, orders, None, None)
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*order_id", executed(sales))
+    assert {(r.product_id, r.times_ordered, r.order_count) for r in sales.collect()} == {(7, 3, 2), (8, 1, 1), (None, 2, 1)}
