@@ -29,8 +29,12 @@ KINDS = ["email", "ip", "card", "phone"]
 #: Windows that the tagger is trained on, at most: distinct ones, by hash order, a share for each kind and for windows without spans.
 MAX_WINDOWS = 4_000
 WINDOW, STRIDE = 80, 40
-#: Characters that the tagger reads at once; neighbours share STRIDE of them.
-READ = 240
+#: Characters that the tagger reads at once: of these lengths, that in which a text has least to be read twice. Neighbours share STRIDE of them.
+LENGTHS = [WINDOW, 240, 400, 560, 720]
+READ = LENGTHS[-1]
+#: Windows read side by side, and those multiplied at once: few enough for the direct way of the BLAS, and no power of two, since rows would then
+#: share their places in the cache.
+BATCH, PART = 656, 328
 #: Characters around a digit or at-sign that belong to its surroundings.
 CONTEXT, GAP = 24, 40
 CONFIDENCE = 0.95
@@ -115,11 +119,14 @@ def anchored(text: str) -> list[tuple[int, int]]:
 
 
 def windows(size: int) -> list[tuple[int, int]]:
-    """Overlapping windows over a whole text of a size: of READ characters, or of WINDOW and less if it has fewer."""
-    length = READ if size >= READ else WINDOW
-    starts = range(0, max(1, size - STRIDE), length - STRIDE)
+    """Overlapping windows over a whole text of a size, all of one of LENGTHS; a text shorter than each is one window."""
+
+    def starts(length: int) -> range:
+        return range(0, max(1, size - STRIDE), length - STRIDE)
+
+    length = min((x for x in LENGTHS if x <= size), key=lambda x: (x * len(starts(x)), -x), default=WINDOW)
     # The last window of a long text is whole, too.
-    return [(min(s, max(0, size - length)), min(s + length, size)) for s in starts] if size else []
+    return [(min(s, max(0, size - length)), min(s + length, size)) for s in starts(length)] if size else []
 
 
 #: Characters that read alike: brackets, and what people part groups of digits with.
@@ -182,44 +189,43 @@ def _squash_slope(y: np.ndarray) -> np.ndarray:
 
 
 class Lstm:
-    """One direction; arrays are (time, batch, values)."""
+    """One direction; arrays are (time, batch, values). A cell takes in what it forgets, so it stays between -1 and 1 however long the text."""
 
     @staticmethod
     def forward(x: np.ndarray, w: np.ndarray, b: np.ndarray):
         t, n, d = x.shape
-        h_size = w.shape[1] // 4
+        h_size = w.shape[1] // 3
         pre = (x.reshape(-1, d) @ w[:d]).reshape(t, n, -1) + b
         h, c = np.zeros((t + 1, n, h_size), x.dtype), np.zeros((t + 1, n, h_size), x.dtype)
-        gates = np.empty((t, n, 4 * h_size), x.dtype)
+        gates = np.empty((t, n, 3 * h_size), x.dtype)
         recurrent = w[d:]
         for k in range(t):
             z = pre[k] + h[k] @ recurrent
-            z[:, : 3 * h_size] = _gate(z[:, : 3 * h_size])
-            z[:, 3 * h_size :] = _squash(z[:, 3 * h_size :])
+            z[:, : 2 * h_size] = _gate(z[:, : 2 * h_size])
+            z[:, 2 * h_size :] = _squash(z[:, 2 * h_size :])
             gates[k] = z
-            i, f, o, g = np.split(z, 4, 1)
-            c[k + 1] = f * c[k] + i * g
-            h[k + 1] = o * _squash(c[k + 1])
+            f, o, g = np.split(z, 3, 1)
+            c[k + 1] = g + f * (c[k] - g)
+            h[k + 1] = o * c[k + 1]
         return h, c, gates
 
     @staticmethod
     def backward(x, w, state, dh_out):
         h, c, gates = state
         t, n, d = x.shape
-        h_size = w.shape[1] // 4
+        h_size = w.shape[1] // 3
         dz = np.empty_like(gates)
         dh, dc = np.zeros((n, h_size), x.dtype), np.zeros((n, h_size), x.dtype)
         for k in reversed(range(t)):
-            i, f, o, g = np.split(gates[k], 4, 1)
+            f, o, g = np.split(gates[k], 3, 1)
             dh = dh + dh_out[k]
-            tc = _squash(c[k + 1])
-            dc = dc + dh * o * _squash_slope(tc)
-            own = _gate_slope(gates[k, :, : 3 * h_size])
-            dz[k] = np.concatenate([dc * g, dc * c[k], dh * tc, dc * i * _squash_slope(g)], 1)
-            dz[k, :, : 3 * h_size] *= own
+            dc = dc + dh * o
+            own = _gate_slope(gates[k, :, : 2 * h_size])
+            dz[k] = np.concatenate([dc * (c[k] - g), dh * c[k + 1], dc * (1 - f) * _squash_slope(g)], 1)
+            dz[k, :, : 2 * h_size] *= own
             dc = dc * f
             dh = dz[k] @ w[d:].T
-        flat = dz.reshape(-1, 4 * h_size)
+        flat = dz.reshape(-1, 3 * h_size)
         dw = np.concatenate([x.reshape(-1, d).T @ flat, h[:-1].reshape(-1, h_size).T @ flat])
         return (flat @ w[:d].T).reshape(x.shape), dw, flat.sum(0)
 
@@ -232,8 +238,8 @@ class Tagger:
             return (r.normal(0, 1, shape) * 0.3).astype(dtype)
 
         self.p = {
-            "e": normal(SYMBOLS, EMBEDDING), "fw": normal(EMBEDDING + HIDDEN, 4 * HIDDEN), "fb": np.zeros(4 * HIDDEN, dtype),
-            "bw": normal(EMBEDDING + HIDDEN, 4 * HIDDEN), "bb": np.zeros(4 * HIDDEN, dtype),
+            "e": normal(SYMBOLS, EMBEDDING), "fw": normal(EMBEDDING + HIDDEN, 3 * HIDDEN), "fb": np.zeros(3 * HIDDEN, dtype),
+            "bw": normal(EMBEDDING + HIDDEN, 3 * HIDDEN), "bb": np.zeros(3 * HIDDEN, dtype),
             "u": normal(2 * HIDDEN, TAGS), "c": np.zeros(TAGS, dtype), "a": normal(TAGS, TAGS), "s": normal(TAGS),
         }
 
@@ -302,72 +308,128 @@ class Tagger:
 
     def maybe_tagged(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and emissions of the windows whose best path may have a tag; that of the others has none."""
-        e = self.read(symbols)
+        e, lead = self._read(symbols)
         a, s = self.p["a"], self.p["s"]
         stay, into, out_of, begin = a[1:, 1:].max(), a[0, 1:].max(), a[1:, 0].max(), s[1:].max() - s[0]
         # A tagged stretch gains at most (lead + step) a character and what its ends bring. Where no character gains that much, the path
         # without tags is best.
         step = stay - a[0, 0]
         ends = max(into + out_of - stay - a[0, 0], begin + out_of - stay, into - stay, begin - stay + a[0, 0], 0)
-        lead = (e[1:].max(0) - e[0]).max(0)
-        some = np.flatnonzero(lead + step + ends >= -1e-3)
+        gain = lead + step
+        some = np.flatnonzero(gain.max(0) + ends >= -1e-3)
+        gain = gain[:, some]
+        # What the best stretches that end and begin at a character gain; one through it gains both.
+        through, back = gain.copy(), gain.copy()
+        for j in range(1, len(gain)):
+            through[j] += np.maximum(through[j - 1], 0)
+            back[-1 - j] += np.maximum(back[-j], 0)
+        through += back
+        through -= gain
+        some = self._tagged_stretches(e, some, through >= -1e-2 - ends)
         return some, e[:, :, some].transpose(1, 2, 0)
 
+    def _tagged_stretches(self, e: np.ndarray, some: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Numbers of those of some windows whose best path may have a tag. Characters that are not open have none, so each open stretch has a
+        best path of its own; one that reaches its window's edge counts as tagged."""
+        edges = np.diff(open_.T.astype(np.int8), axis=1, prepend=0, append=0)
+        (window, first), end = np.nonzero(edges > 0), np.nonzero(edges < 0)[1]
+        window = some[window]
+        kept = (first == 0) | (end == len(open_))
+        found = [window[kept]]
+        order = np.flatnonzero(~kept)
+        order = order[np.argsort(end[order] - first[order], kind="stable")]
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            # Between the untagged characters beside it.
+            place = np.arange(-1, (end[part] - first[part]).max() + 1)[:, None] + first[part]
+            shut = (place < first[part]) | (place >= end[part])
+            mine = e[:, np.minimum(place, len(open_) - 1), window[part]]
+            mine[1:, shut] = -1e9
+            found.append(window[part][self.best_path(mine.transpose(1, 2, 0)).any(0)])
+        return np.unique(np.concatenate(found))
+
     def read(self, symbols: np.ndarray) -> np.ndarray:
-        """Emissions (tags, time, batch), without what training needs. Both directions go through their steps side by side."""
+        """Emissions (tags, time, batch), without what training needs."""
+        return self._read(symbols)[0]
+
+    def _read(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`read`, and by how much the best tag leads over none (time, batch). Both directions go through their steps side by side."""
         p, (n, t) = self.p, symbols.shape
         kind = p["c"].dtype
+        # Windows are multiplied PART at a time and squashed together.
+        parts = max(1, -(-n // PART))
+        wide = -(-n // parts)
+        all_ = parts * wide
         # The line of the hard sigmoid is part of the weights, so that only its ends are left to cut.
-        line, lift = (np.repeat(np.array([v, v, v, last], kind), HIDDEN) for v, last in ((0.25, 1), (0.5, 0)))
+        line, lift = (np.repeat(np.array([v, v, last], kind), HIDDEN) for v, last in ((0.25, 1), (0.5, 0)))
         weights = np.stack([
-            np.concatenate([w[EMBEDDING:] * line, w[:EMBEDDING] * line, [b * line + lift]]).T
+            np.concatenate([w[EMBEDDING:] * line, [b * line + lift], w[:EMBEDDING] * line]).T
             for w, b in ((p["fw"], p["fb"]), (p["bw"], p["bb"]))
         ])
-        u, embedded = np.ascontiguousarray(p["u"].reshape(2, HIDDEN, TAGS).transpose(0, 2, 1)), np.ascontiguousarray(p["e"].T)
-        ahead = np.ascontiguousarray(symbols.T, np.intp)
-        both = np.concatenate([ahead, ahead[::-1]], 1)
-        # What a step reads lies together: the values before it, its embedded symbol, and a one; columns are windows, once for each direction.
-        read = np.zeros((HIDDEN + EMBEDDING + 1, 2 * n), kind)
-        read[-1] = 1
-        h, given = read[:HIDDEN], read[HIDDEN:-1]
-        z, c, r = np.empty((4 * HIDDEN, 2 * n), kind), np.zeros_like(h), np.empty_like(h)
-        gates, (i, f, o, g) = z[: 3 * HIDDEN], z.reshape(4, HIDDEN, 2 * n)
-        read_, z_, h_ = (x.reshape(len(x), 2, n).transpose(1, 0, 2) for x in (read, z, h))
-        out, emitted = np.empty((t, TAGS, n), kind), np.empty((2, TAGS, n), kind)
-        out[:] = p["c"][:, None]
-
-        def squash(v: np.ndarray, out: np.ndarray) -> None:
-            np.multiply(v, v, out=r)
-            np.add(r, 1, out=r)
-            np.sqrt(r, out=r)
-            np.divide(v, r, out=out)
-
+        u = np.zeros((2, TAGS, HIDDEN + 1), kind)
+        u[:, :, :-1], u[0, :, -1] = p["u"].reshape(2, HIDDEN, TAGS).transpose(0, 2, 1), p["c"]
+        weights, u, embedded = np.repeat(weights, parts, 0), np.repeat(u, parts, 0), np.ascontiguousarray(p["e"].T)
+        both = np.zeros((t, 2 * all_), np.intp)
+        both[:, :n] = symbols.T
+        both[:, all_ : all_ + n] = symbols.T[::-1]
+        # What a step reads lies together: the values before it, a one, and its embedded symbol; columns are windows, once for each direction.
+        read = np.zeros((HIDDEN + 1 + EMBEDDING, 2 * all_), kind)
+        read[HIDDEN] = 1
+        h, given = read[:HIDDEN], read[HIDDEN + 1 :]
+        z, c, r = np.empty((3 * HIDDEN, 2 * all_), kind), np.zeros_like(h), np.empty_like(h)
+        gates, (f, o, g) = z[: 2 * HIDDEN], z.reshape(3, HIDDEN, 2 * all_)
+        read_, z_ = (x.reshape(len(x), 2 * parts, wide).transpose(1, 0, 2) for x in (read, z))
+        h_ = read_[:, : HIDDEN + 1]
+        ahead, behind = slice(0, parts), slice(parts, None)
+        out, lead = np.empty((t, TAGS, all_), kind), np.empty((t, all_), kind)
+        other = np.empty((TAGS, 2 * all_), kind)
+        out_ = out.reshape(t, TAGS, parts, wide).transpose(0, 2, 1, 3)
+        other_ = other.reshape(TAGS, 2 * parts, wide).transpose(1, 0, 2)
         for k in range(t):
-            np.take(embedded, both[k], axis=1, out=given, mode="clip")
-            np.matmul(weights, read_, out=z_)
-            np.clip(gates, 0, 1, out=gates)
-            squash(g, g)
-            c *= f
-            i *= g
-            c += i
-            squash(c, h)
-            h *= o
-            np.matmul(u, h_, out=emitted)
-            out[k] += emitted[0]
-            out[-1 - k] += emitted[1]
-        return out.transpose(1, 0, 2)
+            embedded.take(both[k], 1, given, "clip")
+            np.matmul(weights, read_, z_)
+            gates.clip(0, 1, gates)
+            # Squashed.
+            np.multiply(g, g, r)
+            np.add(r, 1, r)
+            np.sqrt(r, r)
+            np.divide(g, r, g)
+            np.subtract(c, g, c)
+            np.multiply(c, f, c)
+            np.add(c, g, c)
+            np.multiply(c, o, h)
+            # Half-way the directions meet; from there on each comes to characters that the other has been at.
+            j = t - 1 - k
+            if k < j:
+                np.matmul(u[ahead], h_[ahead], out_[k])
+                np.matmul(u[behind], h_[behind], out_[j])
+                continue
+            np.matmul(u, h_, other_)
+            if k == j:
+                np.add(other[:, :all_], other[:, all_:], out[k])
+            else:
+                np.add(out[k], other[:, :all_], out[k])
+                np.add(out[j], other[:, all_:], out[j])
+                np.max(out[j, 1:], axis=0, out=lead[j])
+            np.max(out[k, 1:], axis=0, out=lead[k])
+        lead -= out[:, 0]
+        return out[:, :, :n].transpose(1, 0, 2), lead[:, :n]
 
     def best_path(self, e: np.ndarray) -> np.ndarray:
         t, n, k = e.shape
-        best, back = self.p["s"] + e[0], np.empty((t, n, k), np.int8)
+        # Windows lie side by side, and only the worth of the best ways is kept; the tag before is sought again on the way back, for one tag each.
+        e, move = np.ascontiguousarray(e.transpose(0, 2, 1)), self.p["a"][:, :, None]
+        best, step = np.empty_like(e), np.empty((k, k, n), e.dtype)
+        best[0] = self.p["s"][:, None] + e[0]
         for j in range(1, t):
-            step = best[:, :, None] + self.p["a"]
-            back[j] = step.argmax(1)
-            best = step.max(1) + e[j]
+            np.add(best[j - 1][:, None], move, out=step)
+            np.max(step, axis=0, out=best[j])
+            best[j] += e[j]
         path = np.empty((t, n), np.int64)
-        path[-1] = best.argmax(1)
+        path[-1] = best[-1].argmax(0)
+        into = np.ascontiguousarray(self.p["a"].T)
         for j in reversed(range(1, t)):
-            path[j - 1] = back[j][np.arange(n), path[j]]
+            path[j - 1] = (best[j - 1].T + into[path[j]]).argmax(1)
         return path
 
 
@@ -431,7 +493,7 @@ def written_into(text: str, spans: list[Span], r: np.random.Generator, spell=spe
     return out[:WINDOW], [(k, a, min(b, WINDOW)) for k, a, b in made if a < WINDOW]
 
 
-def train(rows: list[tuple[str, list[Span]]], steps: int = 560, batch: int = 64, seed: int = 0) -> Tagger | None:
+def train(rows: list[tuple[str, list[Span]]], steps: int = 900, batch: int = 64, seed: int = 0) -> Tagger | None:
     """Learn from windows and the spans that lie in them."""
     if not any(spans for _, spans in rows):
         return None
@@ -458,7 +520,7 @@ def train(rows: list[tuple[str, list[Span]]], steps: int = 560, batch: int = 64,
     return model
 
 
-def tagged_spans(model: Tagger, texts: list[str], confidence: float = CONFIDENCE, batch: int = 512) -> list[list[Span]]:
+def tagged_spans(model: Tagger, texts: list[str], confidence: float = CONFIDENCE, batch: int = BATCH) -> list[list[Span]]:
     """Spans that the tagger finds in each text; windows of one text are reconciled over the whole of it."""
     symbols = [symbols_of(t) for t in texts]
     where = [(k, a, b) for k, t in enumerate(texts) for a, b in windows(len(t))]
@@ -471,7 +533,8 @@ def tagged_spans(model: Tagger, texts: list[str], confidence: float = CONFIDENCE
                 found.setdefault(k, {})[a, b] = path, q
         held.clear()
 
-    for length, mine in ((READ, [w for w in where if w[2] - w[1] == READ]), (WINDOW, [w for w in where if w[2] - w[1] <= WINDOW])):
+    for length in LENGTHS:
+        mine = [w for w in where if max(w[2] - w[1], WINDOW) == length]
         held: list = []
         for at in range(0, len(mine), batch):
             part = mine[at : at + batch]

@@ -118,6 +118,39 @@ def test_reading_takes_plain_arithmetic_only(monkeypatch):
     assert np.allclose(model.read(symbols).transpose(1, 2, 0), want)
 
 
+def test_a_cell_stays_bounded_however_long_the_text():
+    """Coupled gates: what lies far back cannot add up, so that windows longer than those of the training may be read."""
+    model = pii.Tagger(6, np.float64)
+    for name in ("fw", "bw"):
+        model.p[name] *= 3
+    symbols = np.random.default_rng(7).integers(0, pii.SYMBOLS, (5, 700))
+    _, (_, forward, backward, _) = model.emissions(symbols)
+    assert np.abs(forward[1]).max() <= 1 and np.abs(backward[1]).max() <= 1
+
+
+def test_texts_are_read_little_more_than_once():
+    sizes = range(2000, 20000, 7)
+    assert sum(b - a for size in sizes for a, b in pii.windows(size)) <= 1.12 * sum(sizes)
+    for size in range(1, 2000):
+        found = pii.windows(size)
+        assert found[0][0] == 0 and found[-1][1] == size
+        assert all(b - c >= pii.STRIDE for (_, b), (c, _) in zip(found, found[1:]))
+        assert {max(b - a, pii.WINDOW) for a, b in found} <= set(pii.LENGTHS)
+
+
+@pytest.mark.parametrize("lead", [1, 1.8, 2, 2.2, 2.5])
+def test_windows_without_a_tag_are_hardly_decoded(lead):
+    """Only those whose best path has a tag, or that hold a stretch at their edge which might have one."""
+    model = pii.Tagger(2, np.float64)
+    model.p["c"][0] = lead
+    symbols = np.random.default_rng(3).integers(0, pii.SYMBOLS, (700, 80))
+    path, _ = model.decode(symbols)
+    some, e = model.maybe_tagged(symbols)
+    tagged = set(np.flatnonzero(path.any(1)))
+    assert tagged <= set(some) and np.allclose(e, model.read(symbols)[:, :, some].transpose(1, 2, 0))
+    assert len(some) <= len(tagged) + 0.1 * len(symbols)
+
+
 def test_symbols_of_a_text_are_those_of_its_windows():
     for text in filter(None, TEXTS):
         want = np.concatenate([pii.encode([text[k : k + pii.WINDOW]])[0][: len(text) - k] for k in range(0, len(text), pii.WINDOW)])
