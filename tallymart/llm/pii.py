@@ -3,7 +3,8 @@
 The patterns give the labelled spans. Windows of characters around them, and around other digits, at-signs and spelled-out dots, train the
 tagger (embedding, one LSTM in each direction, emissions, transitions between tags). They are drawn for each kind apart, so a rare
 kind is learned however large the corpus. Its gates are hard sigmoids and its values are squashed by roots, since exponentials were most
-of the time of reading. What the tagger adds are spellings that no pattern matches: addresses with words or brackets
+of the time of reading. A cell takes in as much as it forgets (coupled gates), so texts may be read in windows longer than those of the
+training. What the tagger adds are spellings that no pattern matches: addresses with words or brackets
 for their signs, groups parted in other ways, phone numbers without plus. Such spellings are written into the windows that it learns
 from. It reads every text whole, in overlapping windows. A character's tag comes from
 the window in which it lies deepest; spans are then read off the whole text, across windows. A span of the tagger counts
