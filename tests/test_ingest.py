@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallymart.operators import loading, uploads, upsert, validate
-from tallymart.session import fresh_dir
+from tallymart.session import drop_folder, exists, fresh_dir
 from tallymart.sources import csv, files
 from tallymart.sources.store import TableStore
 from tallymart.streaming import ingest, run
@@ -492,3 +492,66 @@ def test_manifest_sends_files_once_and_keeps_ties_and_drops_nulls(spark, capsys)
     # Rows are sorted and limited by checksum, and met with the known ones, after one exchange; none is by the order, too.
     assert "hashpartitioning(upload_id" in (plan := capsys.readouterr().out)
     assert not any(", file#" in line.split("hashpartitioning")[1] for line in plan.splitlines() if "hashpartitioning" in line)
+
+
+def test_paths_are_read_once_for_each_file(spark, monkeypatch):
+    """Writes travel with the number of their file; neither paths nor padded paths cross a shuffle, and what was set aside is gone."""
+    folder = fresh_dir(spark, "in")
+    for chunk, state in ((9999, "pending"), (10000, "shipped"), (1000, "refunded")):
+        write_orders(spark, folder, f"orders_t_chunk_{chunk}.ndjson", [{**ORDER, "order_status": state}, order(7 if chunk == 1000 else 9)])
+    items = {"order_id": UUID, "product_id": UUID, "quantity": 1, "unit_price": 1, "line_total": 1, "order_item_id": UUID}
+    for chunk in (9999, 10000, 1000):
+        write_orders(spark, folder, f"order_items_t_chunk_{chunk}.ndjson", [{**items, "quantity": chunk}])
+    # Two keys claim one id, in two files: the one in the later file keeps it.
+    write_orders(spark, folder, "orders_t_chunk_2.ndjson", [order(5)])
+    write_orders(spark, folder, "orders_t_chunk_10.ndjson", [{**order(5), "external_order_id": "late"}])
+    seen, upsert_ = [], TableStore.upsert
+
+    def spied(self, name, rows, *args, **named):
+        seen.append((name, rows.columns, rows._jdf.queryExecution().optimizedPlan().toString()))
+        return upsert_(self, name, rows, *args, **named)
+
+    monkeypatch.setattr(TableStore, "upsert", spied)
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    done = loading.load_all(store, folder, "t", AS_OF, 1)
+    assert [name for name, *_ in seen] == ["orders", "order_items"]
+    for _, columns, plan in seen:
+        assert "file" not in columns and "file_order" not in columns and "regexp_replace" not in plan
+    assert {r.external_order_id: r.order_status for r in store.read("orders").collect()} == {
+        "E1": "shipped", "E7": "pending", "E9": "pending", "late": "pending",
+    }
+    assert [r.quantity for r in store.read("order_items").collect()] == [10000]
+    lost = [r.file for r in done["orders"].rejected.collect()]
+    assert len(lost) == 1 and "orders_t_chunk_2.ndjson" in lost[0]
+    write_orders(spark, late := fresh_dir(spark, "in"), "order_items_t.ndjson", [{**items, "quantity": 3}, {**items, "order_item_id": order(3)["order_id"]}])
+    loading.load_all(store, late, "t", AS_OF, 2)
+    assert sorted(r.quantity for r in store.read("order_items").collect()) == [1, 3]
+    assert not exists(spark, f"{store.root}/_pending/orders")
+
+
+def test_a_move_that_was_cut_short_is_completed(spark, monkeypatch):
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    folder = fresh_dir(spark, "in")
+    write_orders(spark, folder, "orders_t.ndjson", [order(k) for k in range(40)])
+    loading.load_all(store, folder, "t", AS_OF, 1)
+    write_orders(spark, late := fresh_dir(spark, "in"), "orders_t.ndjson", [order(k, order_status="shipped") for k in range(20, 60)])
+    from tallymart.sources import store as stores
+
+    move, calls = stores.move_folder, []
+
+    def failing(spark, path, to):
+        calls.append(path)
+        if len(calls) == 3:
+            drop_folder(spark, to)  # the old one has gone, the new one is not there yet
+            raise RuntimeError("driver lost")
+        move(spark, path, to)
+
+    monkeypatch.setattr(stores, "move_folder", failing)
+    with pytest.raises(RuntimeError):
+        loading.load_all(store, late, "t", AS_OF, 2)
+    assert not store.is_done("orders", 3) and store.is_done("orders", 2, loading.source_of(late, "t"))
+    assert {r.external_order_id: r.order_status for r in store.read("orders").collect()} == {
+        f"E{k}": "pending" if k < 20 else "shipped" for k in range(60)
+    }
+    loading.load_all(store, late, "t", AS_OF, 2)
+    assert store.read("orders").count() == 60
