@@ -555,3 +555,12 @@ def test_a_move_that_was_cut_short_is_completed(spark, monkeypatch):
     }
     loading.load_all(store, late, "t", AS_OF, 2)
     assert store.read("orders").count() == 60
+
+
+def test_names_are_cut_out_without_a_search(spark):
+    names = ["/a/orders_t.ndjson", "/a/orders_t.ndjson/part-1", "orders_t", "/a/order_items_x/part-0-c.gz", "/a/b/orders_/x", "/orders_t/part-a/part-1",
+             "//part-1", "part-1", "/a/", "", None, "/customers_/partial", "/products_1/part-", "s3://b/customers_t.csv/part-0"]
+    named = spark.createDataFrame([(n,) for n in names], "p string").select("p", files.route(F.col("p")).alias("kind"))
+    want = ["orders", "orders", "orders", "order_items", None, None, None, None, None, None, None, None, "products", "customers"]
+    assert [r.kind for r in named.collect()] == want
+    assert "regexp" not in named._jdf.queryExecution().optimizedPlan().toString()
